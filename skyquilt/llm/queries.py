@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyquilt.llm import decontam, licences, mixing, pii, quality, secrets, tokens
+from skyquilt.llm import decontam, licences, mixing, ngram_join, pii, quality, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,5 +43,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_surrogates, op3_token_counts, op4_licence_scan, op6_secret_scan, op8_source_mix, op9_benchmark_leaks, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_pii_surrogates, op3_token_counts, op4_licence_scan, op6_secret_scan, op7_ngram_jaccard, op8_source_mix, op9_benchmark_leaks, op10_quality)}
 SQL = {"op8_source_mix": mixing.SQL}
