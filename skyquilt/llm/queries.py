@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyquilt.llm import decontam, licences, mixing, ngram_join, pii, quality, secrets, tokens
+from skyquilt.llm import decontam, licences, mixing, multi_index, ngram_join, pii, quality, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(_table(spark, sf_dir, "documents"), key=b"surrogate key of this corpus").select("doc_id", "text", "n_entities")
 
@@ -43,5 +47,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_surrogates, op3_token_counts, op4_licence_scan, op6_secret_scan, op7_ngram_jaccard, op8_source_mix, op9_benchmark_leaks, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii_surrogates, op3_token_counts, op4_licence_scan, op6_secret_scan, op7_ngram_jaccard, op8_source_mix, op9_benchmark_leaks, op10_quality)}
 SQL = {"op8_source_mix": mixing.SQL}
