@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyquilt.llm import decontam, licences, mixing, multi_index, ngram_join, pii, quality, secrets, tokens
+from skyquilt.llm import decontam, licences, lines, mixing, multi_index, ngram_join, pii, quality, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii_surrogates, op3_token_counts, op4_licence_scan, op6_secret_scan, op7_ngram_jaccard, op8_source_mix, op9_benchmark_leaks, op10_quality)}
-SQL = {"op8_source_mix": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii_surrogates, op3_token_counts, op4_licence_scan, op5_repeated_lines, op6_secret_scan, op7_ngram_jaccard, op8_source_mix, op9_benchmark_leaks, op10_quality)}
+SQL = {"op5_repeated_lines": lines.SQL, "op8_source_mix": mixing.SQL}
