@@ -171,11 +171,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.2, min_words: int = 5, max_block_mb: float = 8.0) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which ``find_leaks`` finds nothing; no shuffle."""
     for items in blocks_of(benchmark, item_col, item_text_col, max_block_mb):
-        matcher = Matcher(items, error_rate, min_words)
+        docs = docs.where(_is_clean(Matcher(items, error_rate, min_words))(F.col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, matcher: Matcher = matcher) -> pd.Series:
-            return pd.Series([not matcher.matches(t) for t in texts], dtype=bool)
 
-        docs = docs.where(clean(F.col(text_col)))
-    return docs
+def _is_clean(matcher: Matcher):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not matcher.matches(t) for t in texts], dtype=bool)
+
+    return clean
