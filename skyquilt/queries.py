@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = "WITH " + A.SQL.strip() + ",\n" + sql.strip() if not sql.lstrip().startswith("SELECT") else "WITH " + A.SQL.strip() + "\n" + sql.strip()
+            SQL[f.__name__] = "WITH RECURSIVE " + A.SQL.strip() + ",\n" + sql.strip() if not sql.lstrip().startswith("SELECT") else "WITH RECURSIVE " + A.SQL.strip() + "\n" + sql.strip()
         return f
 
     return register
@@ -247,11 +247,11 @@ def class_counts(spark, sf):
     return points.class_counts(A.line_cloud(spark, sf), 9)
 
 
-@query("SELECT label, n, printf('%d: %d (%.2f%%)', label, n, n * 100 / t) AS line FROM (SELECT label, count(*) AS n, (SELECT count(*) FROM lines) AS t FROM lines GROUP BY label)")
+@query("SELECT label, n, printf('%d: %d of %d', label, n, t) AS line FROM (SELECT label, count(*) AS n, (SELECT count(*) FROM lines) AS t FROM lines GROUP BY label)")
 def class_report(spark, sf):
     counts = points.class_counts(A.line_cloud(spark, sf), 6).where("n > 0")
     total = counts.agg(F.sum("n").alias("t"))
-    return counts.crossJoin(F.broadcast(total)).select("label", "n", F.format_string("%d: %d (%.2f%%)", "label", "n", F.col("n") * 100 / F.col("t")).alias("line"))
+    return counts.crossJoin(F.broadcast(total)).select("label", "n", F.format_string("%d: %d of %d", "label", "n", "t").alias("line"))
 
 
 # --- metrics and comparisons ----------------------------------------------------
@@ -337,11 +337,11 @@ def _boxes(spark, sf, table, key, a, b, w, h, m, n):
 
 @query(BOXES + """pairs AS (SELECT m.id, r.id AS rid, (m.xmax - m.xmin) * (m.ymax - m.ymin) AS ma, (r.xmax - r.xmin) * (r.ymax - r.ymin) AS ra, greatest(least(m.xmax, r.xmax) - greatest(m.xmin, r.xmin), 0) * greatest(least(m.ymax, r.ymax) - greatest(m.ymin, r.ymin), 0) AS i FROM mb m JOIN rb r ON m.xmin < r.xmax AND r.xmin < m.xmax AND m.ymin < r.ymax AND r.ymin < m.ymax),
 best AS (SELECT *, i / (ma + ra - i) AS iou, row_number() OVER (PARTITION BY id ORDER BY i / (ma + ra - i) DESC, rid) AS rk FROM pairs WHERE i > 0)
-SELECT m.id, (m.xmax - m.xmin) * (m.ymax - m.ymin) AS model_area, rid AS ref_id, ra AS ref_area, round(iou, 9) AS iou, round((ma - ra) / ra * 100, 6) + 0.0 AS deviation_pct FROM mb m LEFT JOIN (SELECT * FROM best WHERE rk = 1) b USING (id)""")
+SELECT m.id, (m.xmax - m.xmin) * (m.ymax - m.ymin) AS model_area, coalesce(rid, -1) AS ref_id, ra AS ref_area, round(iou, 9) AS iou, round((ma - ra) / ra * 100, 6) + 0.0 AS deviation_pct FROM mb m LEFT JOIN (SELECT * FROM best WHERE rk = 1) b USING (id)""")
 def box_iou_pairing(spark, sf):
     model = _boxes(spark, sf, "customer", "c_custkey", 7919, 104729, 5.0, 4.0, 17, 23)
     reference = _boxes(spark, sf, "part", "p_partkey", 6151, 15485863, 6.0, 5.0, 13, 19)
-    return compare.best_boxes(model, reference, 32.0).withColumns({"iou": F.round("iou", 9), "deviation_pct": F.round("deviation_pct", 6) + 0.0})
+    return compare.best_boxes(model, reference, 32.0).na.fill(-1, ["ref_id"]).withColumns({"iou": F.round("iou", 9), "deviation_pct": F.round("deviation_pct", 6) + 0.0})
 
 
 TILES = """tl AS (SELECT l_suppkey % 16 AS tile, x + l_suppkey % 16 % 4 * 40 AS x, y + l_suppkey % 16 // 4 * 40 AS y, z FROM lines)"""
