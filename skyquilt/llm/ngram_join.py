@@ -13,8 +13,9 @@ from skyquilt.llm.shared import Scratch, components
 from skyquilt.llm.shingles import Shingler, mixed
 
 SLOTS = 1 << 23  # of the filter that keeps unneeded texts from being shuffled: 1 MB, whatever the input
-HEAVY = 1 << 16  # most frequent shingles whose counts order the prefixes; the others count as rare
-BLOCK_SETS, BLOCK_TOKENS = 256, 4_000_000  # of a group that one task clusters
+BUCKETS, PARTS = 1 << 22, 64  # counters of shingles by hash, in parts that are summed apart: 16 MB, whatever the input
+BLOCK_SETS, BLOCK_TOKENS = 256, 1_000_000  # of a group that one task clusters
+SIMILAR, FEW = 50, 16  # sets this similar (in percent) stand together in a group, if their own clusters are smaller than FEW
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -49,18 +50,20 @@ class Filter:
 
 
 def sketch_frames(shingler: Shingler, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each text the size, a 128-bit fingerprint and a key of two least hashes of its set; and shingles that are frequent in a stretch of texts."""
-    for frame in frames:
-        rows, held, tokens, seen = [], [], 0, set()
-        heavy = []
-
-        def flush(held=held, heavy=heavy):
-            if held:
-                values, counts = np.unique(np.concatenate(held), return_counts=True)
-                often = counts >= 4
-                heavy.extend(zip(signed(values[often]).tolist(), counts[often].tolist(), strict=True))
-                held.clear()
+    """Of each text the size, a 128-bit fingerprint and a key of two least hashes of its set; and, for a task, its counts of shingles by bucket."""
+    counts, held, tokens, seen = np.zeros(BUCKETS, dtype=np.uint8), [], 0, set()
+    columns = ["part", "counts", "id", "n", "f1", "f2", "key"]
+
+    def flush() -> None:
+        """Add what is held; a counter stops at 255 in a task, which is frequent enough."""
+        if held:
+            more = np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).view(np.int64), minlength=BUCKETS)
+            np.minimum(more + counts, 255, out=more)
+            counts[:] = more
+            held.clear()
 
+    for frame in frames:
+        rows = []
         for i, text in zip(frame["id"], frame["text"], strict=True):
             s = shingler(text)
             if len(s):
@@ -73,33 +76,78 @@ def sketch_frames(shingler: Shingler, frames: Iterator[pd.DataFrame]) -> Iterato
                     tokens += len(s)
             else:
                 one = two = key = 0
-            rows.append((0, i, len(s), one, two, key))
+            rows.append((-1, None, i, len(s), one, two, key))
             if tokens > 1_000_000:
                 flush()
-                tokens, seen = 0, set()
-        flush()
-        yield pd.DataFrame(rows + [(1, None, c, t, 0, 0) for t, c in heavy], columns=["kind", "id", "n", "f1", "f2", "key"]).astype({"id": "Int64"})
+                tokens = 0
+                seen.clear()
+        yield pd.DataFrame(rows, columns=columns).astype({"id": "Int64"})
+    flush()
+    width = BUCKETS // PARTS
+    some = [(k, counts[k * width : (k + 1) * width].tobytes(), None, 0, 0, 0, 0) for k in range(PARTS) if counts[k * width : (k + 1) * width].any()]
+    yield pd.DataFrame(some, columns=columns).astype({"id": "Int64"})
 
 
-def cluster_block(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Leaders of a block of sets: the first set left leads all that link to it, until none is left."""
-    frame = frame.drop_duplicates("id").sort_values("id", ignore_index=True)
-    sets = [np.asarray(s, dtype=np.int64) for s in frame["s"]]
+def sum_counts(frame: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(BUCKETS // PARTS, dtype=np.int64)
+    for some in frame["counts"]:
+        total += np.frombuffer(some, dtype=np.uint8)
+    return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+
+
+def overlaps(s: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Members that a sorted set shares with each of several others."""
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(s, flat), len(s) - 1)
+    begins = np.concatenate([[0], np.cumsum([len(x) for x in sets])[:-1]]).astype(np.int64)
+    return np.add.reduceat((s[at] == flat).astype(np.int64), begins)
+
+
+def lead_sets(sets: list[np.ndarray], among: np.ndarray, percent: int) -> np.ndarray:
+    """Leaders: the first set left leads all that are similar enough to it, until none is left."""
     sizes = np.array([len(s) for s in sets])
-    leader = frame["id"].to_numpy().copy()
-    left = np.arange(len(sets))
+    leader, left = np.arange(len(sets)), among
     while len(left) > 1:
         head, left = left[0], left[1:]
         fit = left[np.minimum(sizes[left], sizes[head]) * 100 >= percent * np.maximum(sizes[left], sizes[head])]
-        if not len(fit):
-            continue
-        flat = np.concatenate([sets[i] for i in fit])
-        at = np.minimum(np.searchsorted(sets[head], flat), sizes[head] - 1)
-        inter = np.add.reduceat((sets[head][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[fit])[:-1]]))
-        own = fit[linked(inter, sizes[fit], sizes[head], percent)]
-        leader[own] = frame["id"][head]
-        left = left[~np.isin(left, own)]
-    return pd.DataFrame({"id": frame["id"], "key": frame["key"], "leader": leader, "blocks": frame["blocks"]})
+        if len(fit):
+            own = fit[linked(overlaps(sets[head], [sets[i] for i in fit]), sizes[fit], sizes[head], percent)]
+            leader[own] = head
+            left = left[~np.isin(left, own)]
+    return leader
+
+
+def link_sets(sets: list[np.ndarray], root: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int) -> np.ndarray:
+    """Joins the roots of sets that link, each of ``first`` with those of ``second`` that it is not joined to yet."""
+    sizes = np.array([len(s) for s in sets])
+    for i in first:
+        rest = second[(root[second] != root[i]) & (np.minimum(sizes[second], sizes[i]) * 100 >= percent * np.maximum(sizes[second], sizes[i]))]
+        if len(rest):
+            hit = rest[linked(overlaps(sets[i], [sets[j] for j in rest]), sizes[rest], sizes[i], percent)]
+            for old in np.unique(root[hit]):
+                root[root == old] = root[i]
+    return root
+
+
+def cluster_block(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Clusters, groups and links of a block of sets.
+
+    A cluster is a leader and all that link to it; one of many sets is a group.
+    Small clusters whose leaders are similar make one group together, and their
+    sets are compared here; ``root`` tells which of a group are connected.
+    """
+    frame = frame.drop_duplicates("id").sort_values("id", ignore_index=True)
+    sets = [np.asarray(s, dtype=np.int64) for s in frame["s"]]
+    leader = lead_sets(sets, np.arange(len(sets)), percent)
+    many = np.bincount(leader, minlength=len(sets))[leader] >= FEW
+    heads = np.flatnonzero((leader == np.arange(len(sets))) & ~many)
+    above = lead_sets(sets, heads, SIMILAR)
+    group, root = np.where(many, leader, above[leader]), leader.copy()
+    for g in np.unique(group[~many]):
+        members = np.flatnonzero((group == g) & ~many)
+        root = link_sets(sets, root, members, members, percent)
+    ids = frame["id"].to_numpy()
+    return pd.DataFrame({"id": ids, "key": frame["key"], "leader": ids[leader], "group": ids[group], "root": ids[root], "many": many, "blocks": frame["blocks"]})
 
 
 def bits_of(s: np.ndarray) -> bytes:
@@ -128,22 +176,14 @@ def may_link(a: list, b: list, percent: int) -> bool:
     return any(int(np.bitwise_count(folded(x["bits"], least) & ~union).sum()) <= x["n"] - needed(x["n"], percent) for x in a)
 
 
-def open_groups(a: list, b: list, percent: int) -> tuple[int, int] | None:
-    """The first link between two groups of (id, set), sets compared in full."""
+def open_groups(a: list, b: list, percent: int) -> list[tuple[int, int]]:
+    """Links between two groups of (id, set), sets compared in full; as many as it takes to tell what is connected."""
     union = np.unique(np.concatenate([x["s"] for x in b]))
-    sizes = np.array([len(x["s"]) for x in b])
-    flat = np.concatenate([x["s"] for x in b])
-    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    for x in a:
-        s = np.asarray(x["s"])
-        if np.isin(s, union, assume_unique=True).sum() < needed(len(s), percent):
-            continue
-        at = np.minimum(np.searchsorted(s, flat), len(s) - 1)
-        inter = np.add.reduceat((s[at] == flat).astype(np.int64), begins)
-        hit = np.flatnonzero(linked(inter, len(s), sizes, percent))
-        if len(hit):
-            return x["id"], b[int(hit[0])]["id"]
-    return None
+    sets = [np.asarray(x["s"]) for x in (*a, *b)]
+    ids = [x["id"] for x in (*a, *b)]
+    near = np.array([i for i in range(len(a)) if np.isin(sets[i], union, assume_unique=True).sum() >= needed(len(sets[i]), percent)], dtype=np.int64)
+    root = link_sets(sets, np.arange(len(sets)), near, np.arange(len(a), len(sets)), percent)
+    return [(ids[i], ids[r]) for i, r in enumerate(root) if i != r]
 
 
 class JaccardJoin:
@@ -174,33 +214,42 @@ class JaccardJoin:
         return texts.mapInPandas(make, "id long, f1 long, s array<long>").join(wanted, ["id", "f1"])
 
     def lead(self, reps: DataFrame) -> DataFrame:
-        """Groups: sets of one key are clustered around leaders, in blocks of bounded size; then the leaders of keys with several blocks, and so on.
+        """Groups: sets of one key are clustered around leaders, in blocks of bounded size; then the leaders of large clusters of keys with several blocks, and so on.
 
-        Returns edges ``id, leader`` with the round ``level`` in which they were found.
+        Returns ``id, group, root, part`` of the sets that were compared: the
+        group of the first round, what it is connected to there, and the leader
+        of the last round, which groups that are connected as wholes share.
         """
-        percent = self.percent
-        pool, found, level, sets = reps.select("id", "f1", "n", "key"), None, 0, None
+        percent, scratch = self.percent, self.scratch
+        pool, sets, found = reps.select("id", "f1", "n", "key"), None, None
         while True:
             sizes = pool.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).where("m > 1")
             sizes = sizes.select("key", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks"))
             pool = pool.join(sizes, "key")
             if sets is None:
-                sets = self.scratch.save(self.sets_of(pool.select("id", "f1", "n", "key")))
-            grouped = sets.select("id", "f1", "s").join(pool, ["id", "f1"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(level)), F.col("blocks")))
-            led = grouped.groupBy("key", "block").applyInPandas(lambda f: cluster_block(f, percent), "id long, key long, leader long, blocks long")
-            led = self.scratch.save(led)
-            edges = led.select("id", "leader", F.lit(level).alias("level"))
-            found = edges if found is None else found.union(edges)
-            heads = led.where("blocks > 1 and id = leader").select("id")
-            level += 1
-            if heads.isEmpty() or (level > 1 and led.where("blocks > 1 and id <> leader").isEmpty()):
+                pool = scratch.save(pool)
+                sets = scratch.save(self.sets_of(pool.select("id", "f1")))
+            grouped = sets.join(pool, ["id", "f1"]).withColumn("block", F.pmod(F.xxhash64("id", "blocks"), F.col("blocks")))
+            led, seen = scratch.save_counted(
+                grouped.groupBy("key", "block").applyInPandas(lambda f: cluster_block(f, percent), "id long, key long, leader long, group long, root long, many boolean, blocks long"),
+                heads=F.count_if((F.col("blocks") > 1) & F.col("many") & (F.col("id") == F.col("leader"))),
+            )
+            if found is None:
+                found = led.select("id", "group", "root", F.col("group").alias("part"))
+            else:
+                above = led.select(F.col("id").alias("part"), F.col("leader").alias("above"))
+                found = found.join(above, "part", "left").select("id", "group", "root", F.coalesce("above", "part").alias("part"))
+            if not seen["heads"]:
                 return found
-            pool = pool.drop("blocks").join(heads, "id")
+            pool = scratch.save(pool.drop("blocks").join(led.where("blocks > 1 and many and id = leader").select("id"), "id"))
 
     def order(self, sketches: DataFrame):
-        """Counts of the most frequent shingles, in two sorted arrays that every task gets."""
-        heavy = sketches.where("kind = 1").groupBy(F.col("f1").alias("token")).agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "token").limit(HEAVY).toPandas().sort_values("token")
-        return self.docs.sparkSession.sparkContext.broadcast((heavy["token"].to_numpy(dtype=np.int64), heavy["count"].to_numpy(dtype=np.int64)))
+        """Counts of all shingles by bucket, in one array that every task gets."""
+        summed = sketches.where("part >= 0").select("part", "counts").groupBy("part").applyInPandas(sum_counts, "part int, counts binary").collect()
+        counts = np.zeros(BUCKETS, dtype=np.int32)
+        for r in summed:
+            counts[r["part"] * (BUCKETS // PARTS) : (r["part"] + 1) * (BUCKETS // PARTS)] = np.frombuffer(r["counts"], dtype=np.int32)
+        return self.docs.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(self, reps: DataFrame, heavy) -> DataFrame:
         """Of each representative the rarest shingles of its set, as many as it takes to meet one of any set it links to, and its bitmap."""
@@ -208,7 +257,7 @@ class JaccardJoin:
         shingler, percent = self.shingler, self.percent
 
         def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tokens, counts = heavy.value
+            counts = heavy.value
             for f in frames:
                 f = f[keep.keeps(f["slot"].to_numpy())]
                 for begin in range(0, max(1, len(f)), 1000):
@@ -219,10 +268,7 @@ class JaccardJoin:
                         if not len(u):
                             continue
                         s = signed(u)
-                        weight = np.zeros(len(s), dtype=np.int64)
-                        if len(tokens):
-                            at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                            weight = np.where(tokens[at] == s, counts[at], 0)
+                        weight = counts[(u & np.uint64(BUCKETS - 1)).view(np.int64)]
                         first = np.lexsort((s, weight))[: len(s) - needed(len(s), percent) + 1]
                         rows.append((i, int(signed(np.add.reduce(mixed(u)).reshape(1))[0]), len(s), s[first], bits_of(s)))
                     yield pd.DataFrame(rows, columns=["id", "f1", "n", "prefix", "bits"])
@@ -259,8 +305,7 @@ class JaccardJoin:
 
         def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                links = [open_groups(list(x), list(y), percent) for x, y in zip(f["sa"], f["sb"], strict=True)]
-                yield pd.DataFrame([x for x in links if x], columns=["a", "b"])
+                yield pd.DataFrame([link for x, y in zip(f["sa"], f["sb"], strict=True) for link in open_groups(list(x), list(y), percent)], columns=["a", "b"])
 
         in_pairs = pairs.select(F.col("ga").alias("group")).union(pairs.select(F.col("gb").alias("group"))).distinct()
         wanted = scratch.save(members.join(in_pairs, "group", "left_semi").select("id", "f1", "group"))
@@ -269,23 +314,20 @@ class JaccardJoin:
 
     def run(self) -> DataFrame:
         scratch, shingler = self.scratch, self.shingler
-        sketches = scratch.save(self.docs.mapInPandas(lambda frames: sketch_frames(shingler, frames), "kind int, id long, n int, f1 long, f2 long, key long"))
-        rows = sketches.where("kind = 0").select("id", "n", "f1", "f2", "key")
+        sketches = scratch.save(self.docs.mapInPandas(lambda frames: sketch_frames(shingler, frames), "part int, counts binary, id long, n int, f1 long, f2 long, key long"))
+        rows = sketches.where("part < 0").select("id", "n", "f1", "f2", "key")
         reps = scratch.save(rows.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("key").alias("key")))
-        led = self.lead(reps)
-        edges = led.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-        parts = components(scratch, edges)
-        groups = led.where("level = 0").select("id", F.col("leader").alias("group"))
-        known = reps.select("id", "f1").join(groups, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-        known = scratch.save(known.select("id", "f1", F.coalesce("group", "id").alias("group"), F.coalesce("component", "id").alias("part")))
-        members = scratch.save(self.prefixes(reps, self.order(sketches)).join(known, ["id", "f1"]).dropDuplicates(["id", "f1"]))
+        known = reps.select("id", "f1").join(self.lead(reps), "id", "left")
+        known = scratch.save(known.select("id", "f1", F.coalesce("group", "id").alias("group"), F.coalesce("root", "id").alias("root"), F.coalesce("part", "id").alias("part")))
+        edges = known.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(known.where("group <> part").select(F.col("group").alias("a"), F.col("part").alias("b")))
+        members = scratch.save(self.prefixes(known, self.order(sketches)).join(known, ["id", "f1"]).dropDuplicates(["id", "f1"]))
         links = self.across(members)
         # rows of one id are one document, whatever their texts
         named = rows.where("n > 0 and id is not null").join(reps.select("f1", "f2", "n", F.col("id").alias("rep")), ["f1", "f2", "n"])
         named = scratch.save(named.select("id", "f1", "f2", "n", "rep"))
         same = named.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("id")
         same = named.join(same, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        whole = scratch.save(components(scratch, edges.union(links).union(same)))
+        whole = components(scratch, edges.union(links).union(same))
         out = named.groupBy("id", "f1", "f2", "n", "rep").agg(F.count("*").alias("copies")).join(whole, F.col("rep") == F.col("node"), "left")
         out = out.select("id", "f1", "f2", "n", F.coalesce("component", F.least("rep", "id")).alias("component"))
         return rows.alias("r").join(out.alias("o"), F.col("r.id").eqNullSafe(F.col("o.id")) & (F.col("r.f1") == F.col("o.f1")) & (F.col("r.f2") == F.col("o.f2")) & (F.col("r.n") == F.col("o.n")), "left").select(
@@ -300,15 +342,16 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lowered; with fewer words the whole sequence as one; without words none.
 
     Equal sets are one node.  Similar sets, found by a key of two least hashes,
-    are put into groups around leaders, in blocks of bounded size.  The
+    are put into groups around leaders, in blocks of bounded size, and linked
+    there.  The
     token-group matrix holds for each group the union of its sets' prefixes (the
     rarest shingles of each, as many as any linked set must share one of) and
     their bitmaps.  Groups that share a token there are compared by a bound on
     the overlap of a set with the other group's union; only pairs of groups that
-    pass are opened and their sets compared in full, up to the first link, since
-    a group is connected in itself.  Pairs of groups that are in one component
-    already are never looked at, so a large set of near copies costs no pairs.
-    No links are lost: key and bitmaps only save work.
+    pass are opened and their sets compared in full.  Large clusters that are
+    connected through their leaders are never compared again, and other similar
+    sets meet as groups, so a large set of near copies costs few pairs.  No links
+    are lost: keys, groups and bitmaps only save work.
 
     Returns, per row of ``docs``: the id (long), ``n_shingles`` and
     ``component_id``, the smallest id reachable by links, itself included.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,7 +24,6 @@ class Scratch:
             base = "file://" + tempfile.gettempdir() + "/skyquilt-shared"
         self.root = f"{base.rstrip('/')}/skyquilt-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as read back."""
@@ -32,10 +31,14 @@ class Scratch:
         self.count += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path  # noqa: SLF001
         return out
 
+    def save_counted(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+        """``save``, and aggregates of the rows that are observed as they are written."""
+        seen = Observation()
+        return self.save(df.observe(seen, *[c.alias(k) for k, c in counts.items()])), seen.get
+
     def drop(self, df: DataFrame) -> None:
         """Remove a table of ``save`` that no later result reads."""
         path = getattr(df, "_scratch_path", None)
@@ -61,25 +64,19 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     def to_smaller(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    now = scratch.save(to_smaller(edges))
+    mark = {"n": F.count("*"), "sum": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    now, seen = scratch.save_counted(to_smaller(edges), **mark)
     before = None
-    while True:
-        mark = state(now)
-        if mark == before:
-            break
-        before = mark
+    while seen != before and seen["n"]:
+        before = seen
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: every larger neighbour of a node goes to the smallest of the neighbourhood
-        large = scratch.save(to_smaller(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
+        large = to_smaller(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        small = scratch.save(to_smaller(small))
+        small, seen = scratch.save_counted(to_smaller(small), **mark)
         scratch.drop(now)
-        scratch.drop(large)
         now = small
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
