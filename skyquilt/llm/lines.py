@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from skyquilt.llm.shared import Scratch
 
-WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_BITS = 18  # words are ranked by the count of their hash bucket: a table of fixed size
+OTHER_SPACE = r"[\x09\x0B-\x0D]"  # besides the space and the line feed
+BUCKET_BITS = 15  # words are ranked by the count of their hash bucket: a table of fixed size
 SLOT_BITS = 20  # of the filters that keep lines without partners out of shuffles: a table of fixed size
 
 
@@ -24,12 +24,11 @@ def _slot(sig: Column) -> Column:
 def _filter(sigs: DataFrame) -> Column:
     """Whether ``sig`` may be among ``sigs``: a test against a bitmap of fixed size, with false positives only."""
     words = sigs.select(_slot(F.col("sig")).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s % 64)")).alias("bits"))
-    bitmap = [0] * (1 << SLOT_BITS - 6)
-    for r in words.collect():
-        bitmap[r["w"]] = r["bits"]
-    slot = _slot(F.col("sig"))
-    word = F.get(_constant(bitmap, "bigint"), F.shiftright(slot, 6))
-    return F.expr("shiftleft(1L, {s} % 64)".replace("{s}", f"cast(sig & {(1 << SLOT_BITS) - 1} as int)")).bitwiseAND(word) != 0
+    every = sigs.sparkSession.range(1 << SLOT_BITS - 6).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    bitmap = every.agg(F.transform(ordered, lambda x: x["bits"]).alias("bitmap")).scalar()
+    word = F.get(bitmap, F.shiftright(_slot(F.col("sig")), 6))
+    return F.expr(f"shiftleft(1L, cast(sig & {(1 << SLOT_BITS) - 1} as int) % 64)").bitwiseAND(word) != 0
 
 
 def _ranks(lines: DataFrame) -> Column:
@@ -61,8 +60,8 @@ class LineDedup:
     def split(self) -> DataFrame:
         """Every line with a word: id, hash of the text, number, distinct words (hashed, sorted), their number, and a fingerprint of the set."""
         text = F.col(self.text_col)
-        lines = self.docs.select(F.col(self.id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.lower(text), "\n", -1)).alias("line", "words"))
-        toks = F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("words", F.lit(WORD), F.lit(0)), lambda w: F.hash(w))))
+        lines = self.docs.select(F.col(self.id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.regexp_replace(F.lower(text), OTHER_SPACE, " "), "\n", -1)).alias("line", "words"))
+        toks = F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("words", " "), ""), lambda w: F.hash(w))))
         lines = lines.select("id", "th", "line", toks.alias("toks")).where(F.size("toks") > 0)
         return self.scratch.save(lines.withColumn("n", F.size("toks")).withColumn("sig", F.xxhash64("toks")))
 
