@@ -89,9 +89,9 @@ class LineDedup:
         extra = (F.col("size_class") != F.col("low")).cast("long")
         return sets.select((F.col("code") * 64 + F.col("size_class")).alias("key"), "sig", (F.col("n").cast("long") * (1 << 32) + F.col("at") * 2 + extra).alias("pack"), "bits")
 
-    def matches(self, lines: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs ``sig, other`` of distinct sets whose Jaccard similarity is high enough, both ways round."""
-        scratch, f = self.scratch, self.fifths
+    def candidates(self, lines: DataFrame, classes: DataFrame) -> DataFrame:
+        """Pairs ``sa, sb`` of distinct sets that share a posting and pass all filters."""
+        f = self.fifths
         post = self.postings(lines, classes)
         a, b = post.alias("a"), post.alias("b")
         n = lambda s: F.shiftright(f"{s}.pack", 32)
@@ -103,21 +103,46 @@ class LineDedup:
         fits &= F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= apart  # each differing bit is a differing word
         fits &= F.col("a.pack").bitwiseAND(1) + F.col("b.pack").bitwiseAND(1) < 2
         pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sig") < F.col("b.sig")) & fits)
-        pairs = scratch.save(pairs.select(F.col("a.sig").alias("sa"), F.col("b.sig").alias("sb")).distinct())
-        seen = _filter(pairs.select(F.col("sa").alias("sig")).union(pairs.select(F.col("sb").alias("sig"))))
-        sets = lines.where(seen).groupBy("sig").agg(F.first("toks").alias("toks"))
-        sets = scratch.save(sets)
-        both = pairs.join(sets.select(F.col("sig").alias("sa"), F.col("toks").alias("ta")), "sa").join(sets.select(F.col("sig").alias("sb"), F.col("toks").alias("tb")), "sb")
+        return self.scratch.save(pairs.select(F.col("a.sig").alias("sa"), F.col("b.sig").alias("sb")).distinct())
+
+    def verified(self, lines: DataFrame, tries: DataFrame) -> DataFrame:
+        """Those of ``later, earlier, first`` whose sets are similar enough, counted in full."""
+        seen = _filter(tries.select(F.col("later").alias("sig")).union(tries.select(F.col("earlier").alias("sig"))))
+        sets = self.scratch.save(lines.where(seen).groupBy("sig").agg(F.first("toks").alias("toks")))
+        both = tries.join(sets.select(F.col("sig").alias("later"), F.col("toks").alias("ta")), "later").join(sets.select(F.col("sig").alias("earlier"), F.col("toks").alias("tb")), "earlier")
         shared = F.size(F.array_intersect("ta", "tb"))
-        good = scratch.save(both.where(shared * 5 >= (F.size("ta") + F.size("tb") - shared) * f).select("sa", "sb"))
-        return good.select(F.col("sa").alias("sig"), F.col("sb").alias("other")).union(good.select(F.col("sb").alias("sig"), F.col("sa").alias("other")))
+        good = both.where(shared * 5 >= (F.size("ta") + F.size("tb") - shared) * self.fifths)
+        return self.scratch.save(good.select("later", "first"))
+
+    def matches(self, lines: DataFrame, classes: DataFrame) -> DataFrame:
+        """``sig, near``: the sets that match an earlier one, and where the earliest of these first stands.
+
+        Of each set the earliest candidate is tried first: if it matches, no other
+        matters.  All candidates are tried of the few sets where it does not.
+        """
+        scratch = self.scratch
+        pairs = self.candidates(lines, classes)
+        scratch.release()
+        where = lambda c, name: classes.select(F.col("sig").alias(c), F.col("first").alias(name))
+        placed = pairs.join(where("sa", "fa"), "sa").join(where("sb", "fb"), "sb")
+        before = F.col("fa") < F.col("fb")
+        tries = scratch.save(placed.select(F.when(before, F.col("sb")).otherwise(F.col("sa")).alias("later"), F.when(before, F.col("sa")).otherwise(F.col("sb")).alias("earlier"), F.least("fa", "fb").alias("first")))
+        del placed
+        scratch.drop(pairs)
+        scratch.release()
+        best = scratch.save(tries.groupBy("later").agg(F.min(F.struct("first", "earlier")).alias("m")).select("later", "m.earlier", "m.first"))
+        found = self.verified(lines, best)
+        scratch.release()
+        rest = tries.join(found, "later", "left_anti").join(best.select("later", "earlier"), ["later", "earlier"], "left_anti")
+        found = found.union(self.verified(lines, scratch.save(rest.select("later", "earlier", "first"))))
+        scratch.release()
+        return found.groupBy(F.col("later").alias("sig")).agg(F.min("first").alias("near"))
 
     def removed(self) -> DataFrame:
         """Lines that match an earlier one: ``id, th, line, n, first`` with the earliest line matched."""
         lines = self.split()
         classes = self.scratch.save(lines.groupBy("sig").agg(F.min(_keys(lines)).alias("first"), F.count("*").alias("copies")))
-        near = self.matches(lines, classes).join(classes.select(F.col("sig").alias("other"), "first"), "other").groupBy("sig").agg(F.min("first").alias("near"))
-        best = classes.join(near, "sig", "left").select("sig", F.least("first", "near").alias("first"))
+        best = classes.join(self.matches(lines, classes), "sig", "left").select("sig", F.least("first", "near").alias("first"))
         found = lines.select("id", "th", "line", "n", "sig").join(best, "sig")
         return found.where(F.col("first") < _keys(found)).select("id", "th", "line", "n", "first")
 

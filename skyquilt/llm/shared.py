@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,11 @@ class Scratch:
         seen = Observation()
         return self.save(df.observe(seen, *[c.alias(k) for k, c in counts.items()])), seen.get
 
+    def release(self) -> None:
+        """Let go of the shuffle files of what is written by now: Spark deletes them once the driver's garbage is collected, which may be long."""
+        gc.collect()
+        self.spark._jvm.System.gc()  # noqa: SLF001
+
     def drop(self, df: DataFrame) -> None:
         """Remove a table of ``save`` that no later result reads."""
         path = getattr(df, "_scratch_path", None)
