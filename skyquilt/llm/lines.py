@@ -46,6 +46,12 @@ def _keys(doc_lines: DataFrame) -> Column:
     return F.struct("id", "th", "line")
 
 
+def _bits(half: int) -> Column:
+    """One half of a bitmap of 128 bits with the words of a set."""
+    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63))
+    return F.aggregate("toks", F.lit(0).cast("long"), lambda a, t: F.when(t.bitwiseAND(64) == 64 * half, a.bitwiseOR(one(t))).otherwise(a))
+
+
 class LineDedup:
     """The join on one table; see ``repeated_lines`` and ``drop_repeated_lines``."""
 
@@ -81,13 +87,13 @@ class LineDedup:
         code = lambda t: F.shiftleft(F.get(ranks, t.bitwiseAND((1 << BUCKET_BITS) - 1)).cast("long"), 32) + t.cast("long").bitwiseAND(0xFFFFFFFF)
         sets = sets.select(
             "sig", "n", F.slice(F.sort_array(F.transform("toks", code)), F.lit(1), F.col("n") - self.needed(F.col("n")) + 1).alias("prefix"),
-            F.aggregate("toks", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63)))).alias("bits"),
+            *[_bits(half).alias(f"bits{half}") for half in (0, 1)],
         )
         sets = sets.withColumn("low", F.floor(F.log2(F.col("n") + 0.5)).cast("int"))
         reach = F.when(F.floor(F.col("n") * 5 / self.fifths) >= F.pow(F.lit(2.0), F.col("low") + 1), F.array("low", F.col("low") + 1)).otherwise(F.array("low"))
-        sets = sets.withColumn("size_class", F.explode(reach)).select("sig", "n", "bits", "low", "size_class", F.posexplode("prefix").alias("at", "code"))
+        sets = sets.withColumn("size_class", F.explode(reach)).select("sig", "n", "bits0", "bits1", "low", "size_class", F.posexplode("prefix").alias("at", "code"))
         extra = (F.col("size_class") != F.col("low")).cast("long")
-        return sets.select((F.col("code") * 64 + F.col("size_class")).alias("key"), "sig", (F.col("n").cast("long") * (1 << 32) + F.col("at") * 2 + extra).alias("pack"), "bits")
+        return sets.select((F.col("code") * 64 + F.col("size_class")).alias("key"), "sig", (F.col("n").cast("long") * (1 << 32) + F.col("at") * 2 + extra).alias("pack"), "bits0", "bits1")
 
     def candidates(self, lines: DataFrame, classes: DataFrame) -> DataFrame:
         """Pairs ``sa, sb`` of distinct sets that share a posting and pass all filters."""
@@ -100,7 +106,8 @@ class LineDedup:
         apart = F.floor((n("a") + n("b")) * (5 - f) / (5 + f))
         fits = (n("a") * 5 >= n("b") * f) & (n("b") * 5 >= n("a") * f)  # length
         fits &= at("a") + at("b") <= apart  # position: what stands before the first shared word is not shared
-        fits &= F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= apart  # each differing bit is a differing word
+        differ = [F.bit_count(F.col(f"a.bits{half}").bitwiseXOR(F.col(f"b.bits{half}"))) for half in (0, 1)]
+        fits &= differ[0] + differ[1] <= apart  # each differing bit is a differing word
         fits &= F.col("a.pack").bitwiseAND(1) + F.col("b.pack").bitwiseAND(1) < 2
         pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sig") < F.col("b.sig")) & fits)
         return self.scratch.save(pairs.select(F.col("a.sig").alias("sa"), F.col("b.sig").alias("sb")).distinct())
