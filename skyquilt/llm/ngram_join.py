@@ -205,7 +205,7 @@ class JaccardJoin:
         def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 f = f[keep.keeps(f["slot"].to_numpy())]
-                for at in range(0, max(1, len(f)), 500):
+                for at in range(0, len(f), 500):
                     part = f.iloc[at : at + 500]
                     sets = [shingler(t) for t in part["text"]]
                     f1 = [int(signed(np.add.reduce(mixed(s)).reshape(1))[0]) if len(s) else 0 for s in sets]
@@ -260,7 +260,7 @@ class JaccardJoin:
             counts = heavy.value
             for f in frames:
                 f = f[keep.keeps(f["slot"].to_numpy())]
-                for begin in range(0, max(1, len(f)), 1000):
+                for begin in range(0, len(f), 1000):
                     part = f.iloc[begin : begin + 1000]
                     rows = []
                     for i, text in zip(part["id"], part["text"], strict=True):
