@@ -171,10 +171,12 @@ def replace_all(text: str | None, key: bytes, attempts: dict[tuple[str, str], in
 def assign(scratch: Scratch, entities: DataFrame, key: bytes, max_attempts: int = 64) -> DataFrame:
     """``kind, core, moved, attempt`` of all distinct entities, without collisions.
 
-    Given names may be shared, as in life.  Of every other kind, no two entities
-    get one surrogate, and no surrogate is an entity of the corpus.  Those that
-    collide, all but the first, draw again until none does.
+    No two entities get one surrogate, and no surrogate is an entity of the
+    corpus: numbers and addresses within their kind, given and family names of
+    every script and gender together.  Those that collide, all but the first,
+    draw again until none does.
     """
+    pool = F.when(F.col("kind").rlike("^(given|family):"), "name").otherwise(F.col("kind")).alias("pool")
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -183,10 +185,11 @@ def assign(scratch: Scratch, entities: DataFrame, key: bytes, max_attempts: int
     schema = ENTITY + ", attempt int, moved string"
     now = scratch.save(entities.withColumn("attempt", F.lit(0)).mapInPandas(draw, schema))
     for _ in range(max_attempts):
-        alone = now.where(~F.col("kind").startswith("given"))
-        first = alone.groupBy("kind", "moved").agg(F.min(F.struct("attempt", "core"))["core"].alias("first"), F.count("*").alias("n"))
-        shared = alone.join(first.where("n > 1"), ["kind", "moved"]).where("core <> first").select("kind", "core")
-        real = alone.select("kind", F.col("moved").alias("core"), F.col("core").alias("own")).join(entities, ["kind", "core"]).select("kind", F.col("own").alias("core"))
+        drawn = now.select(pool, "*")
+        first = drawn.groupBy("pool", "moved").agg(F.min(F.struct("attempt", "kind", "core")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        shared = drawn.join(first, ["pool", "moved"]).where("kind <> first.kind or core <> first.core").select("kind", "core")
+        taken = entities.select(pool, F.col("core").alias("moved")).distinct()
+        real = drawn.join(taken, ["pool", "moved"], "left_semi").select("kind", "core")
         again = scratch.save(shared.union(real).distinct())
         if again.isEmpty():
             return now

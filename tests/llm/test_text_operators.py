@@ -243,6 +243,17 @@ def test_pii_collisions(spark):
     assert len(set(moved)) == 26
 
 
+def test_pii_given_names(spark):
+    """More given names than the list has, among them names of the list: all stay apart, and none is a real one."""
+    given = ["Alan", "Brian", "Colin", "David", "Eric", "Felix", "Frank", "George", "Hugo", "Ian", "Jack", "Kevin", "Luke", "Mark"]
+    docs = table(spark, [(i, f"Mr {g} Smith", "a") for i, g in enumerate(given)] + [(50, "Dr Robin Smith and Mrs Julia Adrian", "a")])
+    got = {r["doc_id"]: r["text"].split() for r in pii.replace_pii(docs, key=b"k").collect()}
+    moved = [got[i][1] for i in range(len(given))] + [got[50][1], got[50][5]]
+    assert len(set(moved)) == len(moved)
+    assert not {*moved, got[50][6], got[50][2]} & {*given, "Robin", "Julia", "Adrian", "Smith"}
+    assert len({got[i][2] for i in range(len(given))} | {got[50][2]}) == 1
+
+
 # --- repeated lines -------------------------------------------------------------
 
 def brute_lines(docs, lower=str.lower):
