@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,41 +33,92 @@ SYLLABLES = {
     "cyrillic": ["бал", "вор", "гал", "дор", "жен", "зар", "кол", "лев", "мар", "нор", "пол", "рад", "сол", "тар", "фед", "шум"],
 }
 _TITLE = {t: g for g, some in TITLES.items() for t in some}
-_NAME = r"[^\W\d_][^\W\d_'’-]+"
 _SPOKEN = [f(t) for t in _TITLE for f in (str.capitalize, str.upper)]
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
+# Scripts without spaces: there an address may follow a word directly.
+_UNSPACED = "฀-໿က-႟ក-៿々-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_MARKS = "̀-ͯ"
+_WORD, _RUN = rf"(?:(?![{_UNSPACED}])[^\W_])", rf"(?:(?![{_UNSPACED}])[\w{_MARKS}])"
+_LOCAL = rf"(?:{_RUN}|[.!#$%&'*+/=?^`{{|}}~-])"
+_LABEL = rf"(?:{_WORD}(?:(?:{_RUN}|-)*(?:{_WORD}|[{_MARKS}]))?|[{_UNSPACED}]+)"
+EMAIL = re.compile(
+    rf"(?:(?<![\w.!#$%&'*+/=?^`{{|}}~{_MARKS}-])|(?<=[{_UNSPACED}]))(?:_|[.!#$%&'*+/=?^`{{|}}~-])*+"
+    rf"(?P<email>(?:{_WORD}{_LOCAL}*+|(?<![{_UNSPACED}])(?<![{_UNSPACED}][._%+-])[{_UNSPACED}][{_UNSPACED}\d._%+-]*+)@{_LABEL}(?:\.{_LABEL})+)"
+)
 NUMBER = re.compile(
-    rf"(?=[+\d])(?:(?<![\d.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?!\.?\d)"
+    rf"(?=[+\d(])(?:(?<![\d.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?!\.?\d)"
     r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4})(?!\d)"
     r"|(?<![\w.])(?P<card>\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7})(?!\w)"
-    r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-]))"
+    r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
+    # without a country code: three, three and four digits; or a leading 0 (00: a country code after all) and 9 to 15 digits in groups
+    r"|(?<![\w+.(/-])(?P<american>(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}(?P<gap>[ .-]))\d{3}(?(gap)(?P=gap)|[ .-])\d{4})(?![\w-])(?!\.\d)"
+    r"|(?<![\w+.(/-])(?P<national>(?=(?:\D{0,3}\d){9,15}(?!\D?\d))(?:\(0\d{1,5}\)[ ]?|0\d{1,5}(?:[ ]?/[ ]?|(?P<between>[ .-])))\d{2,8}(?:(?(between)(?P=between)|[ .-])\d{2,8})*)(?![\w-])(?!\.\d)"
+    r"|(?<![\w+.(/-])(?P<spoken>\(?\d(?:[ ./()-]{0,2}\d){6,14})(?![\w-])(?!\.\d))"
 )
-NAME = re.compile(rf"\b(?P<title>{'|'.join(sorted(_SPOKEN, key=len, reverse=True))})\.?[ ](?P<name>(?=[^\W\d_a-zа-я]){_NAME}(?:[ ](?=[^\W\d_a-zа-я]){_NAME})?)")
+SPOKEN_PHONE = re.compile(r"(?:\b(?:tel|telephone|phone|mobile|cell|fax|call|telefon|téléphone|teléfono|handy|тел|телефон)|电话|電話|手机|โทร)(?:[ .:#]|no\b|number\b){0,4}$", re.IGNORECASE)
+# A piece of a name: letters, with an apostrophe inside but not before an ending such as 's; an initial is one letter.
+_LETTER = rf"[^\W\d_][{_MARKS}]*"
+_UPPER = r"(?=[^\W\d_a-zа-яё])"
+_PIECE = rf"(?:(?:[dl]['’])?{_UPPER}{_LETTER}(?:(?:{_LETTER})+(?:['’](?!(?:ll|ve|re)\b)(?:{_LETTER}){{2,}})*|['’](?!(?:ll|ve|re)\b)(?:{_LETTER}){{2,}}))"
+_INITIAL = rf"(?:{_UPPER}{_LETTER}\.)"
+_HYPHEN = r"[-‐‑](?:[a-zа-я]{1,3}[-‐‑])?"
+_TITLES = rf"(?:{'|'.join(sorted(_SPOKEN, key=len, reverse=True))})"
+_BARE = rf"(?:{_UPPER}{_LETTER}(?![\w'’]))"
+_PART = rf"(?!{_TITLES}\b)(?:{_INITIAL}+(?:{_HYPHEN}{_INITIAL}+)*(?:{_PIECE}(?:{_HYPHEN}{_PIECE})*)?|(?:{_PIECE}|{_BARE}(?={_HYPHEN}))(?:{_HYPHEN}(?:{_PIECE}|{_BARE}))*)"
+_GAP = r"[ \t\xa0]+"
+_OF = rf"(?:(?:von|van|de|del|della|di|da|du|dos|bin|ibn|фон)(?:{_GAP}(?:la|las|los|le|der|den|dem|het))?{_GAP})?"
+_LONE = rf"{_BARE}(?={_GAP}{_OF}(?:{_PART}|{_BARE}))"  # an initial without a full stop, before a further part
+NAME = re.compile(rf"\b(?P<title>{_TITLES}\.?(?:{_GAP}{_TITLES}\.?)*){_GAP}(?P<name>{_OF}(?:{_LONE}|{_PART})(?:{_GAP}{_OF}(?:{_LONE}|{_PART}))*)")
+NAME_PART = re.compile(rf"(?<!\S)(?:{_PART}|{_BARE})")
+NAME_PIECE = re.compile(rf"{_PIECE}|{_INITIAL}|{_BARE}")
+MOST_CAPITALS = 4  # parts: words in capitals that go on are a sentence and no name
 ENTITY = "kind string, core string"
 
 
 def find_entities(text: str | None) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, core, surface); the core is what all mentions of an entity share.
 
-    Kinds: email (core: lower case), phone, card and ssn (core: digits), ip, and
-    name parts, ``given:script:gender`` or ``family:script`` (core: lower case), so
-    that a full name and a later mention by family name stay one person.
+    Kinds: email (core: lower case), phone, card and ssn (core: digits, of a phone
+    with the country code if it is known), ip, and pieces of names,
+    ``given:script:gender``, ``family:script`` or ``initial:script`` (core: lower
+    case), so that a full name and a later mention by family name stay one
+    person.  The last part of a name of several is the family name.
     """
     text = text or ""
     out = []
     if "@" in text:
-        out += [(*m.span(), "email", m[0].lower(), m[0]) for m in EMAIL.finditer(text)]
+        out += [(*m.span("email"), "email", _core(m["email"]), m["email"]) for m in EMAIL.finditer(text)]
     for m in NUMBER.finditer(text):
-        kind = m.lastgroup
-        out.append((*m.span(), kind, m[0] if kind == "ip" else re.sub(r"\D", "", m[0]), m[0]))
+        form, surface, a = m.lastgroup, m[0], m.start()
+        digits = re.sub(r"\D", "", surface)
+        if form in ("gap", "between"):
+            form = "american" if m["american"] else "national"
+        if form == "spoken":
+            if not SPOKEN_PHONE.search(text[max(0, a - 24) : a]):
+                continue
+            form = "national"
+        if form == "national" and m["national"] and not 9 <= len(digits) <= 15:  # a date, say
+            continue
+        if form == "american" and len(digits) == 10:
+            digits = "1" + digits
+        elif form == "national" and digits.startswith("00"):
+            digits = digits[2:]
+        kind = "phone" if form in ("american", "national") else form
+        out.append((*m.span(), kind, surface if kind == "ip" else digits, surface))
     if any(t in text for t in _SPOKEN):
         for m in NAME.finditer(text):
-            parts = [(m.start("name") + x.start(), x[0]) for x in re.finditer(r"\S+", m["name"])]
-            for i, (at, part) in enumerate(parts):
-                script = "cyrillic" if re.search("[А-Яа-яЁё]", part) else "latin"
-                what = f"given:{script}:{_TITLE[m['title'].lower()]}" if len(parts) == 2 and i == 0 else f"family:{script}"
-                out.append((at, at + len(part), what, part.lower(), part))
+            parts = list(NAME_PART.finditer(m["name"]))
+            if m["name"].isupper():
+                parts = parts[:MOST_CAPITALS]
+            genders = [_TITLE[t.lower().rstrip(".")] for t in m["title"].split()]
+            gender = next((g for g in genders if g != "n"), "n")
+            for i, part in enumerate(parts):
+                for x in NAME_PIECE.finditer(part[0]):
+                    at, piece = m.start("name") + part.start() + x.start(), x[0].rstrip(".")
+                    script = "cyrillic" if re.search("[А-Яа-яЁё]", piece) else "latin"
+                    core = _core(piece)
+                    what = f"initial:{script}" if len(core) == 1 else f"given:{script}:{gender}" if i < len(parts) - 1 else f"family:{script}"
+                    out.append((at, at + len(piece), what, core, piece))
     out.sort()
     kept: list = []
     for span in out:  # of two that overlap, the first stays
@@ -75,6 +127,10 @@ def find_entities(text: str | None) -> list[tuple[int, int, str, str, str]]:
     return kept
 
 
+def _core(surface: str) -> str:
+    return unicodedata.normalize("NFC", surface).lower().replace("’", "'")
+
+
 def _number(key: bytes, *parts: str | int) -> int:
     return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest(), "big")
 
@@ -102,6 +158,15 @@ def _digits(key: bytes, label: str, digits: str) -> str:
     return str(_permute(key, f"{label}:{len(digits)}", int(digits), 10 ** len(digits))).zfill(len(digits)) if digits else ""
 
 
+def _other(c: str, draw: int) -> str:
+    """Another digit for a digit, another letter for a letter; marks stay."""
+    if c.isdigit():
+        return "0123456789"[(int(c) + 1 + draw % 9) % 10] if c in "0123456789" else "0123456789"[draw % 10]
+    if c.isalpha():
+        return chr(97 + (ord(c) - 97 + 1 + draw % 25) % 26) if "a" <= c <= "z" else chr(97 + draw % 26)
+    return c
+
+
 def surrogate(key: bytes, kind: str, core: str, attempt: int) -> str:
     """The core that stands for ``core``; another one for each attempt."""
     label = f"{kind}:{attempt}"
@@ -130,12 +195,16 @@ def surrogate(key: bytes, kind: str, core: str, attempt: int) -> str:
             moved.append("0123456789"[r % 10] if c.isdigit() else "abcdefghijklmnopqrstuvwxyz"[r % 26] if c.isalpha() or c == "#" else c)
         labels = domain.split(".")
         host = labels[0] if len(labels) > 2 else "mail"
-        host = "".join("0123456789"[_number(key, label, core, "h", i) % 10] if c.isdigit() else c for i, c in enumerate(host))
+        if len(labels) > 2:  # each character another one, the same for all addresses of a host
+            host = "".join(_other(c, _number(key, "host", domain, i)) for i, c in enumerate(host))
         return "".join(moved) + f"@{host}.example.{'org' if domain.endswith('example.net') else 'net'}"
     _, script, *gender = kind.split(":")
     if gender and attempt == 0:
         names = GIVEN[script, gender[0]]
         return names[draw % len(names)].lower()
+    if kind.startswith("initial"):  # further letters from the first collision on
+        first, letters = (0x430, 32) if script == "cyrillic" else (0x61, 26)
+        return "".join(chr(first + (draw := draw // letters) % letters) for _ in range(1 + attempt))
     some = SYLLABLES[script]
     name = ""
     for _ in range(2 + attempt + (len(core) > 6)):
@@ -143,18 +212,19 @@ def surrogate(key: bytes, kind: str, core: str, attempt: int) -> str:
         name += some[r]
     if gender and gender[0] == "f":
         name += "а" if script == "cyrillic" else "a"
-    return name
+    return f"{name[0]}'{name[1:]}" if "'" in core else name
 
 
 def render(kind: str, moved: str, surface: str) -> str:
     """A surrogate's core in the format of a mention: its separators, its case."""
-    if kind in ("phone", "card", "ssn"):
-        left = iter(moved)
-        return "".join(next(left, "") if c.isdigit() else c for c in surface) + "".join(left)
-    if surface.isupper():
+    if kind in ("phone", "card", "ssn"):  # from the right: a mention may have an area code alone, or 00 before the country code
+        more = sum(c.isdigit() for c in surface) - len(moved)
+        left = iter(surface[:more] + moved if more > 0 else moved[-more:])
+        return "".join(next(left) if c.isdigit() else c for c in surface)
+    if surface.isupper() and not kind.startswith("initial") and len(surface) > 1:
         return moved.upper()
-    if kind.startswith(("given", "family")):
-        return moved[:1].upper() + moved[1:]
+    if kind.startswith(("given", "family", "initial")):
+        return re.sub("(^|')(.)", lambda m: m[1] + m[2].upper(), moved)
     return moved
 
 
@@ -203,8 +273,12 @@ def assign(scratch: Scratch, entities: DataFrame, key: bytes, max_attempts: int
 def replace_pii(docs: DataFrame, *, key: bytes, id_col: str = "doc_id", text_col: str = "text", max_sent: int = 200_000) -> DataFrame:
     """Every whole text with its personal data replaced by surrogates.
 
-    Found: e-mail addresses, IPv4 addresses, phone numbers with a country code,
-    card numbers, social security numbers, and names behind a title.  A surrogate
+    Found: e-mail addresses, IPv4 addresses, phone numbers (with a country code; of
+    three, three and four digits; with a leading 0 and separators; or, in any
+    form, after a word for phone), card numbers, social security numbers, and
+    names behind a title with all their parts, initials and hyphens.  In a run of
+    capitals a name cannot be told from the words after it: at most four parts
+    are taken there.  A surrogate
     is drawn from the key and the entity alone, has its type, script, gender,
     separators and case, and differs from those of all other entities and from
     all entities of the corpus (``assign``), so distinct people stay distinct and

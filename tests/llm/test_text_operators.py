@@ -254,6 +254,29 @@ def test_pii_given_names(spark):
     assert len({got[i][2] for i in range(len(given))} | {got[50][2]}) == 1
 
 
+def test_pii_whole_entities(spark):
+    """Addresses, names and phone numbers in all their forms leave nothing behind, and what is beside them stays."""
+    wanted = {
+        "_john@x.org_": "john", "-john@x.org": "john", "..john@x.org": "john", "josé.9@x.org": "josé", "jose\u0301.9@x.org": "jose\u0301", "请联系john@x.org请回复": "john", "用户@例子.公司": "用户",
+        "ann@secretfirm.com.au": "secretfirm", "ann@münchen.de": "münchen",
+        "Mr John Paul Smith said": "John Paul Smith", "Dr. J. Smith": "J Smith", "Mr O'Brien's dog": "Brien", "Mrs Smith-Jones led": "Smith Jones", "Dr. J.R.R. Tolkien": "Tolkien", "Herr Dr. Schmidt": "Schmidt",
+        "Frau von der Leyen": "Leyen", "Prof. Jean-Paul d'Arc": "Jean Paul Arc", "Доктор И. И. Иванов": "Иванов", "MR JOHN PAUL SMITH": "JOHN PAUL SMITH", "Mr J Smith": "J Smith",
+        "call (202) 555-0101": "0101", "202-555-0147": "0147", "1-800-555-0199": "0199", "030 1234567": "1234567", "0171/1234567": "1234567", "(020) 7946 0958": "7946", "0049 30 1234567": "1234567", "tel: 5551234567": "5551234567",
+    }
+    got = [r["text"] for r in pii.replace_pii(table(spark, [(i, t, "a") for i, t in enumerate(wanted)]), key=b"k").orderBy("doc_id").collect()]
+    for (text, gone), new in zip(wanted.items(), got, strict=True):
+        words = re.findall(r"[^\W_]+", new)
+        assert not set(re.findall(r"[^\W_]+", gone)) & set(words) and new != text, (text, new)
+    assert got[0].startswith("_") and got[0].endswith("_") and got[5].startswith("请联系") and got[5].endswith("请回复")
+    at = list(wanted).index
+    assert got[at("Mr O'Brien's dog")].endswith("'s dog") and re.fullmatch(r"Mrs \w+-\w+ led", got[at("Mrs Smith-Jones led")])
+    assert re.fullmatch(r"Dr\. [A-Z]\w*\. \w+", got[at("Dr. J. Smith")]) and got[at("call (202) 555-0101")].startswith("call (") and got[at("0049 30 1234567")].startswith("0049 3")
+    one, other = pii.find_entities("(202) 555-0101 and +1 202 555 0101")
+    assert one[2:4] == other[2:4]
+    for text in ("01.02.2024 12:30", "2024-01-02 03 04", "order 5551234567", "3.14159 12 10", "a@b", "Mr. and so", "12 or 3.5 or 1.2.3"):
+        assert not pii.find_entities(text)
+
+
 # --- repeated lines -------------------------------------------------------------
 
 def brute_lines(docs, lower=str.lower):
