@@ -12,12 +12,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
+# Scripts written without spaces: of each character a word.  Of Thai and its neighbours four, of the others two count as a word of a spaced script.
+SYLLABIC = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+UNSPACED = re.compile(f"[{SYLLABIC}\u3005-\u3007\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+FEW_SYLLABLES = re.compile(f"[{SYLLABIC}]")
 ANCHOR = 3  # words of a piece that are hashed; the rest is compared
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return WORD.findall(text if text.isascii() or not UNSPACED.search(text) else UNSPACED.sub(r" \g<0> ", text))
+
+
+def volume_of(words: list[str]) -> tuple[float, int]:
+    """What the words count as: in words of a spaced script, and in characters."""
+    number, characters = 0.0, 0
+    for w in words:
+        if len(w) == 1 and UNSPACED.match(w):
+            thai = bool(FEW_SYLLABLES.match(w))
+            number += 0.25 if thai else 0.5
+            characters += 1 if thai else 2
+        else:
+            number += 1
+            characters += len(w)
+    return number, characters
 
 
 def best_match(masks: dict[int, int], length: int, text: np.ndarray) -> tuple[int, int]:
@@ -50,16 +69,18 @@ def best_match(masks: dict[int, int], length: int, text: np.ndarray) -> tuple[in
 class Matcher:
     """A block of benchmark items: their pieces, hashed, and their patterns."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_words: int):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_words: int, min_chars: int):
         self.vocabulary: dict[str, int] = {}
         self.items = []
         pieces: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = words_of(text)
-            if len(words) < min_words:
+            number, characters = volume_of(words)
+            short = number < min_words
+            if not words or short and characters < min_chars:
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint64)
-            budget = int(error_rate * len(ids))
+            budget = 0 if short else int(error_rate * len(ids))
             masks: dict[int, int] = defaultdict(int)
             back: dict[int, int] = defaultdict(int)
             for i, w in enumerate(ids.tolist()):
@@ -132,10 +153,11 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, max_block_mb:
         yield [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.2, min_words: int = 5, max_block_mb: float = 8.0) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.2, min_words: int = 5, min_chars: int = 16, max_block_mb: float = 8.0) -> DataFrame:
     """Passages of every whole text that match a benchmark item with few edits.
 
-    Words are compared without case and punctuation.  An item of n words may be
+    Words are compared without case and punctuation; in scripts without spaces
+    (Chinese, Japanese, Thai and their like) each character is a word.  An item of n words may be
     off by k = floor(error_rate * n) words put in, left out or changed; cut into
     k + 1 pieces, one of them must stand in the text as it is.  Pieces are looked
     up by hash at every place of the text; each hit gives the stretch in which
@@ -146,8 +168,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     best stretch (the first, if several are as near; words from 0, end
     exclusive).  Documents without a match have no row.
 
-    Null or empty texts and items match nothing; so do items of under
-    ``min_words`` words, which any text may have by chance.  Null ids and
+    An item of under ``min_words`` words (two Chinese or Japanese characters, or
+    four of Thai and its neighbours, count as one) must match exactly; if it also
+    has under ``min_chars`` letters and digits (a Chinese or Japanese one counts
+    twice), any text may have it by chance, and it matches nothing.
+
+    Null or empty texts and items match nothing.  Null ids and
     repeated rows: rows of their own.  Repeated items match each.  Other columns
     are ignored.  The benchmark is a stated query set: it is taken in blocks of
     ``max_block_mb``, each sent to all tasks; nothing else moves.
@@ -156,7 +182,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     schema = f"id {id_type}, item_id {item_type}, item_words int, distance int, first_word int, end_word int"
     out = None
     for items in blocks_of(benchmark, item_col, item_text_col, max_block_mb):
-        matcher = Matcher(items, error_rate, min_words)
+        matcher = Matcher(items, error_rate, min_words, min_chars)
 
         def scan(frames: Iterator[pd.DataFrame], matcher: Matcher = matcher) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -168,10 +194,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.2, min_words: int = 5, max_block_mb: float = 8.0) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.2, min_words: int = 5, min_chars: int = 16, max_block_mb: float = 8.0) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which ``find_leaks`` finds nothing; no shuffle."""
     for items in blocks_of(benchmark, item_col, item_text_col, max_block_mb):
-        docs = docs.where(_is_clean(Matcher(items, error_rate, min_words))(F.col(text_col)))
+        docs = docs.where(_is_clean(Matcher(items, error_rate, min_words, min_chars))(F.col(text_col)))
     return docs
 
 

@@ -194,6 +194,21 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.find_leaks(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_and_unspaced_items(spark):
+    """Short items match exactly; items without spaces are found with a few characters changed."""
+    zh = "今天我们讨论一个关于整数分解的问题请给出所有可能的答案并说明理由"
+    items = [(1, "Photosynthesis converts sunlight"), (2, "the cat"), (3, zh), (4, "光合作用需要阳光"), (5, "คนไทยกนขาวทกวนเชาเยนและดมนามากมายในบาน"), (6, "天气")]
+    near = zh[:10] + "某" + zh[11:20] + zh[21:]
+    docs = [
+        (1, "we know photosynthesis, converts SUNLIGHT daily", "a"), (2, "we know photosynthesis turns sunlight daily, the cat", "a"), (3, "前文" + near + "后文天气", "a"),
+        (4, "因为光合作用需要阳光所以", "a"), (5, "因为光合作用需要水所以", "a"), (6, "xx" + items[4][1][:20] + "ก" + items[4][1][20:] + "xx", "a"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["item_words"], r["first_word"], r["end_word"]) for r in decontam.find_leaks(table(spark, docs), bench).collect()}
+    assert got == {(1, 1): (0, 3, 2, 5), (3, 3): (2, len(zh), 2, 1 + len(zh)), (4, 4): (0, 8, 2, 10), (6, 5): (1, len(items[4][1]), 1, 2 + len(items[4][1]))}
+    assert sorted(r["doc_id"] for r in decontam.drop_leaks(table(spark, docs), bench).collect()) == [2, 5]
+
+
 # --- token counts ---------------------------------------------------------------
 
 def test_trie_equals_plain(spark):
