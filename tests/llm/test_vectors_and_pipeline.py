@@ -68,3 +68,25 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_rows(spark):
+    """Null ids, repeated rows and several texts of one id in the near-copy stage; documents that lost all their lines."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    near = {t: t + " end" for t in (a, b, c, d)}
+    rows = [
+        (1, a), (2, near[a]), (2, b), (3, near[b]), (3, near[b]), (4, near[b] + " more"),  # two texts of id 2; id 3 twice
+        (5, c), (5, c), (None, near[c]), (None, d), (None, near[d]), (None, near[d]), (9, " "), (10, None), (11, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", None if t is None else len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert got.columns == docs.columns
+    named = sorted((i, t or "") for i, t in kept if i is not None)
+    assert named == [(1, a), (2, b), (5, c), (9, " "), (10, ""), (11, "")]
+    nameless = [t for i, t in kept if i is None]
+    assert len(nameless) == 1 and nameless[0] in (d, near[d])
+    docs = spark.createDataFrame([(1, a, "en", "s", 0), (2, a + "\n", "en", "s", 0), (3, "", "en", "s", 0), (4, None, "en", "s", None)], docs.schema)
+    lines = corpus_pipeline.drop_lines(spark, docs, SF)
+    assert {r["doc_id"] for r in lines.collect()} == {1, 2, 3, 4}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, lines, SF).collect()} == {1, 3, 4}
