@@ -78,7 +78,7 @@ STAGES = [
     ("mixing sources to target weights", mix),
 ]
 
-ORACLE_SQL = None  # a trained classifier and edit distances are not SQL; tests compare with a brute-force run
+ORACLE_SQL = None  # a trained classifier and edit distances are not SQL; tests compare each stage with a brute-force run
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

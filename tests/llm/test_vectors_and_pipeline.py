@@ -1,7 +1,10 @@
+import random
+
 import numpy as np
 
 import corpus_pipeline
-from skyquilt.llm import multi_index
+from test_text_operators import brute_lines, plain_distance
+from skyquilt.llm import decontam, multi_index, quality
 from skyquilt.llm.shared import Scratch, components
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +93,44 @@ def test_pipeline_rows(spark):
     lines = corpus_pipeline.drop_lines(spark, docs, SF)
     assert {r["doc_id"] for r in lines.collect()} == {1, 2, 3, 4}
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, lines, SF).collect()} == {1, 3, 4}
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Every stage at the pipeline's own parameters against a plain version, with pairs at and about the thresholds."""
+    labelled = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    scored = quality.score_quality(labelled, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert {r["doc_id"] for r in corpus_pipeline.keep_good(spark, labelled, SF).collect()} == {r["doc_id"] for r in scored.collect() if r["predicted"] == 1}
+
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(60)}" for _ in range(n)] for n in (5, 8, 9, 10, 10, 12, 20)]
+
+    def changed(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), min(n, len(words))):
+            words[at] = f"x{rng.randrange(9)}"
+        return " ".join(words)
+
+    rows = [(i, "\n".join(changed(rng.choice(base), rng.randrange(4)) for _ in range(rng.randint(1, 4)))) for i in range(30)]
+    gone = {(i, k) for i, k, *_ in brute_lines([(i, t, "s") for i, t in rows])}
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) or None for i, t in rows}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, documents(spark, rows), SF).collect()} == want and gone and None in want.values()
+
+    base = [[f"v{rng.randrange(10**6)}" for _ in range(60)] for _ in range(5)]
+    rows = [(i, changed(base[i % 5][: rng.randint(48, 60)], rng.randrange(3))) for i in range(40)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    linked = {i: {j for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} for i in sets}
+    smallest = {i: i for i in sets}
+    for _ in sets:
+        smallest = {i: min(smallest[j] for j in linked[i]) for i in sets}
+    want = {i for i in sets if smallest[i] == i}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, documents(spark, rows), SF).collect()} == want and 5 < len(want) < 40
+
+    items = [decontam.words_of(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(12).collect()]
+    every = [decontam.words_of(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(i, " ".join(["before"] * 5 + [changed(w, int(0.2 * len(w)) + i % 2)] + ["after"] * 5)) for i, w in enumerate(items)] + [(50, "nothing of it " * 20)]
+    want = {i for i, t in rows if all(plain_distance(w, decontam.words_of(t)) > int(0.2 * len(w)) for w in every)}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_benchmark_leaks(spark, documents(spark, rows), SF).collect()} == want and 1 < len(want) < len(rows)
