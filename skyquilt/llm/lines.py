@@ -2,54 +2,60 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyquilt.llm.shared import Scratch
 
-OTHER_SPACE = r"[\x09\x0B-\x0D]"  # besides the space and the line feed
-BUCKET_BITS = 15  # words are ranked by the count of their hash bucket: a table of fixed size
-SLOT_BITS = 20  # of the filters that keep lines without partners out of shuffles: a table of fixed size
+SPACE = r"[\x20\x09\x0B-\x0D]+"
+STEPS = 4  # levels of rarity for each doubling of a word's count
+RANK_BITS, SLOT_BITS = (15, 24), (16, 28)  # sizes of the rarity table and of the filters grow with their input between these powers of two
+
 
+def _power(n: float, bits: tuple[int, int]) -> int:
+    """The power of two, within bounds, for about n."""
+    return min(max(math.ceil(math.log2(max(n, 1))), bits[0]), bits[1])
 
-def _constant(values: list[int], kind: str) -> Column:
-    """An array literal, folded once when the plan is made."""
-    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)")
 
+def _packed(words: DataFrame, size: int) -> Column:
+    """``size`` longs, of which ``words`` (w, bits) has some, as one array that every task reads: a scalar subquery, put together in two steps."""
+    every = words.sparkSession.range(size).select(F.col("id").alias("w")).join(words, "w", "left").select("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    parts = every.groupBy(F.shiftright("w", 10).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("some"))
+    return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "some"))), lambda x: x["some"])).alias("all")).scalar()
 
-def _slot(sig: Column) -> Column:
-    return sig.bitwiseAND((1 << SLOT_BITS) - 1).cast("int")
 
+def _filter(sigs: DataFrame, count: int) -> Column:
+    """Whether ``sig`` may be among ``sigs``: a bitmap of about 16 bits for each, within SLOT_BITS; with false positives only."""
+    size = 1 << _power(16 * count, SLOT_BITS)
+    words = sigs.select(F.col("sig").bitwiseAND(size - 1).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
+    word = F.get(_packed(words, size >> 6), F.shiftright(F.col("sig").bitwiseAND(size - 1), 6).cast("int"))
+    return F.expr("shiftleft(1L, cast(sig & 63 as int))").bitwiseAND(word) != 0
 
-def _filter(sigs: DataFrame) -> Column:
-    """Whether ``sig`` may be among ``sigs``: a test against a bitmap of fixed size, with false positives only."""
-    words = sigs.select(_slot(F.col("sig")).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s % 64)")).alias("bits"))
-    every = sigs.sparkSession.range(1 << SLOT_BITS - 6).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    bitmap = every.agg(F.transform(ordered, lambda x: x["bits"]).alias("bitmap")).scalar()
-    word = F.get(bitmap, F.shiftright(_slot(F.col("sig")), 6))
-    return F.expr(f"shiftleft(1L, cast(sig & {(1 << SLOT_BITS) - 1} as int) % 64)").bitwiseAND(word) != 0
 
+def _coded(lines: DataFrame, tokens: int) -> DataFrame:
+    """``lines`` with the ``codes`` of their words, in a global order: how often a word's hash bucket occurs over all lines, in ``STEPS`` a doubling, before 55 bits of its hash.
 
-def _ranks(lines: DataFrame) -> Column:
-    """Rarity of each hash bucket of words over all lines, as ranks: 0 for the rarest."""
-    size = 1 << BUCKET_BITS
+    There is a bucket for about 16 words of the corpus, within RANK_BITS.  The
+    order decides how much is compared and never what is found.
+    """
+    size = 1 << _power(tokens / 16, RANK_BITS)
     counts = lines.select(F.explode("toks").alias("t")).groupBy(F.col("t").bitwiseAND(size - 1).alias("b")).count()
-    seen = {r["b"]: r["count"] for r in counts.collect()}
-    ranks = [0] * size
-    for rank, b in enumerate(sorted(range(size), key=lambda b: (seen.get(b, 0), b))):
-        ranks[b] = rank
-    return _constant(ranks, "int")
+    level = F.least(F.floor(F.log2("count") * STEPS) + 1, F.lit(255)).cast("long")
+    words = counts.select(F.shiftright("b", 3).alias("w"), F.call_function("shiftleft", level, (F.col("b").bitwiseAND(7) * 8).cast("int")).alias("x")).groupBy("w").agg(F.bit_or("x").alias("bits"))
 
+    def code(t: Column, levels: Column) -> Column:
+        word = F.get(levels, F.shiftright(t.bitwiseAND(size - 1), 3).cast("int"))
+        own = F.call_function("shiftrightunsigned", word, (t.bitwiseAND(7) * 8).cast("int")).bitwiseAND(255)
+        return F.shiftleft(own, 55).bitwiseOR(F.shiftrightunsigned(t, 9))
 
-def _keys(doc_lines: DataFrame) -> Column:
-    return F.struct("id", "th", "line")
+    # lambdas and their arguments hold no subquery; as a column used once it is put in by the optimizer, and repeated by reference
+    return lines.withColumn("levels", _packed(words, size >> 3)).withColumn("codes", F.zip_with("toks", F.array_repeat("levels", F.size("toks")), code)).drop("levels")
 
 
-def _bits(half: int) -> Column:
-    """One half of a bitmap of 128 bits with the words of a set."""
-    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63))
-    return F.aggregate("toks", F.lit(0).cast("long"), lambda a, t: F.when(t.bitwiseAND(64) == 64 * half, a.bitwiseOR(one(t))).otherwise(a))
+def _keys() -> Column:
+    return F.struct("id", "th", "line")
 
 
 class LineDedup:
@@ -59,99 +65,108 @@ class LineDedup:
         self.docs, self.id_col, self.text_col, self.fifths = docs, id_col, text_col, fifths
         self.scratch = Scratch(docs.sparkSession)
 
-    def needed(self, n: Column) -> Column:
-        """Least overlap of a set of n words with any set it matches."""
-        return F.floor((n * self.fifths + 4) / 5).cast("int")
+    def least(self, n: Column, share: int, of: int) -> Column:
+        """n * share / of, rounded up."""
+        return F.floor((n * share + of - 1) / of).cast("int")
 
-    def split(self) -> DataFrame:
-        """Every line with a word: id, hash of the text, number, distinct words (hashed, sorted), their number, and a fingerprint of the set."""
+    def split(self) -> tuple[DataFrame, int]:
+        """Every line with a word: id, hash of the text, number, distinct words (hashed, sorted), their number, and a fingerprint of the set; and the words of all."""
         text = F.col(self.text_col)
-        lines = self.docs.select(F.col(self.id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.regexp_replace(F.lower(text), OTHER_SPACE, " "), "\n", -1)).alias("line", "words"))
-        toks = F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("words", " "), ""), lambda w: F.hash(w))))
-        lines = lines.select("id", "th", "line", toks.alias("toks")).where(F.size("toks") > 0)
-        return self.scratch.save(lines.withColumn("n", F.size("toks")).withColumn("sig", F.xxhash64("toks")))
-
-    def postings(self, lines: DataFrame, classes: DataFrame) -> DataFrame:
-        """The prefix of each distinct set: its rarest words, as many as it takes to meet one of any set it matches.
-
-        A posting stands under its word and the power of two below the set's
-        size; sets so large that a match may fall under the next power stand
-        there too.  It carries the set's size, the word's position, and a bitmap
-        of the set's words.
+        lines = self.docs.select(F.col(self.id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.lower(text), "\n", -1)).alias("line", "words"))
+        toks = F.array_distinct(F.transform(F.split("words", SPACE), lambda w: F.xxhash64(w)))
+        lines = lines.select("id", "th", "line", F.sort_array(F.array_remove(toks, F.xxhash64(F.lit("")))).alias("toks")).where(F.size("toks") > 0)
+        lines, seen = self.scratch.save_counted(lines.withColumn("n", F.size("toks")).withColumn("sig", F.xxhash64("toks")), tokens=F.sum("n"))
+        return lines, seen["tokens"] or 0
+
+    def sets(self, lines: DataFrame, tokens: int) -> DataFrame:
+        """The distinct sets, numbered (``rk``) in the order in which they first stand in the corpus.
+
+        ``prefix``: the codes of a set's rarest words, as many as it takes to meet
+        one of any set it matches.  ``parity``: each word flips one of 64 bits.
+        """
+        prefix = F.slice(F.sort_array("codes"), F.lit(1), F.col("n") - self.least(F.col("n"), self.fifths, 5) + 1)
+        parity = F.aggregate("toks", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+        rows = _coded(lines, tokens).select("sig", "n", _keys().alias("first"), prefix.alias("prefix"), parity.alias("parity"))
+        sets = rows.groupBy("sig").agg(F.min("first").alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "parity", "prefix")])
+        return self.scratch.save(sets.orderBy("first").withColumn("rk", F.monotonically_increasing_id()))
+
+    def fits(self, a: str, b: str) -> Column:
+        """Whether sets of these sizes and parities can match: they differ in ``apart`` words at most, and each bit that differs is a word that does."""
+        n, m, f = F.col(f"{a}.n"), F.col(f"{b}.n"), self.fifths
+        parity = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+        return (n * 5 >= m * f) & (m * 5 >= n * f) & (parity <= self.apart(a, b))
+
+    def apart(self, a: str, b: str) -> Column:
+        return F.floor((F.col(f"{a}.n") + F.col(f"{b}.n")) * (5 - self.fifths) / (5 + self.fifths))
+
+    def placed(self, a: str, b: str) -> Column:
+        """Whether a word shared at these places can be the first one shared: what stands before it, and what one has more behind it, is not shared.
+
+        The smaller set has the first shared word among fewer of its rarest words
+        than the larger one.
         """
-        again = _filter(classes.where("copies > 1").select("sig"))
-        sets = lines.select("sig", "n", "toks")
-        copied = sets.where(again).groupBy("sig").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
-        sets = sets.where(~again).unionByName(copied)
-        ranks = _ranks(lines)
-        code = lambda t: F.shiftleft(F.get(ranks, t.bitwiseAND((1 << BUCKET_BITS) - 1)).cast("long"), 32) + t.cast("long").bitwiseAND(0xFFFFFFFF)
-        sets = sets.select(
-            "sig", "n", F.slice(F.sort_array(F.transform("toks", code)), F.lit(1), F.col("n") - self.needed(F.col("n")) + 1).alias("prefix"),
-            *[_bits(half).alias(f"bits{half}") for half in (0, 1)],
-        )
-        sets = sets.withColumn("low", F.floor(F.log2(F.col("n") + 0.5)).cast("int"))
-        reach = F.when(F.floor(F.col("n") * 5 / self.fifths) >= F.pow(F.lit(2.0), F.col("low") + 1), F.array("low", F.col("low") + 1)).otherwise(F.array("low"))
-        sets = sets.withColumn("size_class", F.explode(reach)).select("sig", "n", "bits0", "bits1", "low", "size_class", F.posexplode("prefix").alias("at", "code"))
-        extra = (F.col("size_class") != F.col("low")).cast("long")
-        return sets.select((F.col("code") * 64 + F.col("size_class")).alias("key"), "sig", (F.col("n").cast("long") * (1 << 32) + F.col("at") * 2 + extra).alias("pack"), "bits0", "bits1")
-
-    def candidates(self, lines: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs ``sa, sb`` of distinct sets that share a posting and pass all filters."""
         f = self.fifths
-        post = self.postings(lines, classes)
-        a, b = post.alias("a"), post.alias("b")
-        n = lambda s: F.shiftright(f"{s}.pack", 32)
-        at = lambda s: F.shiftright(F.col(f"{s}.pack").bitwiseAND(0xFFFFFFFF), 1)
-        # sets that match differ in (n + m) (5 - f) / (5 + f) words at most
-        apart = F.floor((n("a") + n("b")) * (5 - f) / (5 + f))
-        fits = (n("a") * 5 >= n("b") * f) & (n("b") * 5 >= n("a") * f)  # length
-        fits &= at("a") + at("b") <= apart  # position: what stands before the first shared word is not shared
-        differ = [F.bit_count(F.col(f"a.bits{half}").bitwiseXOR(F.col(f"b.bits{half}"))) for half in (0, 1)]
-        fits &= differ[0] + differ[1] <= apart  # each differing bit is a differing word
-        fits &= F.col("a.pack").bitwiseAND(1) + F.col("b.pack").bitwiseAND(1) < 2
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sig") < F.col("b.sig")) & fits)
-        return self.scratch.save(pairs.select(F.col("a.sig").alias("sa"), F.col("b.sig").alias("sb")).distinct())
-
-    def verified(self, lines: DataFrame, tries: DataFrame) -> DataFrame:
-        """Those of ``later, earlier, first`` whose sets are similar enough, counted in full."""
-        seen = _filter(tries.select(F.col("later").alias("sig")).union(tries.select(F.col("earlier").alias("sig"))))
-        sets = self.scratch.save(lines.where(seen).groupBy("sig").agg(F.first("toks").alias("toks")))
-        both = tries.join(sets.select(F.col("sig").alias("later"), F.col("toks").alias("ta")), "later").join(sets.select(F.col("sig").alias("earlier"), F.col("toks").alias("tb")), "earlier")
+        at, other = F.col(f"{a}.at"), F.col(f"{b}.at")
+        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        early = lambda i, k: i <= k - self.least(k, 2 * f, 5 + f)
+        return (at + other + F.abs((n - at) - (m - other)) <= self.apart(a, b)) & ((n <= m) & early(at, n) | (m <= n) & early(other, m))
+
+    @staticmethod
+    def postings(sets: DataFrame, *more: str) -> DataFrame:
+        return sets.select("rk", "n", "parity", *more, F.posexplode("prefix").alias("at", "code"))
+
+    def verified(self, lines: DataFrame, sets: DataFrame, tries: DataFrame) -> DataFrame:
+        """Those of the pairs ``later, earlier`` whose sets are similar enough, counted in full."""
+        ends = tries.select(F.col("later").alias("rk")).union(tries.select(F.col("earlier").alias("rk"))).distinct()
+        wanted, seen = self.scratch.save_counted(sets.select("rk", "sig").join(ends, "rk"), n=F.count("*"))
+        toks = lines.where(_filter(wanted.select("sig"), seen["n"])).groupBy("sig").agg(F.first("toks").alias("toks"))
+        toks = self.scratch.save(toks.join(wanted, "sig").select("rk", "toks"))
+        both = tries.join(toks.select(F.col("rk").alias("later"), F.col("toks").alias("ta")), "later").join(toks.select(F.col("rk").alias("earlier"), F.col("toks").alias("tb")), "earlier")
         shared = F.size(F.array_intersect("ta", "tb"))
         good = both.where(shared * 5 >= (F.size("ta") + F.size("tb") - shared) * self.fifths)
-        return self.scratch.save(good.select("later", "first"))
+        found = self.scratch.save(good.groupBy(F.col("later").alias("rk")).agg(F.min("earlier").alias("near")))
+        self.scratch.drop(toks, wanted)
+        return found
 
-    def matches(self, lines: DataFrame, classes: DataFrame) -> DataFrame:
-        """``sig, near``: the sets that match an earlier one, and where the earliest of these first stands.
+    def matches(self, lines: DataFrame, sets: DataFrame) -> DataFrame:
+        """``rk, near``: the sets that match an earlier one, and the earliest of these.
 
-        Of each set the earliest candidate is tried first: if it matches, no other
-        matters.  All candidates are tried of the few sets where it does not.
+        First each set is compared with the earliest set of each of its words'
+        lists.  In a group of near copies that is mostly the earliest of the group,
+        and no list of the set holds an earlier one: it is done.  Only the others
+        are joined with all sets of their lists that stand before the best match.
         """
         scratch = self.scratch
-        pairs = self.candidates(lines, classes)
-        scratch.release()
-        where = lambda c, name: classes.select(F.col("sig").alias(c), F.col("first").alias(name))
-        placed = pairs.join(where("sa", "fa"), "sa").join(where("sb", "fb"), "sb")
-        before = F.col("fa") < F.col("fb")
-        tries = scratch.save(placed.select(F.when(before, F.col("sb")).otherwise(F.col("sa")).alias("later"), F.when(before, F.col("sa")).otherwise(F.col("sb")).alias("earlier"), F.least("fa", "fb").alias("first")))
-        del placed
-        scratch.drop(pairs)
-        scratch.release()
-        best = scratch.save(tries.groupBy("later").agg(F.min(F.struct("first", "earlier")).alias("m")).select("later", "m.earlier", "m.first"))
-        found = self.verified(lines, best)
-        scratch.release()
-        rest = tries.join(found, "later", "left_anti").join(best.select("later", "earlier"), ["later", "earlier"], "left_anti")
-        found = found.union(self.verified(lines, scratch.save(rest.select("later", "earlier", "first"))))
-        scratch.release()
-        return found.groupBy(F.col("later").alias("sig")).agg(F.min("first").alias("near"))
+        lists = self.postings(sets).groupBy("code").agg(F.min("rk").alias("head"), F.max("rk").alias("last")).where("head < last").select("code", F.col("head").alias("rk"))
+        lists = scratch.save(lists.join(sets.select("rk", "n", "parity"), "rk"))
+        own, head = self.postings(sets).alias("a"), lists.alias("b")
+        heads = own.join(head, F.col("a.code") == F.col("b.code")).where("b.rk < a.rk").select(F.col("a.rk").alias("later"), F.col("b.rk").alias("earlier"), self.fits("a", "b").alias("fits"))
+        heads = scratch.save(heads.groupBy("later", "earlier").agg(F.max("fits").alias("fits")))
+        tries = heads.where("fits").select("later", "earlier")
+        found = self.verified(lines, sets, tries)
+        least = heads.groupBy(F.col("later").alias("rk")).agg(F.min("earlier").alias("least"))
+        # a set is done if none of its lists begins before its best match
+        open_ = least.join(found, "rk", "left").select("rk", F.coalesce("near", "rk").alias("bound"), "least").where("least < bound")
+        open_ = scratch.save(open_.select("rk", "bound"))
+        a, b = self.postings(sets.join(open_, "rk"), "bound").alias("a"), self.postings(sets).alias("b")
+        pairs = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("b.rk") < F.col("a.bound")) & self.fits("a", "b") & self.placed("a", "b"))
+        pairs = scratch.save(pairs.select(F.col("a.rk").alias("later"), F.col("b.rk").alias("earlier")).distinct())
+        rest = scratch.save(pairs.join(tries, ["later", "earlier"], "left_anti"))
+        scratch.drop(lists, heads, open_, pairs)
+        more = self.verified(lines, sets, rest)
+        scratch.drop(rest)
+        return found.union(more).groupBy("rk").agg(F.min("near").alias("near"))
 
     def removed(self) -> DataFrame:
         """Lines that match an earlier one: ``id, th, line, n, first`` with the earliest line matched."""
-        lines = self.split()
-        classes = self.scratch.save(lines.groupBy("sig").agg(F.min(_keys(lines)).alias("first"), F.count("*").alias("copies")))
-        best = classes.join(self.matches(lines, classes), "sig", "left").select("sig", F.least("first", "near").alias("first"))
-        found = lines.select("id", "th", "line", "n", "sig").join(best, "sig")
-        return found.where(F.col("first") < _keys(found)).select("id", "th", "line", "n", "first")
+        lines, tokens = self.split()
+        sets = self.sets(lines, tokens)
+        near = self.matches(lines, sets).join(sets.select(F.col("rk").alias("near"), F.col("first").alias("before")), "near")
+        best = sets.join(near, "rk", "left").where("copies > 1 or before is not null").select("sig", F.coalesce("before", "first").alias("first"))
+        found = lines.select("id", "th", "line", "n", "sig").join(best, "sig").where(F.col("first") < _keys())
+        found = self.scratch.save(found.select("id", "th", "line", "n", "first"))
+        self.scratch.keep_only(found)
+        return found
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fifths: int = 4) -> DataFrame:
@@ -164,16 +179,17 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Distinct sets are joined exactly.  Words are ordered by rarity; two sets that
     match share one of their rarest words (prefix filter), stand close enough
-    there (positional filter) and are of similar size (length filter); a bitmap
-    rules out most of the rest, and the similarity of what is left is counted.
+    there (positional filter) and are of similar size (length filter); the parity
+    of their words rules out most of the rest, and the similarity of what is left
+    is counted.
 
     Returns the id, ``line_no`` (from 0), ``n_words`` (distinct), ``first_id``
     and ``first_line`` (the earliest line that matches).  Null and empty texts
     and lines without words match nothing.  A null id comes before all others.
     Rows that share an id are ordered by a hash of their texts; rows alike in
     both are one document and get the same result.  Empty table: no rows.  Other
-    columns are ignored.  Words are compared by 32-bit hashes within a pair,
-    equal sets by 64 bits.
+    columns are ignored.  Words are compared by 64-bit hashes, equal sets by 64
+    bits more.
     """
     found = LineDedup(docs, id_col, text_col, fifths).removed()
     return found.select(F.col("id").alias(id_col), F.col("line").alias("line_no"), F.col("n").alias("n_words"), F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line"))

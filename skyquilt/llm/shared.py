@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -10,27 +9,39 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Intermediate tables as Parquet in the folder that driver and executors share.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) is a temporary folder used.  Written tables cut
-    the lineage, so a lost executor costs a re-read and not a recomputation.
+    unset and all runs in one process on one machine is a temporary folder used.
+    Written tables cut the lineage, so a lost executor costs a re-read and not a
+    recomputation, and the shuffle files behind a table go as soon as it is
+    written.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.gettempdir() + "/skyquilt-shared"
         self.root = f"{base.rstrip('/')}/skyquilt-{uuid.uuid4().hex}"
-        self.count = 0
+        self.paths: list[str] = []
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as read back."""
-        path = f"{self.root}/{self.count}"
-        self.count += 1
-        df.write.parquet(path)
+        path = f"{self.root}/{len(self.paths)}"
+        self.paths.append(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("parquet.dictionary.page.size", 8 << 20).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001
         return out
@@ -40,19 +51,20 @@ class Scratch:
         seen = Observation()
         return self.save(df.observe(seen, *[c.alias(k) for k, c in counts.items()])), seen.get
 
-    def release(self) -> None:
-        """Let go of the shuffle files of what is written by now: Spark deletes them once the driver's garbage is collected, which may be long."""
-        gc.collect()
-        self.spark._jvm.System.gc()  # noqa: SLF001
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables of ``save`` that no later result reads."""
+        self._delete([t._scratch_path for t in tables])  # noqa: SLF001
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Remove all tables but these, which a result still reads."""
+        kept = {t._scratch_path for t in tables}  # noqa: SLF001
+        self._delete([p for p in self.paths if p not in kept])
 
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table of ``save`` that no later result reads."""
-        path = getattr(df, "_scratch_path", None)
-        if path is None:
-            return
+    def _delete(self, paths: list[str]) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()  # noqa: SLF001
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        for path in paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
