@@ -61,22 +61,26 @@ def bbox(polygon: Column) -> dict[str, Column]:
     return {"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)}
 
 
-def in_polygon(px: Column, py: Column, polygon: Column, corners: int = 4) -> Column:
-    """Whether a point lies in a polygon, by the even-odd rule, its boundary included."""
+def in_corners(px: Column, py: Column, corners: list[tuple[Column, Column]]) -> Column:
+    """Whether a point lies in the polygon of these corners, by the even-odd rule, its boundary included."""
     inside, on_edge = F.lit(False), F.lit(False)
-    for i in range(corners):
-        a, b = polygon[i], polygon[(i + 1) % corners]
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        cross = dx * (py - a["y"]) - dy * (px - a["x"])
-        spans = (a["y"] > py) != (b["y"] > py)
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1], strict=True):
+        dy = by - ay
+        cross = (bx - ax) * (py - ay) - dy * (px - ax)
+        spans = (ay > py) != (by > py)
         # the ray to the right meets the edge where the point is on its left, seen upwards
         inside = inside != (spans & F.when(dy > 0, cross > 0).otherwise(cross < 0))
-        near = px.between(F.least(a["x"], b["x"]) - EDGE_TOLERANCE, F.greatest(a["x"], b["x"]) + EDGE_TOLERANCE)
-        near &= py.between(F.least(a["y"], b["y"]) - EDGE_TOLERANCE, F.greatest(a["y"], b["y"]) + EDGE_TOLERANCE)
+        near = px.between(F.least(ax, bx) - EDGE_TOLERANCE, F.greatest(ax, bx) + EDGE_TOLERANCE)
+        near &= py.between(F.least(ay, by) - EDGE_TOLERANCE, F.greatest(ay, by) + EDGE_TOLERANCE)
         on_edge |= near & (F.abs(cross) <= EDGE_TOLERANCE)
     return inside | on_edge
 
 
+def in_polygon(px: Column, py: Column, polygon: Column, corners: int = 4) -> Column:
+    """``in_corners`` for an array of x and y."""
+    return in_corners(px, py, [(polygon[k]["x"], polygon[k]["y"]) for k in range(corners)])
+
+
 def box_iou(a: str, b: str) -> Column:
     """Intersection over union of two axis-aligned boxes, each four columns behind a prefix; 0 for two empty boxes."""
     side = lambda lo, hi: F.greatest(F.least(F.col(f"{a}{hi}"), F.col(f"{b}{hi}")) - F.greatest(F.col(f"{a}{lo}"), F.col(f"{b}{lo}")), F.lit(0.0))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyquilt.operators.graph import components, saved
-from skyquilt.operators.neighbours import radius_pairs
+from skyquilt.operators.graph import components
+from skyquilt.storage import Scratch
 
 
 def dbscan(points: DataFrame, eps: float = 2.0, min_samples: int = 20, border_rule: str = "scan_order") -> DataFrame:
@@ -17,18 +17,52 @@ def dbscan(points: DataFrame, eps: float = 2.0, min_samples: int = 20, border_ru
     point.  A border point goes to the adjoining cluster whose first point is
     earliest.  border_rule 'scan_order' then leaves it noise if it comes before
     that point, as a scan does that has passed it by then; 'standard' does not.
+
+    Points are put into cells whose points are all within ``eps`` of each other.
+    A cell of ``min_samples`` points or more has core points only, so neighbours
+    are counted for the points of thin cells alone, and no more of them are met
+    than a few a cell.  The core points of a cell are one node; two cells are
+    linked if any two of their core points are near, so links are as many as
+    cells and not as pairs of points.
     """
-    pairs = saved(radius_pairs(points, eps).select("src", "dst"))
-    cores = pairs.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("src")
-    linked = pairs.join(cores, "src").join(cores.withColumnRenamed("src", "dst"), "dst")
-    parts = components(linked.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    near = pairs.join(parts.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("idx")).agg(F.min("component").alias("seed"))
-    own = parts.select(F.col("node").alias("idx"), F.col("component").alias("own"))
-    seeds = parts.select("component").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("component")) - 1)
-    placed = points.select("idx").join(near, "idx", "left").join(own, "idx", "left")
+    scratch = Scratch(points.sparkSession)
+    side = eps / 2**0.5 * (1 - 1e-12)
+    placed = points.select("idx", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+    sizes = placed.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    cells = scratch.save(placed.join(sizes, ["cx", "cy"]))
+    thin = cells.where(F.col("n") < min_samples)
+    dense = cells.where(F.col("n") >= min_samples).select("idx")
+    counted = _near(thin, cells, eps).groupBy("src").agg(F.count("*").alias("m")).where(F.col("m") >= min_samples).select(F.col("src").alias("idx"))
+    cores = scratch.save(cells.join(dense.union(counted), "idx", "left_semi"))
+    nodes = scratch.save(cores.groupBy("cx", "cy").agg(F.min("idx").alias("node")))
+    own = cores.join(nodes, ["cx", "cy"]).select("idx", "x", "y", "cx", "cy", "node")
+    # a link is looked for once, from the cell of the smaller node
+    pairs = _near(own, own, eps, keep=("node",), own_cell=False, only=F.col("p.node") < F.col("q.node"))
+    parts = components(scratch, pairs.select(F.col("q_node").alias("a"), F.col("p_node").alias("b")).distinct())
+    seeded = scratch.save(own.join(parts, "node", "left").select("idx", "x", "y", "cx", "cy", F.coalesce("component", "node").alias("seed")))
+    rest = cells.join(seeded.select("idx"), "idx", "left_anti")
+    near = _near(rest, seeded, eps, keep=("seed",), query_keep=()).groupBy(F.col("src").alias("idx")).agg(F.min("p_seed").alias("seed"))
     late = F.col("idx") > F.col("seed") if border_rule == "scan_order" else F.col("seed").isNotNull()
-    seed = F.coalesce("own", F.when(late, F.col("seed")))
-    return placed.select("idx", seed.alias("component")).join(F.broadcast(seeds) if seeds.count() <= 100_000 else seeds, "component", "left").select("idx", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    members = scratch.save(seeded.select("idx", "seed").union(near.where(late)))
+    seeds = members.select("seed").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("seed")) - 1)
+    seeds, seen = scratch.save_counted(seeds, n=F.count("*"))
+    scratch.keep_only(members, seeds)
+    out = points.select("idx").join(members, "idx", "left")
+    return out.join(F.broadcast(seeds) if seen["n"] <= 100_000 else seeds, "seed", "left").select("idx", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def _near(queries: DataFrame, points: DataFrame, eps: float, keep: tuple[str, ...] = (), query_keep: tuple[str, ...] | None = None, own_cell: bool = True, only: Column | None = None) -> DataFrame:
+    """Pairs ``src, dst`` within ``eps`` of points in cells ``cx, cy``, with columns ``q_...`` and ``p_...`` of both."""
+    reach = range(-2, 3)  # a cell is eps / sqrt 2 wide; of the outermost corners no point is near enough
+    steps = [(a, b) for a in reach for b in reach if abs(a) + abs(b) < 4 and (own_cell or (a, b) != (0, 0))]
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])).alias("s")
+    query_keep = keep if query_keep is None else query_keep
+    q = queries.select("idx", "x", "y", "cx", "cy", *query_keep, step).select(F.col("idx").alias("src"), "x", "y", *query_keep, (F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy"))
+    p = points.select(F.col("idx").alias("dst"), "x", "y", "cx", "cy", *keep)
+    dx, dy = (F.col(f"q.{c}") - F.col(f"p.{c}") for c in "xy")
+    on = (F.col("q.cx") == F.col("p.cx")) & (F.col("q.cy") == F.col("p.cy")) & (dx * dx + dy * dy <= eps * eps)
+    joined = q.alias("q").join(p.alias("p"), on if only is None else on & only)
+    return joined.select("src", "dst", *[F.col(f"q.{c}").alias(f"q_{c}") for c in query_keep], *[F.col(f"p.{c}").alias(f"p_{c}") for c in keep])
 
 
 def targets(points: DataFrame, clusters: DataFrame) -> DataFrame:

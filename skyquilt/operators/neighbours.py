@@ -13,7 +13,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyquilt.operators.graph import saved
+from skyquilt.storage import saved
 
 
 def _squared(a: str, b: str, axes: Sequence[str]) -> Column:

@@ -39,10 +39,12 @@ def voxel_mean(points: DataFrame, size: float) -> DataFrame:
 
 
 def voxel_first(points: DataFrame, size: float) -> DataFrame:
-    """The first point (by ``idx``) of each voxel."""
-    rest = [c for c in points.columns if c != "idx"]
-    first = with_voxel(points, size, "min").groupBy(*KEY).agg(F.min_by(F.struct("idx", *rest), "idx").alias("p"))
-    return first.select(*KEY, "p.*")
+    """The first point (by ``idx``) of each voxel.
+
+    Only numbers are aggregated, by hash; the chosen points are then joined.
+    """
+    keyed = with_voxel(points, size, "min").select(*KEY, "idx")
+    return keyed.groupBy(*KEY).agg(F.min("idx").alias("idx")).join(points, "idx").select(*KEY, "idx", *[c for c in points.columns if c != "idx"])
 
 
 def voxel_moments(points: DataFrame, size: float, origin: str = "min") -> DataFrame:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
-from math import ceil
+from math import ceil, cos, radians
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquilt.config import Camera, ScreeningConfig
 from skyquilt.functions import geometry as G
+from skyquilt.storage import saved
 
 
 @dataclass(frozen=True)
@@ -56,14 +54,27 @@ def resolve_camera(pos: DataFrame, given: Camera | None) -> Camera:
     return Camera(row["focal_mm"], row.get("sensor_width_mm") or 36.0, row.get("sensor_height_mm") or 24.0, row["image_width_px"], row["image_height_px"])
 
 
+def is_plane(pos: DataFrame) -> bool:
+    """Whether the first record (by ``idx``) has a place in metres."""
+    if not {"x", "y"} <= set(pos.columns):
+        return False
+    first = pos.orderBy("idx").select("x", "y").first()
+    return first is not None and None not in first
+
+
+def origin_of(pos: DataFrame, lon: float | None = None, lat: float | None = None) -> tuple[float | None, float | None]:
+    """Degrees of the local origin: as given, else the mean of all records; one row to the driver."""
+    if lon is None or lat is None:
+        mean = pos.agg(F.avg("lon"), F.avg("lat")).first()
+        lon, lat = mean[0] if lon is None else lon, mean[1] if lat is None else lat
+    return lon, lat
+
+
 def localise(pos: DataFrame, ref_lon: float | None = None, ref_lat: float | None = None) -> DataFrame:
-    """Adds x and y in metres from lon and lat; the origin is given or the mean of all records, which is one row and so sent along."""
-    origin = pos.agg(
-        (F.lit(ref_lon) if ref_lon is not None else F.avg("lon")).cast("double").alias("lon0"),
-        (F.lit(ref_lat) if ref_lat is not None else F.avg("lat")).cast("double").alias("lat0"),
-    )
-    x, y = G.local_xy(F.col("lon"), F.col("lat"), F.col("lon0"), F.col("lat0"))
-    return pos.crossJoin(F.broadcast(origin)).withColumn("x", x).withColumn("y", y).drop("lon0", "lat0")
+    """x and y in metres from lon and lat; the origin is given or the mean of all records."""
+    lon0, lat0 = (F.lit(v).cast("double") for v in origin_of(pos, ref_lon, ref_lat))
+    x, y = G.local_xy(F.col("lon"), F.col("lat"), lon0, lat0)
+    return pos.withColumns({"x": x, "y": y})
 
 
 def footprints(pos: DataFrame, camera: Camera, z_ref: float = 0.0) -> DataFrame:
@@ -73,13 +84,13 @@ def footprints(pos: DataFrame, camera: Camera, z_ref: float = 0.0) -> DataFrame:
     return pos.select("idx", shape.alias("s")).where("s.area >= 1e-6").select("idx", "s.*")
 
 
-def study_area(prints: DataFrame, config: ScreeningConfig, origin: tuple[float, float] | None = None) -> tuple[float, float, float, float]:
+def study_area(prints: DataFrame, config: ScreeningConfig, origin: tuple[float | None, float | None] = (None, None)) -> tuple[float, float, float, float]:
     """The given box (in degrees or metres), else the box of all footprints and a margin: one row to the driver."""
-    if config.area_lonlat and origin:
-        import math
-
+    if config.area_lonlat:
+        if None in origin:
+            raise ValueError("a study area in degrees needs an origin: records with lon and lat, or ref_lon and ref_lat")
         (lon0, lat0), (a, b, c, d) = origin, config.area_lonlat
-        scale = G.METRES_PER_DEGREE_LON * math.cos(math.radians(lat0))
+        scale = G.METRES_PER_DEGREE_LON * cos(radians(lat0))
         xs, ys = sorted(((a - lon0) * scale, (c - lon0) * scale)), sorted(((b - lat0) * G.METRES_PER_DEGREE_LAT, (d - lat0) * G.METRES_PER_DEGREE_LAT))
         return xs[0], ys[0], xs[1], ys[1]
     if config.area:
@@ -95,35 +106,41 @@ def coverage(prints: DataFrame, grid: Grid) -> DataFrame:
     """``idx, ix, iy`` of the cells whose centre lies in a footprint.
 
     Cells are numbered, so each image lists those of its own box and tests
-    them: no join, and work in proportion to the area covered.
+    them: no join, and work in proportion to the area covered.  Images are dealt
+    out first, as a pose table is small and its cells are many; corners stand in
+    plain columns, so the test is compiled.
     """
     def span(lo: str, hi: str, start: float, step: float, n: int):
         first = F.greatest(F.ceil((F.col(lo) - start) / step) - 1, F.lit(0))
         last = F.least(F.floor((F.col(hi) - start) / step) + 1, F.lit(n - 1))
         return F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))
 
-    cells = prints.select("idx", "polygon", span("ymin", "ymax", grid.y0, grid.dy, grid.ny).alias("ys"), F.explode(span("xmin", "xmax", grid.x0, grid.dx, grid.nx)).alias("ix"))
-    cells = cells.select("idx", "polygon", "ix", F.explode("ys").alias("iy"))
-    inside = G.in_polygon(F.lit(grid.x0) + F.col("ix") * grid.dx, F.lit(grid.y0) + F.col("iy") * grid.dy, F.col("polygon"))
+    corners = [F.col("polygon")[k][axis].alias(f"{axis}{k}") for k in range(4) for axis in ("x", "y")]
+    partitions = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = prints.select("idx", *corners, "xmin", "xmax", "ymin", "ymax").repartition(partitions, "idx")
+    names = [c for k in range(4) for c in (f"x{k}", f"y{k}")]
+    cells = dealt.select("idx", *names, span("ymin", "ymax", grid.y0, grid.dy, grid.ny).alias("ys"), F.explode(span("xmin", "xmax", grid.x0, grid.dx, grid.nx)).alias("ix"))
+    cells = cells.select("idx", *names, "ix", F.explode("ys").alias("iy"))
+    inside = G.in_corners(F.lit(grid.x0) + F.col("ix") * grid.dx, F.lit(grid.y0) + F.col("iy") * grid.dy, [(F.col(f"x{k}"), F.col(f"y{k}")) for k in range(4)])
     return cells.where(inside).select("idx", "ix", "iy")
 
 
 def contribution(images: DataFrame, cover: DataFrame, cells: int, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
     """``idx, covered, base_ratio, new_ratio, score`` of every image.
 
-    Taken in order of coverage, an image adds the cells that none before it
-    covers; the first image of that order to cover a cell owns it, so counting
-    owned cells replaces the scan.  The order is a window over one narrow row an
-    image; cells are joined and grouped.
+    Taken in order of coverage (the smaller ``idx`` first on ties), an image adds
+    the cells that none before it covers; the first image of that order to cover
+    a cell owns it, so a cell's owner is one minimum and counting owned cells
+    replaces the scan.
     """
     if min(alpha, beta) < 0:
         raise ValueError("weights must not be negative")
-    counted = images.select("idx").join(cover.groupBy("idx").agg(F.count("*").alias("covered")), "idx", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("covered"), "idx")))
-    owners = cover.join(ranked.select("idx", "rank"), "idx").groupBy("ix", "iy").agg(F.min("rank").alias("rank"))
-    owned = owners.groupBy("rank").agg(F.count("*").alias("owned"))
+    counts = cover.groupBy("idx").agg(F.count("*").alias("covered"))
+    first = F.max_by(F.col("idx"), F.struct("covered", -F.col("idx"))).alias("idx")
+    owned = cover.join(counts, "idx").groupBy("ix", "iy").agg(first).groupBy("idx").agg(F.count("*").alias("owned"))
     base, new = F.col("covered") / cells, F.coalesce("owned", F.lit(0)) / cells
-    return ranked.join(owned, "rank", "left").select("idx", "covered", base.alias("base_ratio"), new.alias("new_ratio"), (alpha * base + beta * new).alias("score"))
+    counted = images.select("idx").join(counts, "idx", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    return counted.join(owned, "idx", "left").select("idx", "covered", base.alias("base_ratio"), new.alias("new_ratio"), (alpha * base + beta * new).alias("score"))
 
 
 def select_images(scores: DataFrame, threshold: float) -> DataFrame:
@@ -134,44 +151,29 @@ def repair_gaps(kept: DataFrame, cover: DataFrame) -> DataFrame:
     """Adds rejected images until every cell that some image covers is covered by a kept one.
 
     The image with the most uncovered cells comes first, the smaller ``idx`` on
-    ties.  The greedy order is sequential, but gaps in different places do not
-    touch: only (uncovered cell, rejected image) pairs are left, connected parts
-    of them are independent, and each part is worked off by itself.  What a task
-    gets is one gap, not the survey.
+    ties.  An image's gain changes only when an image that shares an uncovered
+    cell with it is taken, so in each round all images are taken that come first
+    at every uncovered cell they cover: the same images as one after the other,
+    in as many rounds as such choices follow from each other.  A round is two
+    aggregates and joins over (uncovered cell, rejected image); no gap is
+    gathered in one place, and nothing returns to the driver but a number.
     """
-    from skyquilt.operators.graph import components
-
+    rejected = kept.where("not keep").select("idx")
     covered = cover.join(kept.where("keep").select("idx"), "idx", "left_semi").select("ix", "iy").distinct()
-    open_pairs = cover.join(kept.where("not keep").select("idx"), "idx", "left_semi").join(covered, ["ix", "iy"], "left_anti")
-    first = open_pairs.groupBy("ix", "iy").agg(F.min("idx").alias("b"))
-    parts = components(open_pairs.join(first, ["ix", "iy"]).select(F.col("idx").alias("a"), "b").distinct())
-    placed = open_pairs.join(parts, F.col("idx") == F.col("node")).select("component", "idx", "ix", "iy")
-
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        cells_of = {i: set(zip(g["ix"], g["iy"], strict=True)) for i, g in frame.groupby("idx")}
-        images_of = defaultdict(list)
-        for i, cells in cells_of.items():
-            for c in cells:
-                images_of[c].append(i)
-        gain = {i: len(c) for i, c in cells_of.items()}
-        heap = [(-g, i) for i, g in gain.items()]
-        heapq.heapify(heap)
-        chosen, done = [], set()
-        while heap:
-            g, i = heapq.heappop(heap)
-            if -g != gain[i]:  # out of date: comes back with what it still adds
-                if gain[i]:
-                    heapq.heappush(heap, (-gain[i], i))
-                continue
-            chosen.append(i)
-            for c in cells_of[i] - done:
-                done.add(c)
-                for j in images_of[c]:
-                    gain[j] -= 1
-        return pd.DataFrame({"idx": chosen})
-
-    added = placed.groupBy("component").applyInPandas(greedy, "idx long").withColumn("added", F.lit(True))
-    return kept.join(added, "idx", "left").withColumn("added", F.coalesce("added", F.lit(False))).withColumn("keep", F.col("keep") | F.col("added"))
+    pairs = saved(cover.join(rejected, "idx", "left_semi").join(covered, ["ix", "iy"], "left_anti"))
+    added = None
+    while not pairs.isEmpty():
+        gain = pairs.groupBy("idx").agg(F.count("*").alias("gain"))
+        first = F.max_by(F.col("idx"), F.struct("gain", -F.col("idx"))).alias("first")
+        cells = saved(pairs.join(gain, "idx").groupBy("ix", "iy").agg(first))
+        wins = cells.groupBy(F.col("first").alias("idx")).agg(F.count("*").alias("wins"))
+        chosen = saved(gain.join(wins, "idx").where("wins = gain").select("idx"))
+        done = pairs.join(chosen, "idx", "left_semi").select("ix", "iy").distinct()
+        pairs = saved(pairs.join(done, ["ix", "iy"], "left_anti"))
+        added = chosen if added is None else added.union(chosen)
+    if added is None:
+        return kept.withColumn("added", F.lit(False))
+    return kept.join(added.withColumn("added", F.lit(True)), "idx", "left").withColumn("added", F.coalesce("added", F.lit(False))).withColumn("keep", F.col("keep") | F.col("added"))
 
 
 def summary(kept: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyquilt.config import ClassifyConfig, ScreeningConfig
 from skyquilt.operators import cluster, points, screening
+from skyquilt.storage import saved
 
 
 @dataclass(frozen=True)
@@ -21,14 +22,22 @@ class Screening:
 
 
 def screen(pos: DataFrame, config: ScreeningConfig = ScreeningConfig()) -> Screening:
-    """Footprints, coverage, scores and selection of the records ``pos``; those without a place are left out."""
-    if "x" not in pos.columns or config.area_lonlat:
-        pos = screening.localise(pos.where("lon is not null and lat is not null"), config.ref_lon, config.ref_lat)
+    """Footprints, coverage, scores and selection of the records ``pos``.
+
+    If the first record (by ``idx``) has x and y, all are taken in these metres;
+    else x and y are computed from lon and lat around the given origin, or the
+    mean of all.  Records without a place are left out.  ``area_lonlat`` is turned
+    into metres around the same origin, so it needs lon and lat in the records or
+    a given origin.
+    """
+    origin = screening.origin_of(pos, config.ref_lon, config.ref_lat) if {"lon", "lat"} <= set(pos.columns) else (config.ref_lon, config.ref_lat)
+    if not screening.is_plane(pos):
+        pos = screening.localise(pos, *origin)
     pos = pos.where("x is not null and y is not null")
     camera = screening.resolve_camera(pos, config.camera)
-    prints = screening.footprints(pos, camera, config.ref_elevation)
-    grid = screening.make_grid(*screening.study_area(prints, config, (config.ref_lon, config.ref_lat) if config.ref_lon is not None else None), config.grid_size)
-    cover = screening.coverage(prints, grid)
+    prints = saved(screening.footprints(pos, camera, config.ref_elevation))
+    grid = screening.make_grid(*screening.study_area(prints, config, origin), config.grid_size)
+    cover = saved(screening.coverage(prints, grid))
     scores = screening.contribution(prints, cover, grid.cells, config.alpha, config.beta)
     kept = screening.select_images(scores, config.threshold)
     if not config.allow_gaps:

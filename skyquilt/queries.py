@@ -12,6 +12,7 @@ from skyquilt.operators import cluster, compare, learn, metrics, neighbours, poi
 from skyquilt.plans import adapters as A
 from skyquilt.plans.survey import extract_buildings
 from skyquilt.sources import image_meta, pos_csv
+from skyquilt.storage import saved
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -38,9 +39,9 @@ def _prints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _covered(spark: SparkSession, sf: str):
-    prints = _prints(spark, sf)
+    prints = saved(_prints(spark, sf))
     grid = screening.make_grid(*screening.study_area(prints, CONFIG), CONFIG.grid_size)
-    return prints, grid, screening.coverage(prints, grid)
+    return prints, grid, saved(screening.coverage(prints, grid))
 
 
 FOOT = """
@@ -527,7 +528,7 @@ def ml_predict(spark, sf):
  UNION ALL SELECT page_id, unnest(list_zip(regexp_extract_all(html, '([a-z]+)="([^"]*)"', 1), regexp_extract_all(html, '([a-z]+)="([^"]*)"', 2))) FROM pages)
 SELECT page_id, p[1] AS tag, p[2] AS value FROM t""")
 def html_tags(spark, sf):
-    return image_meta.all_tags(A.table(spark, sf, "pages"), "page_id", "html", r"<([A-Za-z0-9]+)[^>]*>([^<]+)</[A-Za-z0-9]+>", r'([a-z]+)="([^"]*)"')
+    return image_meta.all_tags(A.table(spark, sf, "pages"), "page_id", "html", r"<([A-Za-z0-9]+)[^>]*>([^<]+)</[A-Za-z0-9]+>", (r'([a-z]+)="([^"]*)"', 1))
 
 
 @query("""SELECT idx, CASE WHEN idx % 4 = 0 THEN NULL ELSE idx % 180 - 90.5::DOUBLE END AS pitch, CAST(idx % 360 AS DOUBLE) AS flight_yaw FROM pos""")

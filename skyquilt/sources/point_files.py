@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from skyquilt.functions.colour import las_channel, unit_channel
+
 # Of the LAS point formats with 16-bit colour, where it stands.
 COLOUR_AT = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30}
 LAS_SCHEMA = "tile string, idx long, x double, y double, z double, red int, green int, blue int, label short"
 # Colours of the classes 0 to 5, for coloured clouds.
-PALETTE = {0: (128, 128, 128), 1: (220, 60, 40), 2: (70, 70, 70), 3: (40, 160, 60), 4: (190, 150, 90), 5: (230, 200, 40)}
+PALETTE = {0: (255, 255, 255), 1: (220, 60, 60), 2: (90, 90, 90), 3: (60, 180, 60), 4: (185, 140, 90), 5: (235, 200, 40)}
+FULL = 65535.0  # of a 16-bit channel
 
 
 def _open(path: str):
@@ -35,7 +39,7 @@ def _files(path: str, suffixes: tuple[str, ...]) -> list[str]:
         return [path]
     prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     found = system.get_file_info(fs.FileSelector(inner, recursive=False))
-    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith(suffixes))
+    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith(suffixes) and not f.base_name.startswith("."))
 
 
 def las_header(data: bytes) -> dict:
@@ -72,10 +76,10 @@ class LasReader(DataSourceReader):
             if self.bbox and (header["max"][0] < self.bbox[0] or header["min"][0] > self.bbox[2] or header["max"][1] < self.bbox[1] or header["min"][1] > self.bbox[3]):
                 continue
             out += [LasRange(path, header, b, min(b + self.per_task, header["points"])) for b in range(0, header["points"], self.per_task)]
-        return out or [None]
+        return out or [LasRange("", {}, 0, 0)]
 
     def read(self, part) -> Iterator[pa.RecordBatch]:
-        if part is None:
+        if part.begin == part.end:
             return
         h, (system, inner) = part.header, _open(part.path)
         fields = [("p", "<i4", 3, 0), ("c", "u1", 1, 16 if h["format"] >= 6 else 15)]
@@ -96,45 +100,92 @@ class LasReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(columns, names=["tile", "idx", "x", "y", "z", "red", "green", "blue", "label"])
 
 
+class LasFile(WriterCommitMessage):
+    def __init__(self, path: str | None):
+        self.path = path
+
+
 class LasWriter(DataSourceArrowWriter):
-    """A LAS 1.2 file, point format 2, for each partition; scale and offset as given."""
+    """A LAS 1.2 file, point format 2, for each partition.
 
-    def __init__(self, options):
-        self.path, self.scale = options["path"], float(options.get("scale", 0.001))
+    Options ``scale`` and ``offset`` (x,y,z): as given, else 0.001 and the whole
+    metres below the first batch.  Files have names of their own, so appending
+    adds to what is there; they are written under a hidden name and published when
+    the job commits, so retried and failed tasks leave nothing.  Records go to
+    the file batch by batch; only the header is written again at the end.
+    """
+
+    def __init__(self, options, overwrite: bool):
+        self.path, self.scale, self.overwrite = options["path"].rstrip("/"), float(options.get("scale", 0.001)), overwrite
+        self.offset = [float(v) for v in options["offset"].split(",")] if options.get("offset") else None
+        self.job = uuid.uuid4().hex[:12]
 
     def write(self, batches):
         from pyspark import TaskContext
 
         system, inner = _open(self.path)
         system.create_dir(inner, recursive=True)
-        part = TaskContext.get().partitionId()
-        body, n, low, high, shift = io.BytesIO(), 0, None, None, None
+        task = TaskContext.get()
+        hidden = f"{inner}/.{self.job}-{task.partitionId():05d}-{task.taskAttemptId()}"
+        n, low, high, shift = 0, None, None, None if self.offset is None else np.array(self.offset)
         kind = np.dtype([("p", "<i4", 3), ("i", "<u2"), ("f", "u1"), ("c", "u1"), ("a", "i1"), ("u", "u1"), ("s", "<u2"), ("k", "<u2", 3)])
-        for batch in batches:
-            t = batch.to_pandas()
-            if not len(t):
-                continue
-            xyz = t[["x", "y", "z"]].to_numpy(dtype=float)
-            shift = np.floor(xyz.min(axis=0)) if shift is None else shift
-            rec = np.zeros(len(t), dtype=kind)
-            rec["p"] = np.round((xyz - shift) / self.scale).astype(np.int32)
-            rec["c"] = t["label"].fillna(0).to_numpy(dtype=np.uint8)
-            rec["k"] = t[["red", "green", "blue"]].fillna(0).to_numpy(dtype=np.uint16)
-            body.write(rec.tobytes())
-            n += len(t)
-            low = xyz.min(axis=0) if low is None else np.minimum(low, xyz.min(axis=0))
-            high = xyz.max(axis=0) if high is None else np.maximum(high, xyz.max(axis=0))
-        if n:
-            head = bytearray(227)
-            head[:4], head[24:26] = b"LASF", bytes((1, 2))
-            struct.pack_into("<HII", head, 94, 227, 227, 0)
-            struct.pack_into("<BHI5I", head, 104, 2, kind.itemsize, n, n, 0, 0, 0, 0)
-            struct.pack_into("<3d3d", head, 131, *[self.scale] * 3, *shift)
-            struct.pack_into("<6d", head, 179, *[v for a in range(3) for v in (high[a], low[a])])
-            with system.open_output_stream(f"{inner.rstrip('/')}/part-{part:05d}.las") as f:
-                f.write(bytes(head))
-                f.write(body.getvalue())
-        return WriterCommitMessage()
+        with system.open_output_stream(hidden) as f:
+            for batch in batches:
+                t = batch.to_pandas()
+                if not len(t):
+                    continue
+                xyz = t[["x", "y", "z"]].to_numpy(dtype=float)
+                shift = np.floor(xyz.min(axis=0)) if shift is None else shift
+                steps = np.round((xyz - shift) / self.scale)
+                if not (np.abs(steps) < 2**31).all():
+                    raise ValueError("coordinates are missing or too far apart for this scale and offset")
+                rec = np.zeros(len(t), dtype=kind)
+                rec["p"] = steps.astype(np.int32)
+                rec["c"] = t["label"].fillna(0).to_numpy(dtype=np.uint8)
+                rec["k"] = t[["red", "green", "blue"]].fillna(0).to_numpy(dtype=np.uint16)
+                f.write(rec.tobytes())
+                n += len(t)
+                low = xyz.min(axis=0) if low is None else np.minimum(low, xyz.min(axis=0))
+                high = xyz.max(axis=0) if high is None else np.maximum(high, xyz.max(axis=0))
+        if not n:
+            system.delete_file(hidden)
+            return LasFile(None)
+        head = bytearray(227)
+        head[:4], head[24:26] = b"LASF", bytes((1, 2))
+        struct.pack_into("<HII", head, 94, 227, 227, 0)
+        struct.pack_into("<BHI5I", head, 104, 2, kind.itemsize, n, n, 0, 0, 0, 0)
+        struct.pack_into("<3d3d", head, 131, *[self.scale] * 3, *shift)
+        struct.pack_into("<6d", head, 179, *[v for a in range(3) for v in (high[a], low[a])])
+        whole = f"{hidden}.las"
+        with system.open_output_stream(whole) as f, system.open_input_stream(hidden) as body:  # stores have no writing at a place
+            f.write(bytes(head))
+            while some := body.read(8 << 20):
+                f.write(some)
+        system.delete_file(hidden)
+        return LasFile(whole)
+
+    def commit(self, messages):
+        system, inner = _open(self.path)
+        system.create_dir(inner, recursive=True)
+        if self.overwrite:
+            for path in _files(self.path, (".las",)):
+                old = _open(path)[1]
+                if not old.rsplit("/", 1)[-1].startswith("."):
+                    system.delete_file(old)
+        for k, m in enumerate(m for m in messages if m and m.path):
+            system.move(m.path, f"{inner}/part-{k:05d}-{self.job}.las")
+        self._clear()
+
+    def abort(self, messages):
+        self._clear()
+
+    def _clear(self) -> None:
+        from pyarrow import fs
+
+        system, inner = _open(self.path)
+        for f in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+            if f.base_name.startswith(f".{self.job}-"):
+                system.delete_file(f.path)
 
 
 class LasSource(DataSource):
@@ -151,7 +202,7 @@ class LasSource(DataSource):
         return LasReader(self.options)
 
     def writer(self, schema, overwrite):
-        return LasWriter(self.options)
+        return LasWriter(self.options, overwrite)
 
 
 def read_las(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -162,14 +213,36 @@ def read_las(spark: SparkSession, path: str, bbox: tuple[float, float, float, fl
     return reader.load(path)
 
 
-def write_las(points: DataFrame, path: str) -> None:
+def write_las(points: DataFrame, path: str, mode: str = "append", scale: float = 0.001, offset: tuple[float, float, float] | None = None) -> None:
     points.sparkSession.dataSource.register(LasSource)
-    points.select("x", "y", "z", "red", "green", "blue", "label").write.format("las").mode("append").save(path)
-
+    writer = points.select("x", "y", "z", "red", "green", "blue", "label").write.format("las").option("scale", scale)
+    if offset:
+        writer = writer.option("offset", ",".join(map(str, offset)))
+    writer.mode(mode).save(path)
+
+
+def las_cloud(points: DataFrame, unit: bool = False) -> DataFrame:
+    """Records of ``read_las`` with r, g, b for the operators.
+
+    As for training: 0 to 255, where a file's channels are divided by 257 if the
+    largest is above 255.  With ``unit``, as for classifying: 0 to 1, channels
+    divided by 65535 whatever they hold.
+    """
+    channels = dict(zip("rgb", ("red", "green", "blue"), strict=True))
+    if unit:
+        return points.withColumns({c: unit_channel(F.col(k), FULL) for c, k in channels.items()})
+    top = points.groupBy("tile").agg(F.max(F.greatest("red", "green", "blue")).alias("_top"))
+    return points.join(F.broadcast(top), "tile").withColumns({c: las_channel(F.col(k), F.col("_top")) for c, k in channels.items()}).drop("_top")
+
+
+def las_records(points: DataFrame, column: str = "class", coloured: bool = False) -> DataFrame:
+    """Classified points, colour 0 to 1, as LAS records: the class as label, and their own colour at 16 bits or the palette's."""
+    def channel(i: int) -> Column:
+        own = F.col("rgb"[i])
+        if coloured:
+            own = F.coalesce(F.get(F.array(*[F.lit(PALETTE[k][i]) for k in sorted(PALETTE)]), F.col(column)), F.lit(0)) / 255.0
+        return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(FULL), own * FULL))).cast("int")
 
-def class_coloured(points: DataFrame, column: str = "class") -> DataFrame:
-    """Points with the palette's colour of their class, at 16 bits."""
-    channel = lambda i: F.coalesce(F.get(F.array(*[F.lit(PALETTE[k][i] * 257) for k in sorted(PALETTE)]), F.col(column)), F.lit(0))
     return points.withColumns({c: channel(i) for i, c in enumerate(("red", "green", "blue"))}).withColumn("label", F.col(column).cast("short"))
 
 

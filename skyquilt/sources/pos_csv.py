@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,7 +25,8 @@ IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".dng")
 
 
 def field_of(header: str) -> str | None:
-    return _FIELD.get(header.strip().lstrip("﻿").strip().replace(" ", "").lower().replace("(", "").replace(")", ""))
+    """The field a header names: blanks, brackets and a byte order mark do not count, nor does case."""
+    return _FIELD.get(re.sub(r"[\s()\ufeff]+", "", header).casefold())
 
 
 def read_pos(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +71,21 @@ def report_text(scores: DataFrame, cells: int) -> DataFrame:
     return scores.select("idx", F.col("covered").alias("covered_grids"), F.lit(cells).alias("total_grids"), *six, F.when(F.col("keep"), "yes").otherwise("no").alias("keep"))
 
 
+def write_report(scores: DataFrame, cells: int, path: str) -> None:
+    """The coverage report as CSV, in order of ``idx``."""
+    report_text(scores, cells).orderBy("idx").write.mode("overwrite").option("header", True).csv(path)
+
+
+def target_text(targets: DataFrame) -> DataFrame:
+    """The building table as text columns in order of ``xmin``: metres with three decimals, areas with two."""
+    metres = [F.format_string("%.3f", F.col(c)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax", "height", "zmin", "zmax")]
+    return targets.orderBy("xmin", "cluster_id").select("cluster_id", "points", *metres, F.format_string("%.2f", F.col("area")).alias("area"))
+
+
+def write_targets(targets: DataFrame, path: str) -> None:
+    target_text(targets).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_lists(kept: DataFrame, folder: str) -> None:
     """Paths of kept and of removed images, a text file set each."""
     for name, wanted in (("kept", F.col("keep")), ("removed", ~F.col("keep"))):
@@ -76,7 +93,7 @@ def write_lists(kept: DataFrame, folder: str) -> None:
 
 
 def demo_pos(spark: SparkSession) -> DataFrame:
-    """A made survey: 7 lines of 16 stations, each with a nadir and an oblique image facing east, and 6 images far off; 230 records."""
+    """A made survey (its numbers are fixed values): 7 lines of 16 stations, each with a nadir and an oblique image facing east, and 6 images far off; 230 records."""
     station = spark.range(7 * 16).select((F.col("id") / 16).cast("int").alias("line"), (F.col("id") % 16).alias("at"))
     views = station.withColumn("view", F.explode(F.array(F.lit(0), F.lit(1))))
     number = (F.col("line") * 16 + F.col("at")) * 2 + F.col("view")
