@@ -15,7 +15,7 @@ from skyquilt.llm.lines import drop_repeated_lines
 from skyquilt.llm.mixing import mix_sources
 from skyquilt.llm.ngram_join import near_components
 from skyquilt.llm.quality import score_quality
-from skyquilt.llm.shared import Scratch
+from skyquilt.storage import Scratch
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     grouped = scratch.save(groups.join(several, "group").join(docs.select(node, F.col("doc_id").alias("_id")).distinct(), "_node"))
     leaders = grouped.groupBy("group").agg(F.min(F.struct(F.col("_id").isNull().alias("nameless"), "_id", "_node")).alias("first")).select("group", F.col("first._node").alias("_first"))
     led = scratch.save(grouped.join(leaders, "group").select("_node", (F.col("_node") == F.col("_first")).alias("leads"), "n"))
+    scratch.keep_only(led)
     alone = keyed.join(led.where("not leads or n > 1"), "_node", "left_anti").select(columns)
     repeated = keyed.join(led.where("leads and n > 1").select("_node"), "_node", "left_semi")
     return alone.unionByName(repeated.groupBy("_node").agg(F.min(F.struct(*columns)).alias("row")).select("row.*"))
@@ -87,4 +88,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        scratch.keep_only(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

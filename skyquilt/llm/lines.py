@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyquilt.llm.shared import Scratch
+from skyquilt.storage import Scratch
 
-SPACE = r"[\x20\x09\x0B-\x0D]+"
+SPACES, EDGES = r"[\x20\x09\x0B-\x0D]+", " \t\x0b\f\r"  # between words of a line
 STEPS = 4  # levels of rarity for each doubling of a word's count
 RANK_BITS, SLOT_BITS = (15, 24), (16, 28)  # sizes of the rarity table and of the filters grow with their input between these powers of two
 
@@ -34,14 +34,18 @@ def _filter(sigs: DataFrame, count: int) -> Column:
     return F.expr("shiftleft(1L, cast(sig & 63 as int))").bitwiseAND(word) != 0
 
 
-def _coded(lines: DataFrame, tokens: int) -> DataFrame:
-    """``lines`` with the ``codes`` of their words, in a global order: how often a word's hash bucket occurs over all lines, in ``STEPS`` a doubling, before 55 bits of its hash.
+def _words(line: Column) -> Column:
+    """The distinct words of a line, hashed."""
+    return F.array_distinct(F.transform(F.split(line, SPACES), lambda w: F.xxhash64(w)))
 
-    There is a bucket for about 16 words of the corpus, within RANK_BITS.  The
-    order decides how much is compared and never what is found.
+
+def _coded(lines: DataFrame, size: int) -> DataFrame:
+    """``lines`` with the ``codes`` of their distinct words, sorted by a global order: how often a word's hash bucket occurs over all lines, in ``STEPS`` a doubling, before 55 bits of its hash.
+
+    ``size`` is the number of buckets.  The order decides how much is compared
+    and never what is found.
     """
-    size = 1 << _power(tokens / 16, RANK_BITS)
-    counts = lines.select(F.explode("toks").alias("t")).groupBy(F.col("t").bitwiseAND(size - 1).alias("b")).count()
+    counts = lines.select(F.explode(F.split("words", SPACES)).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(size - 1).alias("b")).count()
     level = F.least(F.floor(F.log2("count") * STEPS) + 1, F.lit(255)).cast("long")
     words = counts.select(F.shiftright("b", 3).alias("w"), F.call_function("shiftleft", level, (F.col("b").bitwiseAND(7) * 8).cast("int")).alias("x")).groupBy("w").agg(F.bit_or("x").alias("bits"))
 
@@ -50,8 +54,10 @@ def _coded(lines: DataFrame, tokens: int) -> DataFrame:
         own = F.call_function("shiftrightunsigned", word, (t.bitwiseAND(7) * 8).cast("int")).bitwiseAND(255)
         return F.shiftleft(own, 55).bitwiseOR(F.shiftrightunsigned(t, 9))
 
-    # lambdas and their arguments hold no subquery; as a column used once it is put in by the optimizer, and repeated by reference
-    return lines.withColumn("levels", _packed(words, size >> 3)).withColumn("codes", F.zip_with("toks", F.array_repeat("levels", F.size("toks")), code)).drop("levels")
+    # a lambda holds no subquery, so it is a column that the optimizer puts in where it is used: once, as an argument, by reference
+    tabled = lines.withColumn("levels", _packed(words, size >> 3))
+    codes = F.transform(F.array("levels"), lambda levels: F.transform(_words(F.col("words")), lambda t: code(t, levels)))[0]
+    return tabled.withColumn("codes", F.sort_array(codes)).drop("levels")
 
 
 def _keys() -> Column:
@@ -70,24 +76,23 @@ class LineDedup:
         return F.floor((n * share + of - 1) / of).cast("int")
 
     def split(self) -> tuple[DataFrame, int]:
-        """Every line with a word: id, hash of the text, number, distinct words (hashed, sorted), their number, and a fingerprint of the set; and the words of all."""
+        """Every line with a word: id, hash of the text, number, and the line lowered; and the characters of all."""
         text = F.col(self.text_col)
         lines = self.docs.select(F.col(self.id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.lower(text), "\n", -1)).alias("line", "words"))
-        toks = F.array_distinct(F.transform(F.split("words", SPACE), lambda w: F.xxhash64(w)))
-        lines = lines.select("id", "th", "line", F.sort_array(F.array_remove(toks, F.xxhash64(F.lit("")))).alias("toks")).where(F.size("toks") > 0)
-        lines, seen = self.scratch.save_counted(lines.withColumn("n", F.size("toks")).withColumn("sig", F.xxhash64("toks")), tokens=F.sum("n"))
-        return lines, seen["tokens"] or 0
-
-    def sets(self, lines: DataFrame, tokens: int) -> DataFrame:
-        """The distinct sets, numbered (``rk``) in the order in which they first stand in the corpus.
-
-        ``prefix``: the codes of a set's rarest words, as many as it takes to meet
-        one of any set it matches.  ``parity``: each word flips one of 64 bits.
-        """
-        prefix = F.slice(F.sort_array("codes"), F.lit(1), F.col("n") - self.least(F.col("n"), self.fifths, 5) + 1)
-        parity = F.aggregate("toks", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
-        rows = _coded(lines, tokens).select("sig", "n", _keys().alias("first"), prefix.alias("prefix"), parity.alias("parity"))
-        sets = rows.groupBy("sig").agg(F.min("first").alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "parity", "prefix")])
+        lines = lines.select("id", "th", "line", F.trim("words", F.lit(EDGES)).alias("words")).where("words <> ''")
+        lines, seen = self.scratch.save_counted(lines, size=F.sum(F.length("words")))
+        return lines, seen["size"] or 0
+
+    def marked(self, lines: DataFrame, size: int) -> DataFrame:
+        """Every line with the number of its distinct words, a fingerprint of the set, the codes of its rarest words (as many as it takes to meet one of any set it matches), and a parity: each word flips one of 64 bits."""
+        parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+        coded = _coded(lines, 1 << _power(size / 128, RANK_BITS)).select("id", "th", "line", "codes")
+        prefix = F.slice("codes", F.lit(1), F.size("codes") - self.least(F.size("codes"), self.fifths, 5) + 1)
+        return self.scratch.save(coded.select("id", "th", "line", F.size("codes").alias("n"), F.xxhash64("codes").alias("sig"), parity.alias("parity"), prefix.alias("prefix")))
+
+    def sets(self, marked: DataFrame) -> DataFrame:
+        """The distinct sets, numbered (``rk``) in the order in which they first stand in the corpus."""
+        sets = marked.groupBy("sig").agg(F.min(_keys()).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "parity", "prefix")])
         return self.scratch.save(sets.orderBy("first").withColumn("rk", F.monotonically_increasing_id()))
 
     def fits(self, a: str, b: str) -> Column:
@@ -116,11 +121,12 @@ class LineDedup:
         return sets.select("rk", "n", "parity", *more, F.posexplode("prefix").alias("at", "code"))
 
     def verified(self, lines: DataFrame, sets: DataFrame, tries: DataFrame) -> DataFrame:
-        """Those of the pairs ``later, earlier`` whose sets are similar enough, counted in full."""
+        """``rk, near``: of the pairs ``later, earlier`` whose sets are similar enough, counted in full, the earliest of each ``later``."""
         ends = tries.select(F.col("later").alias("rk")).union(tries.select(F.col("earlier").alias("rk"))).distinct()
-        wanted, seen = self.scratch.save_counted(sets.select("rk", "sig").join(ends, "rk"), n=F.count("*"))
-        toks = lines.where(_filter(wanted.select("sig"), seen["n"])).groupBy("sig").agg(F.first("toks").alias("toks"))
-        toks = self.scratch.save(toks.join(wanted, "sig").select("rk", "toks"))
+        wanted, seen = self.scratch.save_counted(sets.select("rk", F.xxhash64("first.id", "first.th", "first.line").alias("sig"), "first.*").join(ends, "rk"), n=F.count("*"))
+        own = lines.withColumn("sig", F.xxhash64("id", "th", "line")).where(_filter(wanted.select("sig"), seen["n"])).select("sig", "words")
+        # repeated rows have a line several times
+        toks = self.scratch.save(own.groupBy("sig").agg(F.min("words").alias("words")).join(wanted, "sig").select("rk", _words(F.col("words")).alias("toks")))
         both = tries.join(toks.select(F.col("rk").alias("later"), F.col("toks").alias("ta")), "later").join(toks.select(F.col("rk").alias("earlier"), F.col("toks").alias("tb")), "earlier")
         shared = F.size(F.array_intersect("ta", "tb"))
         good = both.where(shared * 5 >= (F.size("ta") + F.size("tb") - shared) * self.fifths)
@@ -131,40 +137,38 @@ class LineDedup:
     def matches(self, lines: DataFrame, sets: DataFrame) -> DataFrame:
         """``rk, near``: the sets that match an earlier one, and the earliest of these.
 
-        First each set is compared with the earliest set of each of its words'
-        lists.  In a group of near copies that is mostly the earliest of the group,
-        and no list of the set holds an earlier one: it is done.  Only the others
-        are joined with all sets of their lists that stand before the best match.
+        First each set is compared with one other: of the sets that stand first in
+        the lists of its words, the earliest that fits.  In a group of near copies
+        that is mostly the earliest of the group, and no list of the set begins
+        before it: the set is done.  Only the others are joined with all sets of
+        their lists that stand before the match.
         """
         scratch = self.scratch
         lists = self.postings(sets).groupBy("code").agg(F.min("rk").alias("head"), F.max("rk").alias("last")).where("head < last").select("code", F.col("head").alias("rk"))
         lists = scratch.save(lists.join(sets.select("rk", "n", "parity"), "rk"))
         own, head = self.postings(sets).alias("a"), lists.alias("b")
-        heads = own.join(head, F.col("a.code") == F.col("b.code")).where("b.rk < a.rk").select(F.col("a.rk").alias("later"), F.col("b.rk").alias("earlier"), self.fits("a", "b").alias("fits"))
-        heads = scratch.save(heads.groupBy("later", "earlier").agg(F.max("fits").alias("fits")))
-        tries = heads.where("fits").select("later", "earlier")
+        heads = own.join(head, (F.col("a.code") == F.col("b.code")) & (F.col("b.rk") < F.col("a.rk")))
+        heads = scratch.save(heads.groupBy(F.col("a.rk").alias("later")).agg(F.min("b.rk").alias("least"), F.min(F.when(self.fits("a", "b"), F.col("b.rk"))).alias("earlier")))
+        tries = heads.where("earlier is not null").select("later", "earlier")
         found = self.verified(lines, sets, tries)
-        least = heads.groupBy(F.col("later").alias("rk")).agg(F.min("earlier").alias("least"))
-        # a set is done if none of its lists begins before its best match
-        open_ = least.join(found, "rk", "left").select("rk", F.coalesce("near", "rk").alias("bound"), "least").where("least < bound")
+        open_ = heads.join(found, F.col("later") == F.col("rk"), "left").select(F.col("later").alias("rk"), F.coalesce("near", "later").alias("bound"), "least").where("least < bound")
         open_ = scratch.save(open_.select("rk", "bound"))
         a, b = self.postings(sets.join(open_, "rk"), "bound").alias("a"), self.postings(sets).alias("b")
         pairs = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("b.rk") < F.col("a.bound")) & self.fits("a", "b") & self.placed("a", "b"))
         pairs = scratch.save(pairs.select(F.col("a.rk").alias("later"), F.col("b.rk").alias("earlier")).distinct())
-        rest = scratch.save(pairs.join(tries, ["later", "earlier"], "left_anti"))
-        scratch.drop(lists, heads, open_, pairs)
-        more = self.verified(lines, sets, rest)
-        scratch.drop(rest)
+        scratch.drop(lists, heads, open_)
+        more = self.verified(lines, sets, pairs)
         return found.union(more).groupBy("rk").agg(F.min("near").alias("near"))
 
     def removed(self) -> DataFrame:
         """Lines that match an earlier one: ``id, th, line, n, first`` with the earliest line matched."""
-        lines, tokens = self.split()
-        sets = self.sets(lines, tokens)
+        lines, size = self.split()
+        marked = self.marked(lines, size)
+        sets = self.sets(marked)
+        marked = marked.select("id", "th", "line", "n", "sig")
         near = self.matches(lines, sets).join(sets.select(F.col("rk").alias("near"), F.col("first").alias("before")), "near")
         best = sets.join(near, "rk", "left").where("copies > 1 or before is not null").select("sig", F.coalesce("before", "first").alias("first"))
-        found = lines.select("id", "th", "line", "n", "sig").join(best, "sig").where(F.col("first") < _keys())
-        found = self.scratch.save(found.select("id", "th", "line", "n", "first"))
+        found = self.scratch.save(marked.join(best, "sig").where(F.col("first") < _keys()).select("id", "th", "line", "n", "first"))
         self.scratch.keep_only(found)
         return found
 

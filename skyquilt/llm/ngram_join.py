@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyquilt.llm.shared import Scratch, components
 from skyquilt.llm.shingles import Shingler, mixed
+from skyquilt.operators.graph import components
+from skyquilt.storage import Scratch
 
 SLOTS = 1 << 23  # of the filter that keeps unneeded texts from being shuffled: 1 MB, whatever the input
 BUCKETS, PARTS = 1 << 22, 64  # counters of shingles by hash, in parts that are summed apart: 16 MB, whatever the input
@@ -330,9 +331,12 @@ class JaccardJoin:
         whole = components(scratch, edges.union(links).union(same))
         out = named.groupBy("id", "f1", "f2", "n", "rep").agg(F.count("*").alias("copies")).join(whole, F.col("rep") == F.col("node"), "left")
         out = out.select("id", "f1", "f2", "n", F.coalesce("component", F.least("rep", "id")).alias("component"))
-        return rows.alias("r").join(out.alias("o"), F.col("r.id").eqNullSafe(F.col("o.id")) & (F.col("r.f1") == F.col("o.f1")) & (F.col("r.f2") == F.col("o.f2")) & (F.col("r.n") == F.col("o.n")), "left").select(
+        out = rows.alias("r").join(out.alias("o"), F.col("r.id").eqNullSafe(F.col("o.id")) & (F.col("r.f1") == F.col("o.f1")) & (F.col("r.f2") == F.col("o.f2")) & (F.col("r.n") == F.col("o.n")), "left").select(
             F.col("r.id").alias("id"), F.col("r.n").cast("long").alias("n_shingles"), F.coalesce("component", "r.id").alias("component_id")
         )
+        out = scratch.save(out)
+        scratch.keep_only(out)
+        return out
 
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
