@@ -50,14 +50,14 @@ def _coded(lines: DataFrame, size: int) -> DataFrame:
     words = counts.select(F.shiftright("b", 3).alias("w"), F.call_function("shiftleft", level, (F.col("b").bitwiseAND(7) * 8).cast("int")).alias("x")).groupBy("w").agg(F.bit_or("x").alias("bits"))
 
     def code(t: Column, levels: Column) -> Column:
-        word = F.get(levels, F.shiftright(t.bitwiseAND(size - 1), 3).cast("int"))
+        word = F.coalesce(F.get(levels, F.shiftright(t.bitwiseAND(size - 1), 3).cast("int")), F.lit(0).cast("long"))
         own = F.call_function("shiftrightunsigned", word, (t.bitwiseAND(7) * 8).cast("int")).bitwiseAND(255)
         return F.shiftleft(own, 55).bitwiseOR(F.shiftrightunsigned(t, 9))
 
     # a lambda holds no subquery, so it is a column that the optimizer puts in where it is used: once, as an argument, by reference
     tabled = lines.withColumn("levels", _packed(words, size >> 3))
-    codes = F.transform(F.array("levels"), lambda levels: F.transform(_words(F.col("words")), lambda t: code(t, levels)))[0]
-    return tabled.withColumn("codes", F.sort_array(codes)).drop("levels")
+    codes = F.transform(F.array("levels"), lambda levels: F.transform(F.transform(F.split("words", SPACES), lambda w: F.xxhash64(w)), lambda t: code(t, levels)))[0]
+    return tabled.withColumn("codes", F.sort_array(F.array_distinct(codes))).drop("levels")
 
 
 def _keys() -> Column:
