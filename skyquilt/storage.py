@@ -30,24 +30,24 @@ class Scratch:
         self.root = f"{base.rstrip('/')}/skyquilt-{uuid.uuid4().hex}"
         self.paths: list[str] = []
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         """Write ``df`` and return it as read back."""
         path = f"{self.root}/{len(self.paths)}"
         self.paths.append(path)
         before = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", codec).parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001
         return out
 
-    def save_counted(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    def save_counted(self, df: DataFrame, codec: str = "snappy", **counts: Column) -> tuple[DataFrame, dict]:
         """``save``, and aggregates of the rows that are observed as they are written."""
         seen = Observation()
-        return self.save(df.observe(seen, *[c.alias(k) for k, c in counts.items()])), seen.get
+        return self.save(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), codec), seen.get
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables of ``save`` that no later result reads."""
