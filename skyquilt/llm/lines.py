@@ -80,7 +80,7 @@ class LineDedup:
         text = F.col(self.text_col)
         lines = self.docs.select(F.col(self.id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.lower(text), "\n", -1)).alias("line", "words"))
         lines = lines.select("id", "th", "line", F.trim("words", F.lit(EDGES)).alias("words")).where("words <> ''")
-        lines, seen = self.scratch.save_counted(lines, size=F.sum(F.length("words")))
+        lines, seen = self.scratch.save_counted(lines, "zstd", size=F.sum(F.length("words")))
         return lines, seen["size"] or 0
 
     def marked(self, lines: DataFrame, size: int) -> DataFrame:
@@ -93,7 +93,7 @@ class LineDedup:
     def sets(self, marked: DataFrame) -> DataFrame:
         """The distinct sets, numbered (``rk``) in the order in which they first stand in the corpus."""
         sets = marked.groupBy("sig").agg(F.min(_keys()).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "parity", "prefix")])
-        return self.scratch.save(sets.orderBy("first").withColumn("rk", F.monotonically_increasing_id()))
+        return self.scratch.save(sets.orderBy("first").withColumn("rk", F.monotonically_increasing_id()), "zstd")
 
     def fits(self, a: str, b: str) -> Column:
         """Whether sets of these sizes and parities can match: they differ in ``apart`` words at most, and each bit that differs is a word that does."""
@@ -153,10 +153,11 @@ class LineDedup:
         found = self.verified(lines, sets, tries)
         open_ = heads.join(found, F.col("later") == F.col("rk"), "left").select(F.col("later").alias("rk"), F.coalesce("near", "later").alias("bound"), "least").where("least < bound")
         open_ = scratch.save(open_.select("rk", "bound"))
+        scratch.drop(lists, heads)
         a, b = self.postings(sets.join(open_, "rk"), "bound").alias("a"), self.postings(sets).alias("b")
         pairs = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("b.rk") < F.col("a.bound")) & self.fits("a", "b") & self.placed("a", "b"))
         pairs = scratch.save(pairs.select(F.col("a.rk").alias("later"), F.col("b.rk").alias("earlier")).distinct())
-        scratch.drop(lists, heads, open_)
+        scratch.drop(open_)
         more = self.verified(lines, sets, pairs)
         return found.union(more).groupBy("rk").agg(F.min("near").alias("near"))
 
@@ -165,10 +166,11 @@ class LineDedup:
         lines, size = self.split()
         marked = self.marked(lines, size)
         sets = self.sets(marked)
-        marked = marked.select("id", "th", "line", "n", "sig")
+        slim = self.scratch.save(marked.select("id", "th", "line", "n", "sig"))
+        self.scratch.drop(marked)
         near = self.matches(lines, sets).join(sets.select(F.col("rk").alias("near"), F.col("first").alias("before")), "near")
         best = sets.join(near, "rk", "left").where("copies > 1 or before is not null").select("sig", F.coalesce("before", "first").alias("first"))
-        found = self.scratch.save(marked.join(best, "sig").where(F.col("first") < _keys()).select("id", "th", "line", "n", "first"))
+        found = self.scratch.save(slim.join(best, "sig").where(F.col("first") < _keys()).select("id", "th", "line", "n", "first"))
         self.scratch.keep_only(found)
         return found
 
