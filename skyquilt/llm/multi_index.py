@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,9 +40,10 @@ class MultiIndex:
     """A codebook for each half of the vectors; the pairs of codewords are the cells of a grid."""
 
     def __init__(self, sample: np.ndarray, rows: int, *, cosine: float, recall: float, per_cell: int = 16, rounds: int = 12, seed: int = 7):
+        """Codebooks for ``rows`` vectors: about ``per_cell`` vectors a cell; a codeword has four vectors of the sample at least."""
         rng = np.random.default_rng(seed)
         self.half = max(1, sample.shape[1] // 2)
-        k = int(np.clip(2 ** round(np.log2(max(1.0, (rows / per_cell) ** 0.5))), 1, 512))
+        k = int(np.clip(2 ** round(np.log2(max(1.0, (rows / per_cell) ** 0.5))), 1, max(1, len(sample) // 4)))
         self.books = [kmeans(sample[:, : self.half], k, rounds, rng), kmeans(sample[:, self.half :], k, rounds, rng)]
         self.visits = self._calibrate(sample, cosine, recall, rng)
 
@@ -60,12 +62,11 @@ class MultiIndex:
         off /= np.maximum(np.linalg.norm(off, axis=1), 1e-12)[:, None]
         partner = self.own(cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * off)
         ranks = []
-        for at in range(0, len(x), 100):
-            a, b = self.distances(x[at : at + 100])
-            grid = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1)
-            goal = grid[np.arange(len(a)), partner[at : at + 100]]
-            ranks.append((grid < goal[:, None]).sum(axis=1))
-        return int(np.quantile(np.concatenate(ranks), recall, method="higher")) + 1
+        a, b = self.distances(x)
+        for da, db, cell in zip(a, b, partner, strict=True):  # cells nearer than the partner's, counted codeword by codeword
+            goal = da[cell // len(db)] + db[cell % len(db)]
+            ranks.append(np.searchsorted(np.sort(db), goal - da).sum())
+        return int(np.quantile(ranks, recall, method="higher")) + 1
 
     def nearest_cells(self, x: np.ndarray) -> np.ndarray:
         """The ``visits`` nearest cells of each vector, nearest first, by multi-sequence traversal.
@@ -84,15 +85,15 @@ class MultiIndex:
 
 
 def compare_cell(queries: pd.DataFrame, index: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links between the vectors that visit a cell and those in it: per vector their number and the smallest id they lead to.
+    """Links between the vectors that visit a cell and those in it: per vector their number and the smallest node they lead to.
 
     A link is counted for the visitor.  It is counted for the other end too
     unless that one visits the visitor's cell, where it counts for itself.
     """
-    columns = ["id", "links", "root"]
+    columns = ["node", "links", "root"]
     if not len(queries) or not len(index):
         return pd.DataFrame([], columns=columns)
-    qi, ii = queries["id"].to_numpy(), index["id"].to_numpy()
+    qi, ii = queries["node"].to_numpy(), index["node"].to_numpy()
     hits = unit(queries["v"]) @ unit(index["v"]).T >= cosine
     hits &= qi[:, None] != ii[None, :]
     rows, cols = hits.any(axis=1), hits.any(axis=0)
@@ -106,16 +107,16 @@ def compare_cell(queries: pd.DataFrame, index: pd.DataFrame, cosine: float) -> p
     for cell in np.unique(home):
         here = home == cell
         alone += np.where((visits == cell).any(axis=1), 0, mult[here] @ hits[here])
-    # connected parts of this comparison, by smallest id
+    # connected parts of this comparison, by smallest node
     big = np.iinfo(np.int64).max
     root_q, root_i = qi.copy(), ii.copy()
     while True:
-        before = root_q.sum() + root_i.sum()
+        before = np.concatenate([root_q, root_i])
         root_q = np.minimum(root_q, np.where(hits, root_i[None, :], big).min(axis=1))
         root_i = np.minimum(root_i, np.where(hits, root_q[:, None], big).min(axis=0))
-        if root_q.sum() + root_i.sum() == before:
+        if (np.concatenate([root_q, root_i]) == before).all():
             break
-    return pd.DataFrame({"id": np.concatenate([qi, ii]), "links": np.concatenate([of_query, alone]), "root": np.concatenate([root_q, root_i])})
+    return pd.DataFrame({"node": np.concatenate([qi, ii]), "links": np.concatenate([of_query, alone]), "root": np.concatenate([root_q, root_i])})
 
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, recall: float = 0.97, max_sample: int = 20_000) -> DataFrame:
@@ -132,57 +133,68 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     ``component_id`` (smallest id reachable, itself included) and ``kept``
     (id = component_id).  Links found are right; a few may be missed.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components,
-    or have another length than most, link with nothing.  Null id: null
-    component, links with nothing, kept false.  Equal vectors are one node and
-    count with their number.  Empty table: no rows.  Other columns are ignored.
+    Vectors that are null, empty, zero, or hold null or non-finite components
+    link with nothing.  Vectors of different lengths do not link; each length has
+    an index of its own.  Null id: null component, links with nothing, kept
+    false.  Equal vectors are one node and count with their number, so repeated
+    rows are vectors of their own, linked with each other.  Rows that share an id
+    but not the vector are told apart by the vector.  Empty table: no rows.
+    Other columns are ignored.
 
     Cells are compared in blocks of bounded size, so one cell with a third of
     all vectors is many tasks; a comparison returns a row for each vector that
     has links there and never the pairs.
     """
     scratch = Scratch(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    narrow = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if narrow else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     fine = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    common = rows.where("fine").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    width = common["n"] if common else 0
-    rows = rows.withColumn("f1", F.when(F.col("fine") & (F.size("v") == width), F.xxhash64("v"))).withColumn("f2", F.xxhash64(F.reverse("v")))
-    # a copy's vector is only needed once, so only hashes and ids are gathered
-    nodes = rows.where("f1 is not null").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.count("*").alias("mult"))
-    nodes = rows.where("f1 is not null").select("f1", "f2", "id", "v").join(nodes, ["f1", "f2", "id"]).dropDuplicates(["f1", "f2", "id"])
-    nodes = scratch.save(nodes.select("id", "f1", "f2", "mult", F.col("v").cast("array<double>").alias("v")))
-    count = nodes.count()
-    if not count:
+    rows = rows.select("id", F.when(F.col("fine"), F.xxhash64(F.xxhash64("v"), F.xxhash64(F.reverse("v")))).alias("node"), F.when(F.col("fine"), F.size("v")).alias("width"), "v")
+    # a copy's vector is only needed once, so only numbers are gathered
+    nodes = rows.where("node is not null").groupBy("node", "width").agg(F.min("id").alias("id"), F.count("*").alias("mult"))
+    firsts = rows.where("node is not null").select("node", "id", "v").join(nodes, ["node", "id"]).dropDuplicates(["node"])
+    nodes = scratch.save(firsts.select("node", "width", "id", "mult", "v"))
+    widths = [(r["width"], r["count"]) for r in nodes.groupBy("width").count().orderBy("width").collect()]
+    if not widths:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("v").toPandas()
+    met = reduce(DataFrame.union, [_links(scratch, nodes.where(F.col("width") == w), n, kind, cosine=cosine, recall=recall, max_sample=max_sample) for w, n in widths])
+    links = met.groupBy("node").agg(F.sum("links").alias("links"))
+    parts = components(scratch, met.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    grouped = scratch.save(nodes.select("node", "id", "mult").join(links, "node", "left").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")))
+    least = grouped.groupBy("part").agg(F.min("id").alias("component_id"))
+    known = grouped.join(least, "part").select("node", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
+    known = scratch.save(known)
+    scratch.keep_only(known)
+    out = rows.select("id", "node").join(known, "node", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+
+
+def _links(scratch: Scratch, nodes: DataFrame, count: int, kind: str, *, cosine: float, recall: float, max_sample: int) -> DataFrame:
+    """``node, links, root`` of the nodes of one length, a row for each comparison in which a node has links."""
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(max_sample).select("v").toPandas()
     index = MultiIndex(unit(sample["v"]), count, cosine=cosine, recall=recall)
-    shared = vectors.sparkSession.sparkContext.broadcast(index)
+    shared = nodes.sparkSession.sparkContext.broadcast(index)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), 1000):
                 part = f.iloc[at : at + 1000]
                 x = unit(part["v"])
-                yield pd.DataFrame({"id": part["id"], "mult": part["mult"], "v": part["v"], "home": shared.value.own(x), "visits": list(shared.value.nearest_cells(x))})
+                yield pd.DataFrame({"node": part["node"], "mult": part["mult"], "v": part["v"], "home": shared.value.own(x), "visits": list(shared.value.nearest_cells(x))})
 
-    placed = scratch.save(nodes.select("id", "mult", "v").mapInPandas(place, "id long, mult long, v array<double>, home long, visits array<long>"))
-    visits = placed.select("id", "home", F.explode("visits").alias("cell"))
+    placed = scratch.save(nodes.select("node", "mult", "v").mapInPandas(place, f"node long, mult long, v {kind}, home long, visits array<long>"))
+    visits = placed.select(F.explode("visits").alias("cell"))
     asked = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("q_blocks"))
     listed = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / INDEX_BLOCK).alias("i_blocks"))
     blocks = scratch.save(asked.join(listed, "cell"))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    queries = placed.select("id", "mult", "v", "home", F.explode("visits").alias("cell")).join(blocks, "cell").withColumn("qb", F.pmod(F.xxhash64("id"), "q_blocks")).withColumn("ib", spread("i_blocks"))
-    listing = placed.select("id", "mult", "v", "visits", F.col("home").alias("cell")).join(blocks, "cell").withColumn("ib", F.pmod(F.xxhash64("id", F.lit(1)), "i_blocks")).withColumn("qb", spread("q_blocks"))
+    queries = placed.select("node", "mult", "v", "home", F.explode("visits").alias("cell")).join(blocks, "cell").withColumn("qb", F.pmod(F.xxhash64("node"), "q_blocks")).withColumn("ib", spread("i_blocks"))
+    listing = placed.select("node", "mult", "v", "visits", F.col("home").alias("cell")).join(blocks, "cell").withColumn("ib", F.pmod(F.xxhash64("node", F.lit(1)), "i_blocks")).withColumn("qb", spread("q_blocks"))
     keys = ["cell", "qb", "ib"]
     # under new names, as both sides come from one table
-    queries = queries.select(*[F.col(c).alias(c) for c in (*keys, "id", "mult", "v", "home")])
-    listing = listing.select(*[F.col(c).alias(c) for c in (*keys, "id", "mult", "v", "visits")])
-    met = queries.groupBy(*keys).cogroup(listing.groupBy(*keys)).applyInPandas(lambda q, i: compare_cell(q, i, cosine), "id long, links long, root long")
-    met = scratch.save(met)
-    links = met.groupBy("id").agg(F.sum("links").alias("links"))
-    parts = components(scratch, met.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = nodes.select("id", "f1", "f2", "mult").join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.select("id", "f1", F.when(F.col("f1").isNotNull(), F.col("f2")).alias("f2")).join(known, ["f1", "f2"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    queries = queries.select(*[F.col(c).alias(c) for c in (*keys, "node", "mult", "v", "home")])
+    listing = listing.select(*[F.col(c).alias(c) for c in (*keys, "node", "mult", "v", "visits")])
+    met = queries.groupBy(*keys).cogroup(listing.groupBy(*keys)).applyInPandas(lambda q, i: compare_cell(q, i, cosine), "node long, links long, root long")
+    return scratch.save(met)

@@ -32,6 +32,34 @@ def test_near_vectors(spark):
     assert multi_index.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_id(spark):
+    """Rows that share an id but not the vector, repeated rows, floats, and vectors of two lengths."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 0.0, 1.0]), (4, [0.0, 0.01, 1.0]), (5, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in multi_index.near_vectors(df).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 0, 2), (2, 2, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
+
+
+def test_recall_by_default(spark):
+    """Pairs planted just above the least similarity, among strangers, scattered and in bunches."""
+    for seed, centres in ((1, 0), (2, 40)):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(3000, 32))
+        if centres:
+            x = 0.6 * x + 2 * rng.normal(size=(centres, 32))[rng.integers(0, centres, 3000)]
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        off = rng.normal(size=x.shape)
+        off -= (off * x).sum(1)[:, None] * x
+        off /= np.linalg.norm(off, axis=1)[:, None]
+        cos = rng.uniform(0.9501, 0.955, 3000)[:, None]
+        whole = np.vstack([x, cos * x + np.sqrt(1 - cos * cos) * off])
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(whole)], "vec_id long, embedding array<double>")
+        got = {r["vec_id"]: r["n_links"] for r in multi_index.near_vectors(df).collect()}
+        want = (whole @ whole.T >= 0.95).sum(1) - 1
+        found = np.array([got[i] for i in range(len(whole))])
+        assert (found <= want).all() and found.sum() >= 0.9 * want.sum()
+
+
 def test_traversal_order():
     rng = np.random.default_rng(1)
     index = multi_index.MultiIndex(rng.normal(size=(300, 8)), 3000, cosine=0.95, recall=0.99)
