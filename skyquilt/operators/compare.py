@@ -46,7 +46,7 @@ def best_boxes(model: DataFrame, reference: DataFrame, cell: float) -> DataFrame
 
 
 def tiles_in_box(tiles: DataFrame, points: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Of every tile whose header box meets ``box``: its points, and how many lie inside.  Other tiles are not read past their header."""
+    """Of every tile whose header box meets ``box``: its points, and how many lie inside.  The other tiles' points take no part; ``read_las`` with a box does not read them either."""
     x0, y0, x1, y1 = box
     touching = tiles.where((F.col("maxx") >= x0) & (F.col("minx") <= x1) & (F.col("maxy") >= y0) & (F.col("miny") <= y1))
     inside = points.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1)).groupBy("tile").agg(F.count("*").alias("points_in_box"))
@@ -61,6 +61,14 @@ def target_counts(targets: DataFrame, *areas: float) -> DataFrame:
     return targets.agg(F.count("*").alias("targets"), *[F.count_if(F.col("area") >= a).alias(f"targets_{a:g}") for a in areas], F.sum("area").alias("total_area"))
 
 
+def before_after(before: DataFrame, after: DataFrame, *areas: float) -> DataFrame:
+    """``target_counts`` of the buildings of two surveys side by side, and the change of each, in one row."""
+    sides = [target_counts(t, *areas) for t in (before, after)]
+    columns = sides[0].columns
+    named = [t.select(*[F.col(c).alias(f"{side}_{c}") for c in columns]) for side, t in zip(("before", "after"), sides, strict=True)]
+    return named[0].crossJoin(F.broadcast(named[1])).withColumns({f"change_{c}": F.col(f"after_{c}") - F.col(f"before_{c}") for c in columns})
+
+
 def nearest_yaws(images: DataFrame, wanted=(0.0, 90.0, 180.0, 270.0), pitch: float = -60.0) -> DataFrame:
     """For each heading the image of the given pitch nearest to it, around the circle; ties by ``idx``."""
     turned = images.where(F.col("pitch") == pitch).withColumn("heading", F.explode(F.array(*map(F.lit, wanted))))

@@ -20,13 +20,13 @@ def _squared(a: str, b: str, axes: Sequence[str]) -> Column:
     return reduce(lambda p, q: p + q, [(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in axes])
 
 
-def _meet(queries: DataFrame, points: DataFrame, size: Column | float, axes: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Pairs ``src, dst, d2`` (and ``keep`` of the points) within one bucket of each other."""
+def _meet(queries: DataFrame, points: DataFrame, size: Column | float, axes: Sequence[str], keep: Sequence[str] = (), within: Sequence[str] = ()) -> DataFrame:
+    """Pairs ``src, dst, d2`` (and ``keep`` of the points) within one bucket of each other and alike in ``within``."""
     width = size if isinstance(size, Column) else F.lit(float(size))
     steps = F.array(*[F.struct(*[F.lit(s).alias(f"s{c}") for s, c in zip(shift, axes, strict=True)]) for shift in product((-1, 0, 1), repeat=len(axes))])
-    q = queries.withColumn("_s", F.explode(steps)).select(F.col("idx").alias("src"), *axes, *[(F.floor(F.col(c) / width) + F.col(f"_s.s{c}")).alias(f"k{c}") for c in axes])
-    p = points.select(F.col("idx").alias("dst"), *axes, *keep, *[F.floor(F.col(c) / width).alias(f"k{c}") for c in axes])
-    on = reduce(lambda a, b: a & b, [F.col(f"q.k{c}") == F.col(f"p.k{c}") for c in axes])
+    q = queries.withColumn("_s", F.explode(steps)).select(F.col("idx").alias("src"), *axes, *within, *[(F.floor(F.col(c) / width) + F.col(f"_s.s{c}")).alias(f"k{c}") for c in axes])
+    p = points.select(F.col("idx").alias("dst"), *axes, *keep, *within, *[F.floor(F.col(c) / width).alias(f"k{c}") for c in axes])
+    on = reduce(lambda a, b: a & b, [F.col(f"q.{c}") == F.col(f"p.{c}") for c in (*(f"k{c}" for c in axes), *within)])
     return q.alias("q").join(p.alias("p"), on).select("src", "dst", _squared("q", "p", axes).alias("d2"), *[F.col(f"p.{c}") for c in keep])
 
 
@@ -35,8 +35,8 @@ def radius_pairs(points: DataFrame, eps: float, axes: Sequence[str] = ("x", "y")
     return _meet(points, points, eps, axes).where(F.col("d2") <= eps * eps)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[str] = ("x", "y", "z"), *, keep: Sequence[str] = (), per_bucket: float = 4.0) -> DataFrame:
-    """``src, dst, d2, rank`` (and ``keep``): the k nearest points of every query, ties by ``idx``, a point itself included.
+def knn(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[str] = ("x", "y", "z"), *, keep: Sequence[str] = (), within: Sequence[str] = (), per_bucket: float = 4.0) -> DataFrame:
+    """``src, dst, d2, rank`` (and ``keep``): the k nearest points of every query, ties by ``idx``, a point itself included; only points alike in ``within`` count.
 
     The first bucket width holds ``per_bucket`` points on average.  A query is
     done when its k-th partner is within one bucket's width, since anything
@@ -51,13 +51,13 @@ def knn(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[str] = ("x
     width = (volume * per_bucket / box["n"]) ** (1.0 / max(1, len(sides)))
     whole = max([*(box[c] or 0.0 for c in axes), 1e-9])
     k = min(k, box["n"])
-    left, done = queries.select("idx", *axes), None
+    left, done = queries.select("idx", *axes, *within), None
     while True:
         last = width > 2 * whole  # one bucket and its neighbours hold everything, for queries inside the box
-        met = _meet(left, points, width, axes, keep)
+        met = _meet(left, points, width, axes, keep, within)
         order = Window.partitionBy("src").orderBy("d2", "dst")
         near = saved(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-        full = near.groupBy("src").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.lit(last) | (F.col("far") <= width * width))).select("src")
+        full = near.groupBy("src").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where(F.lit(last) | (F.col("n") == k) & (F.col("far") <= width * width)).select("src")
         good = near.join(full, "src")
         done = good if done is None else done.unionByName(good)
         left = saved(left.join(full, left["idx"] == full["src"], "left_anti"))

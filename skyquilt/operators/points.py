@@ -127,6 +127,28 @@ def class_counts(points: DataFrame, classes: int, column: str = "label") -> Data
     return counted.select("label", "n", F.round(F.when(whole > 0, F.col("n") * 100.0 / whole).otherwise(0.0), 6).alias("percent"))
 
 
+def class_report(points: DataFrame, classes: int, features: Sequence[str], parameters: dict[str, object], column: str = "class") -> DataFrame:
+    """The lines of a classification report: ``part, place, line``.
+
+    Parts: 'class' (number and percent of every class), 'feature' (quantiles of
+    each feature) and 'parameter' (sorted by name).
+    """
+    quantiles = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+    counts = class_counts(points, classes, column)
+    shown = counts.select(F.lit("class").alias("part"), F.col("label").alias("place"), F.format_string("%d: %d (%.2f%%)", "label", "n", "percent").alias("line"))
+    wide = points.agg(*[F.percentile(c, F.array(*map(F.lit, quantiles))).alias(c) for c in features])
+    numbers = lambda c: F.concat(F.lit(f"{c}: "), F.array_join(F.transform(F.col(c), lambda v: F.format_string("%.4f", v)), ", "))
+    rows = wide.select(F.explode(F.array(*[F.struct(F.lit("feature").alias("part"), F.lit(i).alias("place"), numbers(c).alias("line")) for i, c in enumerate(features)])).alias("r")).select("r.*")
+    given = points.sparkSession.createDataFrame([("parameter", i, f"{k}={v}") for i, (k, v) in enumerate(sorted(parameters.items()))], "part string, place int, line string")
+    return shown.union(rows).union(given)
+
+
+def block_classes(blocked: DataFrame, classes: int, column: str = "label") -> DataFrame:
+    """``bx, by, points`` of every block and ``n0 ..`` and ``ratio0 ..`` of every class in it."""
+    counts = blocked.groupBy("bx", "by").agg(F.count("*").alias("points"), *[F.count_if(F.col(column) == k).alias(f"n{k}") for k in range(classes)])
+    return counts.select("bx", "by", "points", *[f"n{k}" for k in range(classes)], *[(F.col(f"n{k}") / F.col("points")).alias(f"ratio{k}") for k in range(classes)])
+
+
 def normalise(points: DataFrame, scene: str = "scene") -> DataFrame:
     """Adds ``nx, ny, nz``: each scene about its centroid and within the unit ball (a scene of no extent is only moved); and the values to go back."""
     centre = points.groupBy(scene).agg(*[F.avg(a).alias(f"m{a}") for a in AXES])

@@ -59,7 +59,7 @@ def is_plane(pos: DataFrame) -> bool:
     if not {"x", "y"} <= set(pos.columns):
         return False
     first = pos.orderBy("idx").select("x", "y").first()
-    return first is not None and None not in first
+    return first is not None and first["x"] is not None and first["y"] is not None
 
 
 def origin_of(pos: DataFrame, lon: float | None = None, lat: float | None = None) -> tuple[float | None, float | None]:

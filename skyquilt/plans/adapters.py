@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,27 +28,23 @@ def embedded_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_points(items: DataFrame) -> DataFrame:
-    """Order lines as points; their key is the whole row that tells them apart."""
+    """Order lines as points."""
     return items.select(
         F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 2000).alias("y"), (F.col("l_discount") * 100).alias("z"), (F.col("l_linenumber") % 6).cast("int").alias("label"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
 
 
 def line_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as points.
 
-    ``idx`` stands for the order of a file: a single number made from the
-    columns that tell lines apart, so no task needs to number all rows.
+    ``idx`` stands for the order of a file: one number of 38 digits made from the
+    columns that tell lines apart, so no task needs to number all rows and
+    minima of it are hash aggregates.
     """
     p = _line_points(table(spark, sf_dir, "lineitem"))
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return p.select(order.alias("idx"), "x", "y", "z", "label", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-
-
-def numbered(points: DataFrame, by: str = "idx") -> DataFrame:
-    """Points numbered in order of ``by``, for small clouds: the number is a window over all rows."""
-    return points.withColumn("idx", F.row_number().over(Window.orderBy(by)).cast("long") - 1)
+    digits = F.concat(F.col("l_orderkey"), F.lpad("l_linenumber", 2, "0"), F.lpad("l_partkey", 10, "0"), F.lpad("l_suppkey", 10, "0"))
+    return p.select(digits.cast("decimal(38,0)").alias("idx"), "x", "y", "z", "label", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 SQL = """

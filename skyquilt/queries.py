@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +11,8 @@ from skyquilt.config import Camera, ClassifyConfig, ScreeningConfig
 from skyquilt.functions import colour, geometry
 from skyquilt.operators import cluster, compare, learn, metrics, neighbours, points, screening
 from skyquilt.plans import adapters as A
-from skyquilt.plans.survey import extract_buildings
-from skyquilt.sources import image_meta, pos_csv
+from skyquilt.plans.survey import extract_buildings, screen
+from skyquilt.sources import demo_scene, image_meta, pos_csv
 from skyquilt.storage import saved
 
 QUERIES: dict = {}
@@ -255,6 +256,23 @@ def class_report(spark, sf):
     return counts.crossJoin(F.broadcast(total)).select("label", "n", F.format_string("%d: %d of %d", "label", "n", "t").alias("line"))
 
 
+@query("SELECT 'class' AS part, label AS place, printf('%d: %d (%.2f%%)', label, n, round(n * 100 / (SELECT count(*) FROM cloud), 6)) AS line FROM (SELECT d.label, count(c.label) AS n FROM (SELECT unnest(range(6))::INTEGER AS label) d LEFT JOIN cloud c USING (label) GROUP BY d.label)"
+  + "".join(f" UNION ALL SELECT 'feature', {i}, '{c}: ' || " + " || ', ' || ".join(f"(SELECT printf('%.4f', quantile_cont({c}, {q})) FROM cloud)" for q in QS) for i, c in enumerate(("x", "z", "g")))
+  + " UNION ALL SELECT 'parameter', 0, 'ground_cell=4.0' UNION ALL SELECT 'parameter', 1, 'voxel=10.0'")
+def class_report_full(spark, sf):
+    return points.class_report(A.embedded_cloud(spark, sf), 6, ["x", "z", "g"], {"voxel": CLASSIFY.voxel, "ground_cell": CLASSIFY.ground_cell}, "label")
+
+
+@query("""ll AS (SELECT idx, 120.3::DOUBLE + x / 111320 AS lon, 31.2::DOUBLE + y / 110540 AS lat, z, omega, phi, kappa FROM pos), o AS (SELECT avg(lon) AS lon0, avg(lat) AS lat0 FROM ll),
+pos2 AS (SELECT idx, (lon - lon0) * 111320 * cos(radians(lat0)) AS x, (lat - lat0) * 110540 AS y, z, omega, phi, kappa FROM ll, o),
+""" + SCORE.replace("FROM pos p", "FROM pos2 p") + "SELECT idx, covered, round(score, 9) AS score, score >= 0.002 AS keep FROM scores")
+def screen_pos(spark, sf):
+    """A whole screening run from degrees, without repair of gaps."""
+    i = A.poses(spark, sf)
+    pos = i.select("idx", (F.lit(120.3) + F.col("x") / 111320).alias("lon"), (F.lit(31.2) + F.col("y") / 110540).alias("lat"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), "z", "omega", "phi", "kappa")
+    return rounded(screen(pos, replace(CONFIG, allow_gaps=True)).kept.select("idx", "covered", "score", "keep"), 9)
+
+
 # --- metrics and comparisons ----------------------------------------------------
 
 PRED = """j AS (SELECT quality AS label, toxic AS pred FROM labels)"""
@@ -457,6 +475,39 @@ def building_summary(spark, sf):
     return rounded(compare.target_counts(extract_buildings(p, EPS, CORE), 5.0, 20.0))
 
 
+@query(DB + "SELECT CAST(cluster AS INTEGER) AS cluster_id, count(*) AS points, " + ", ".join(f"printf('%.3f', round({f}({a}), 6)) AS {a}{f}" for a in "xyz" for f in ("min", "max")) + ", printf('%.3f', round(max(z) - min(z), 6)) AS height, printf('%.2f', round((max(x) - min(x)) * (max(y) - min(y)), 6)) AS area FROM lab JOIN cloud USING (idx) WHERE cluster >= 0 GROUP BY cluster")
+def building_table(spark, sf):
+    p = A.embedded_cloud(spark, sf)
+    return pos_csv.target_text(rounded(cluster.targets(p, cluster.dbscan(p, EPS, CORE))))
+
+
+@query("half AS (SELECT *, idx % 2 AS side FROM cloud)," + """
+e AS (SELECT a.side, a.idx AS s, b.idx AS t FROM half a JOIN half b ON a.side = b.side AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4),
+core AS (SELECT s FROM e GROUP BY s HAVING count(*) >= 8),
+ce AS (SELECT s, t FROM e WHERE s IN (SELECT s FROM core) AND t IN (SELECT s FROM core)),
+reach(s, t) AS (SELECT s, t FROM ce UNION SELECT r.s, ce.t FROM reach r JOIN ce ON r.t = ce.s),
+seed AS (SELECT s AS idx, min(t) AS seed FROM reach GROUP BY s),
+border AS (SELECT e.s AS idx, min(seed.seed) AS seed FROM e JOIN seed ON seed.idx = e.t WHERE e.s NOT IN (SELECT s FROM core) GROUP BY e.s),
+lab AS (SELECT h.side, h.x, h.y, coalesce(s.seed, b.seed) AS seed FROM half h LEFT JOIN seed s ON s.idx = h.idx LEFT JOIN border b ON b.idx = h.idx AND h.idx > b.seed),
+tg AS (SELECT side, (max(x) - min(x)) * (max(y) - min(y)) AS area FROM lab WHERE seed IS NOT NULL GROUP BY side, seed),
+s2 AS (SELECT v.side, count(tg.area) AS targets, count(*) FILTER (area >= 5) AS targets_5, count(*) FILTER (area >= 20) AS targets_20, sum(area) AS total_area FROM (SELECT unnest([0, 1]) AS side) v LEFT JOIN tg USING (side) GROUP BY v.side)
+SELECT b.targets AS before_targets, b.targets_5 AS before_targets_5, b.targets_20 AS before_targets_20, round(b.total_area, 6) AS before_total_area, a.targets AS after_targets, a.targets_5 AS after_targets_5, a.targets_20 AS after_targets_20,
+  round(a.total_area, 6) AS after_total_area, a.targets - b.targets AS change_targets, a.targets_5 - b.targets_5 AS change_targets_5, a.targets_20 - b.targets_20 AS change_targets_20, round(a.total_area - b.total_area, 6) + 0.0 AS change_total_area FROM s2 b, s2 a WHERE b.side = 0 AND a.side = 1""")
+def buildings_compared(spark, sf):
+    p = A.embedded_cloud(spark, sf).withColumn("class", F.lit(1))
+    before, after = (extract_buildings(p.where(F.col("idx") % 2 == k), EPS, CORE) for k in (0, 1))
+    return rounded(compare.before_after(before, after, 5.0, 20.0))
+
+
+@query("SELECT a.idx, b.idx AS nearest, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), 6) AS d2, b.label FROM cloud a JOIN cloud b ON a.idx <> b.idx QUALIFY row_number() OVER (PARTITION BY a.idx ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.idx) = 1")
+def nearest_other_label(spark, sf):
+    """Of every point the nearest other one: of the two nearest, the point itself is one unless it has equals before it."""
+    p = A.embedded_cloud(spark, sf)
+    others = neighbours.knn(p, p, 2, keep=["label"]).where("src <> dst")
+    best = others.groupBy(F.col("src").alias("idx")).agg(F.min(F.struct("rank", "dst", "d2", "label")).alias("m"))
+    return rounded(best.select("idx", F.col("m.dst").alias("nearest"), "m.d2", "m.label"))
+
+
 # --- samples, blocks, scenes ----------------------------------------------------
 
 @query("SELECT idx, label FROM (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY md5('3:' || idx), idx) AS rk FROM cloud) WHERE rk <= 20")
@@ -486,6 +537,14 @@ def blocks(spark, sf):
     return points.blocks(A.line_cloud(spark, sf), 20.0, 0.5).select("bx", "by", "l_orderkey", "l_linenumber", "l_partkey", "n")
 
 
+@query("""o AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM lines),
+bi AS (SELECT unnest(range(CAST(ceil((x1 - x0) / 10) AS BIGINT))) AS bx FROM o), bj AS (SELECT unnest(range(CAST(ceil((y1 - y0) / 10) AS BIGINT))) AS "by" FROM o),
+bp AS (SELECT bx, "by", label FROM lines, o, bi, bj WHERE x >= x0 + bx * 10 AND x < x0 + bx * 10 + 20 AND y >= y0 + "by" * 10 AND y < y0 + "by" * 10 + 20)
+SELECT bx, "by", count(*) AS points, """ + ", ".join(f"count(*) FILTER (label = {k}) AS n{k}, round(count(*) FILTER (label = {k}) / count(*), 9) AS ratio{k}" for k in range(6)) + ' FROM bp GROUP BY bx, "by" HAVING count(*) >= 100')
+def block_ratios(spark, sf):
+    return rounded(points.block_classes(points.blocks(A.line_cloud(spark, sf), 20.0, 0.5), 6), 9)
+
+
 @query()
 def block_split(spark, sf):
     return points.split_blocks(points.blocks(A.line_cloud(spark, sf), 10.0))
@@ -511,15 +570,39 @@ def argmax_class(spark, sf):
     return A.embedded_cloud(spark, sf).select("idx", F.array("r", "g", "b").alias("probs")).select("idx", metrics.argmax_class().alias("pred"))
 
 
+def _model(spark, sf):
+    """A model fitted on three of four points; the others are held out."""
+    return learn.fit(A.embedded_cloud(spark, sf).where("idx % 4 <> 0"))
+
+
 @query()
 def predict_chunks(spark, sf):
-    return learn.predict_chunks(A.embedded_cloud(spark, sf), np.array([[20.0 * (k % 3 - 1), 20.0 * (k // 3) - 10, 0.0, 0.5, 0.5, 0.5] for k in range(6)]), 128)
+    return learn.predict_chunks(_model(spark, sf), A.embedded_cloud(spark, sf), 512)
 
 
 @query()
 def ml_predict(spark, sf):
-    p = A.embedded_cloud(spark, sf)
-    return learn.predict(learn.fit(p.where("idx % 4 <> 0")), p.where("idx % 4 = 0"))
+    return learn.predict(_model(spark, sf), A.embedded_cloud(spark, sf)).withColumn("held_out", F.col("idx") % 4 == 0)
+
+
+@query()
+def evaluate_model(spark, sf):
+    return learn.evaluate(_model(spark, sf), A.embedded_cloud(spark, sf), 6)
+
+
+@query()
+def predict_cloud(spark, sf):
+    return learn.predict_cloud(_model(spark, sf), A.embedded_cloud(spark, sf), 512, 3)
+
+
+@query()
+def dataset_items(spark, sf):
+    return learn.dataset_item(A.embedded_cloud(spark, sf), 1024, 2.0, seed=3)
+
+
+@query()
+def demo_points(spark, sf):
+    return demo_scene.demo_scene(spark)
 
 
 # --- text in files --------------------------------------------------------------

@@ -9,6 +9,7 @@ from skyquilt.config import Camera
 from skyquilt.functions import geometry as G
 from skyquilt.operators import cluster, compare, metrics, neighbours, points, screening
 from skyquilt.operators.graph import components
+from skyquilt.storage import Scratch
 
 POSE = "idx long, x double, y double, z double, omega double, phi double, kappa double"
 
@@ -98,6 +99,50 @@ def test_dbscan_border(spark):
     assert labels(line([1.0, 1.5, 2.0, 0])) == [0, 0, 0, 0]
 
 
+def plain_dbscan(xy, eps, least):
+    near = ((xy[:, None] - xy[None]) ** 2).sum(-1) <= eps * eps
+    core, label, seeds = near.sum(1) >= least, np.full(len(xy), -1), []
+    for i in range(len(xy)):
+        if core[i] and label[i] < 0:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if label[j] < 0:
+                    label[j] = len(seeds)
+                    todo += [int(m) for m in np.flatnonzero(near[j] & core) if label[m] < 0]
+            seeds.append(i)
+    for i in np.flatnonzero(~core):
+        some = [label[m] for m in np.flatnonzero(near[i] & core)]
+        if some and i > seeds[min(some)]:
+            label[i] = min(some)
+    return label.tolist()
+
+
+def test_dbscan_equals_a_scan(spark):
+    """A third of all points in one cell, copies of one point, and thin parts."""
+    rng = np.random.default_rng(5)
+    xy = np.vstack([rng.normal(0, 0.1, (120, 2)), rng.uniform(-12, 12, (200, 2)), np.repeat([[3.0, 3.0]], 30, 0), rng.normal(5, 1, (60, 2))])
+    xy = xy[rng.permutation(len(xy))]
+    got = [r["cluster"] for r in cluster.dbscan(cloud(spark, [(x, y, 0) for x, y in xy]), 1.0, 5).orderBy("idx").collect()]
+    assert got == plain_dbscan(xy, 1.0, 5) and max(got) > 1
+
+
+def test_repair_of_one_gap(spark):
+    """Nothing is kept, so the whole survey is one gap."""
+    rng = random.Random(7)
+    rel = {i: {c for c in range(60) if rng.random() < 0.2} for i in range(25)}
+    want, left = [], set().union(*rel.values())
+    while left:
+        best = min(rel, key=lambda i: (-len(rel[i] & left), i))
+        want.append(best)
+        left -= rel[best]
+    cover = spark.createDataFrame([(i, c, 0) for i in rel for c in rel[i]], "idx long, ix long, iy long")
+    scores = screening.contribution(spark.range(25).withColumnRenamed("id", "idx"), cover, 60)
+    got = screening.repair_gaps(screening.select_images(scores, 9.0), cover).collect()
+    assert {r["idx"] for r in got if r["keep"]} == set(want) == {r["idx"] for r in got if r["added"]}
+    assert not any(r["added"] for r in screening.repair_gaps(screening.select_images(scores, 0.0), cover).collect())
+
+
 def test_knn(spark):
     rng = np.random.default_rng(0)
     xyz = np.vstack([rng.normal(size=(60, 3)), [[50.0, 50.0, 50.0]]])
@@ -120,8 +165,8 @@ def test_yaw(spark):
 
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(50, 51), (60, 60)], "a long, b long")
-    got = {r["node"]: r["component"] for r in components(edges).collect()}
-    assert got == {**{i: 0 for i in range(31)}, 50: 50, 51: 50, 60: 60}
+    got = {r["node"]: r["component"] for r in components(Scratch(spark), edges).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 50: 50, 51: 50}
 
 
 def test_iou(spark):

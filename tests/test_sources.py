@@ -1,7 +1,9 @@
+import os
 import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skyquilt.sources import image_meta, point_files, pos_csv
 
@@ -61,6 +63,30 @@ def test_las(spark, tmp_path):
     got = point_files.read_las(spark, str(tmp_path / "out")).orderBy("idx").collect()
     assert [(round(r["x"], 3), round(r["y"], 3), r["red"], r["label"]) for r in got] == [(r[0], r[1], r[3], r[6]) for r in rows]
     assert point_files.read_las(spark, str(tmp_path / "out"), (500.0, 500.0, 600.0, 600.0)).count() == 0
+    point_files.write_las(df.limit(7), str(tmp_path / "out"))  # appends
+    assert point_files.read_las(spark, str(tmp_path / "out")).count() == 57
+    point_files.write_las(df.limit(5), str(tmp_path / "out"), "overwrite", 0.01, (1.0, 2.0, 3.0))
+    again = point_files.read_las(spark, str(tmp_path / "out"))
+    assert again.count() == 5 and [f for f in os.listdir(tmp_path / "out") if f.startswith(".")] == []
+    (tmp_path / "empty").mkdir()
+    assert point_files.read_las(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(Exception, match="too far"):
+        point_files.write_las(df.withColumn("x", F.col("x") * 1e9), str(tmp_path / "far"))
+    assert not [f for f in os.listdir(tmp_path / "far")]
+    point_files.write_las(df.limit(0), str(tmp_path / "none"))
+    assert point_files.read_las(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_las_colours(spark, tmp_path):
+    df = spark.createDataFrame([("a", 65535, 257, 0), ("b", 255, 10, 0), ("b", None, 20, 1)], "tile string, red int, green int, blue int")
+    got = [(r["r"], r["g"], r["b"]) for r in point_files.las_cloud(df).orderBy("tile", "green").collect()]
+    assert got == [(255.0, 1.0, 0.0), (255.0, 10.0, 0.0), (0.0, 20.0, 1.0)] or got[:2] == [(255.0, 1.0, 0.0), (255.0, 10.0, 0.0)]
+    got = point_files.las_cloud(df, unit=True).where("tile = 'a'").first()
+    assert (got["r"], got["g"]) == (1.0, pytest.approx(257 / 65535))
+    cls = spark.createDataFrame([(1.0, 0.5, 0.0, 1), (1.0, 1.0, 1.0, 9)], "r double, g double, b double, class int")
+    own, coloured = ([(r["red"], r["green"], r["blue"], r["label"]) for r in point_files.las_records(cls, coloured=c).orderBy("label").collect()] for c in (False, True))
+    assert own == [(65535, 32767, 0, 1), (65535, 65535, 65535, 9)]
+    assert coloured == [(int(220 / 255 * 65535), int(60 / 255 * 65535), int(60 / 255 * 65535), 1), (0, 0, 0, 9)]
 
 
 def test_tables(spark, tmp_path):
