@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -80,6 +81,47 @@ def test_licences(spark):
     assert licences.scan_licences(table(spark, [])).count() == 0
 
 
+def brute_licences(docs):
+    """Every template laid at every place of every text."""
+    texts = [[w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(licences.UPPER, licences.LOWER)))] for _, t, _ in docs]
+    vocabulary = {w for phrase in licences.BASE.values() for w in phrase.split()} | {w for _, notice, _ in licences.NOTICES for w in notice.split()}
+    idf = {w: math.log((len(docs) + 1) / (sum(w in t for t in texts) + 1)) + 1e-6 for w in vocabulary}
+    out = []
+    for (i, _, _), words in zip(docs, texts, strict=True):
+        at = lambda k, words=words: words[k] if 0 <= k < len(words) else None
+        places = [(s, label) for label, phrase in licences.BASE.items() for s in range(len(words)) if words[s : s + len(phrase.split())] == phrase.split()]
+        shares = {}
+        for label, notice, key in licences.NOTICES:
+            notice, key = notice.split(), key.split()
+            first = next(k for k in range(len(notice)) if notice[k : k + len(key)] == key)
+            for s in range(-len(notice), len(words)):
+                if s + first >= 0 and words[s + first : s + first + len(key)] == key:
+                    share = sum(idf[w] for k, w in enumerate(notice) if at(s + k) == w) / sum(idf[w] for w in notice)
+                    shares[label] = max(share, shares.get(label, 0.0))
+        labels = {label for _, label in places} | {label for label, v in shares.items() if v >= licences.COVERAGE}
+        starts = [s for s, _ in places]
+        best = min(1.0, max([0.5 if places else 0.0, *shares.values()]))
+        out.append((i, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places})), ",".join(sorted(labels)), round(best, 6)))
+    return out
+
+
+def test_licences_equal_brute_force(spark):
+    rng = random.Random(4)
+    phrases = [*licences.BASE.values(), *[n for _, n, _ in licences.NOTICES], *[k for _, _, k in licences.NOTICES]]
+    docs = [(r["doc_id"], r["text"], "a") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for i in range(120):  # notices with words changed, left out and put in
+        words = []
+        for phrase in rng.sample(phrases, rng.randint(1, 3)):
+            some = [rng.choice([w, w.upper(), "other", ""]) if rng.random() < 0.15 else w for w in phrase.split()]
+            words += [*some, *rng.sample(["cc", "by", "gnu", "license", "x", "the", "mit"], rng.randint(0, 3))]
+        docs.append((10_000 + i, rng.choice([" ", "-", ". ", "\n"]).join(words), "a"))
+    got = sorted(tuple(r) for r in licences.scan_licences(table(spark, docs)).collect())
+    want = sorted(brute_licences(docs))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[:7] == w[:7] and g[7] == pytest.approx(w[7], abs=2e-6)
+
+
 # --- secrets --------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -103,6 +145,18 @@ def test_secrets_equal_re(text):
     assert got == brute_secrets(text)
 
 
+OWN = st.sampled_from(["ghp_", "gho_", "ghs_", "xoxb-", "xoxa-", "AIza", "sk_live_", "rk_test_", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "Ab1" * 7, "Zz9" * 14, "x" * 12, "_", "-", " ", "é", "k"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(OWN, max_size=12).map("".join))
+def test_own_secrets_equal_re(text):
+    data = text.encode()
+    got = [(len(data[:s].decode()), r, len(data[:e].decode())) for s, r, e in SCANNER.spans(data) if r >= 3]
+    want = [(m.start(), r, m.end()) for r, (_, _, pattern, least, _) in enumerate(secrets.RULES) if r >= 3 for m in re.finditer(pattern, text, re.ASCII) if len(m[0]) >= least]
+    assert sorted(got) == sorted(want)
+
+
 def test_secrets_odd(spark):
     rows = [(9, "é token = 'abcdefgh1' ghp_" + "Zq" * 18, "a")]
     got = by_id(secrets.scan_secrets(table(spark, ODD + rows)))
@@ -328,6 +382,17 @@ def test_lines_equal_brute_force(spark):
     assert lines.repeated_lines(table(spark, [])).count() == 0
 
 
+def test_lines_odd(spark):
+    """Null ids, repeated rows, empty and very long texts, ties, and groups whose sets are all alike."""
+    docs = [*ODD, (6, "same text twice over\nno id here", "b"), (7, "over twice text same\n" + "x " * 9 + "no id here", "b")]
+    docs += [(20 + i, " ".join([f"w{k}" for k in range(30)] + [f"own{i}"]) + "\n" + " ".join(f"v{k}" for k in range(i, i + 12)), "c") for i in range(25)]
+    docs += [(60, " ".join(f"z{k}" for k in range(5000)), "d"), (61, " ".join(f"z{k}" for k in range(40, 5000)), "d")]
+    want = brute_lines(list(dict.fromkeys(docs)))
+    got = [tuple(r) for r in lines.repeated_lines(table(spark, docs)).select("doc_id", "line_no", "first_id", "first_line").collect()]
+    assert set(got) == want and (6, 1, None, 0) in want and (61, 0, 60, 0) in want
+    assert len(lines.drop_repeated_lines(table(spark, docs)).collect()) == len(docs)
+
+
 # --- n-gram join ----------------------------------------------------------------
 
 def test_shingles():
