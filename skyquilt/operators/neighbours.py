@@ -13,21 +13,21 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyquilt.storage import saved
+from skyquilt.storage import Scratch, saved
 
 
 def _squared(a: str, b: str, axes: Sequence[str]) -> Column:
     return reduce(lambda p, q: p + q, [(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in axes])
 
 
-def _meet(queries: DataFrame, points: DataFrame, size: Column | float, axes: Sequence[str], keep: Sequence[str] = (), within: Sequence[str] = ()) -> DataFrame:
-    """Pairs ``src, dst, d2`` (and ``keep`` of the points) within one bucket of each other and alike in ``within``."""
-    width = size if isinstance(size, Column) else F.lit(float(size))
+def _meet(queries: DataFrame, points: DataFrame, size: float, axes: Sequence[str]) -> DataFrame:
+    """Pairs ``src, dst, d2`` within one bucket of each other."""
+    width = F.lit(float(size))
     steps = F.array(*[F.struct(*[F.lit(s).alias(f"s{c}") for s, c in zip(shift, axes, strict=True)]) for shift in product((-1, 0, 1), repeat=len(axes))])
-    q = queries.withColumn("_s", F.explode(steps)).select(F.col("idx").alias("src"), *axes, *within, *[(F.floor(F.col(c) / width) + F.col(f"_s.s{c}")).alias(f"k{c}") for c in axes])
-    p = points.select(F.col("idx").alias("dst"), *axes, *keep, *within, *[F.floor(F.col(c) / width).alias(f"k{c}") for c in axes])
-    on = reduce(lambda a, b: a & b, [F.col(f"q.{c}") == F.col(f"p.{c}") for c in (*(f"k{c}" for c in axes), *within)])
-    return q.alias("q").join(p.alias("p"), on).select("src", "dst", _squared("q", "p", axes).alias("d2"), *[F.col(f"p.{c}") for c in keep])
+    q = queries.withColumn("_s", F.explode(steps)).select(F.col("idx").alias("src"), *axes, *[(F.floor(F.col(c) / width) + F.col(f"_s.s{c}")).alias(f"k{c}") for c in axes])
+    p = points.select(F.col("idx").alias("dst"), *axes, *[F.floor(F.col(c) / width).alias(f"k{c}") for c in axes])
+    on = reduce(lambda a, b: a & b, [F.col(f"q.k{c}") == F.col(f"p.k{c}") for c in axes])
+    return q.alias("q").join(p.alias("p"), on).select("src", "dst", _squared("q", "p", axes).alias("d2"))
 
 
 def radius_pairs(points: DataFrame, eps: float, axes: Sequence[str] = ("x", "y")) -> DataFrame:
@@ -38,32 +38,66 @@ def radius_pairs(points: DataFrame, eps: float, axes: Sequence[str] = ("x", "y")
 def knn(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[str] = ("x", "y", "z"), *, keep: Sequence[str] = (), within: Sequence[str] = (), per_bucket: float = 4.0) -> DataFrame:
     """``src, dst, d2, rank`` (and ``keep``): the k nearest points of every query, ties by ``idx``, a point itself included; only points alike in ``within`` count.
 
-    The first bucket width holds ``per_bucket`` points on average.  A query is
-    done when its k-th partner is within one bucket's width, since anything
-    nearer lies in the adjoining buckets; the others ask again with twice the
-    width, down to the few in empty space.
+    Buckets follow the density: the widest hold ``per_bucket`` points on average,
+    and those that hold many times k are halved until none does, so a query in a
+    crowd meets a bounded crowd.  A query is done when its k-th partner is within
+    one width of its own bucket, since anything nearer lies in the adjoining
+    ones; the others ask again with twice the width, down to the few in empty
+    space.
     """
     box = points.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in axes]).first()
     if not box["n"]:
         raise ValueError("no points to search")
+    scratch = Scratch(points.sparkSession)
     sides = [max(box[c], 1e-9) for c in axes if box[c] and box[c] > 1e-9]
     volume = reduce(lambda a, b: a * b, sides, 1.0)
     width = (volume * per_bucket / box["n"]) ** (1.0 / max(1, len(sides)))
     whole = max([*(box[c] or 0.0 for c in axes), 1e-9])
     k = min(k, box["n"])
-    left, done = queries.select("idx", *axes, *within), None
+    left = _halved(scratch, queries.select("idx", *axes, *within), points, width, axes, within, 4 * max(k, per_bucket))
+    done = None
     while True:
-        last = width > 2 * whole  # one bucket and its neighbours hold everything, for queries inside the box
-        met = _meet(left, points, width, axes, keep, within)
+        levels = [r["level"] for r in left.select("level").distinct().collect()]
+        if not levels:
+            return done
+        met = _meet_levels(left, points, levels, width, axes, keep, within)
         order = Window.partitionBy("src").orderBy("d2", "dst")
-        near = saved(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-        full = near.groupBy("src").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where(F.lit(last) | (F.col("n") == k) & (F.col("far") <= width * width)).select("src")
-        good = near.join(full, "src")
+        near = scratch.save(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        full = near.groupBy("src").agg(F.count("*").alias("n"), F.max("d2").alias("far"), F.first("w").alias("w"))
+        # one bucket and its neighbours hold everything, for queries inside the box
+        full = full.where((F.col("w") > 2 * whole) | (F.col("n") == k) & (F.col("far") <= F.col("w") * F.col("w"))).select("src")
+        good = near.join(full, "src").drop("w")
         done = good if done is None else done.unionByName(good)
-        left = saved(left.join(full, left["idx"] == full["src"], "left_anti"))
-        if left.isEmpty():
-            return done
-        width *= 2
+        left = scratch.save(left.join(full, left["idx"] == full["src"], "left_anti").withColumn("level", F.col("level") - 1))
+
+
+def _buckets(level: Column, width: float, axes: Sequence[str]) -> list[Column]:
+    return [F.floor(F.col(c) / (width * F.pow(F.lit(2.0), -level))).alias(f"k{c}") for c in axes]
+
+
+def _halved(scratch: Scratch, queries: DataFrame, points: DataFrame, width: float, axes: Sequence[str], within: Sequence[str], most: float) -> DataFrame:
+    """``queries`` with ``level``: how often the buckets of ``width`` are halved until the query's own holds ``most`` points at most."""
+    left, crowd, keys = queries.withColumn("level", F.lit(0)), points.select(*axes, *within), [*(f"k{c}" for c in axes), *within]
+    for level in range(48):  # points that are closer than this are in one place
+        placed = crowd.select("*", *_buckets(F.lit(level), width, axes))
+        heavy = scratch.save(placed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys))
+        if heavy.isEmpty():
+            break
+        crowd = scratch.save(placed.join(heavy, keys, "left_semi").select(*axes, *within))
+        here = left.select("*", *_buckets(F.lit(level), width, axes)).join(heavy.withColumn("heavy", F.lit(True)), keys, "left")
+        left = scratch.save(here.select("idx", *axes, *within, F.when(F.col("heavy") & (F.col("level") == level), level + 1).otherwise(F.col("level")).alias("level")))
+    return left
+
+
+def _meet_levels(queries: DataFrame, points: DataFrame, levels: list[int], width: float, axes: Sequence[str], keep: Sequence[str], within: Sequence[str]) -> DataFrame:
+    """Pairs ``src, dst, d2, w`` within one bucket of each other at the query's level; w is its width there."""
+    level, keys = F.col("level"), [*(f"k{c}" for c in axes), *within, "level"]
+    near = queries.select(F.col("idx").alias("src"), *axes, *within, "level", *_buckets(level, width, axes))
+    for c in axes:
+        near = near.withColumn(f"k{c}", F.explode(F.array(*[F.col(f"k{c}") + s for s in (-1, 0, 1)])))
+    listed = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).select(F.col("idx").alias("dst"), *axes, *keep, *within, "level", *_buckets(level, width, axes))
+    on = reduce(lambda a, b: a & b, [F.col(f"q.{c}") == F.col(f"p.{c}") for c in keys])
+    return near.alias("q").join(listed.alias("p"), on).select("src", "dst", _squared("q", "p", axes).alias("d2"), (width * F.pow(F.lit(2.0), -F.col("q.level"))).alias("w"), *[F.col(f"p.{c}") for c in keep])
 
 
 def mean_distance(points: DataFrame, k: int = 16, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:

@@ -151,6 +151,22 @@ def test_knn(spark):
     assert got == {(i, k + 1): j for i in range(61) for k, j in enumerate(np.argsort(d[i], kind="stable")[:4])}
 
 
+def test_knn_in_a_crowd(spark):
+    """A third of all points in one place or close by, copies of one point, and far strangers."""
+    rng = np.random.default_rng(2)
+    xyz = np.vstack([rng.normal(0, 1e-4, (150, 3)), np.repeat([[0.5, 0.5, 0.5]], 60, 0), rng.uniform(-50, 50, (250, 3)), [[900.0, 0.0, 0.0]]])
+    xyz = xyz[rng.permutation(len(xyz))]
+    p = cloud(spark, xyz.tolist())
+    got = {(r["src"], r["rank"]): r["dst"] for r in neighbours.knn(p, p, 6).collect()}
+    d = sum((xyz[:, None, c] - xyz[None, :, c]) ** 2 for c in range(3))
+    assert got == {(i, k + 1): j for i in range(len(xyz)) for k, j in enumerate(np.argsort(d[i], kind="stable")[:6])}
+    parts = p.withColumn("part", F.col("idx") % 2)
+    got = {(r["src"], r["rank"]): r["dst"] for r in neighbours.knn(parts, parts, 3, within=("part",)).collect()}
+    side = np.arange(len(xyz)) % 2
+    apart = np.where(side[:, None] == side[None], d, np.inf)
+    assert got == {(i, k + 1): j for i in range(len(xyz)) for k, j in enumerate(np.argsort(apart[i], kind="stable")[:3])}
+
+
 def test_blocks(spark):
     p = cloud(spark, [(x, y, 0) for x in (0, 50, 100) for y in range(50)])
     got = points.blocks(p, 50.0, 0.0, 10).groupBy("bx", "by").count().collect()
