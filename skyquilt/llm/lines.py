@@ -11,6 +11,7 @@ from skyquilt.storage import Scratch
 
 SPACES, EDGES = r"[\x20\x09\x0B-\x0D]+", " \t\x0b\f\r"  # between words of a line
 STEPS = 4  # levels of rarity for each doubling of a word's count
+PASSES = 2  # shares of the words in which the last join is done
 RANK_BITS, SLOT_BITS = (15, 24), (16, 28)  # sizes of the rarity table and of the filters grow with their input between these powers of two
 
 
@@ -154,11 +155,15 @@ class LineDedup:
         open_ = heads.join(found, F.col("later") == F.col("rk"), "left").select(F.col("later").alias("rk"), F.coalesce("near", "later").alias("bound"), "least").where("least < bound")
         open_ = scratch.save(open_.select("rk", "bound"))
         scratch.drop(lists, heads)
-        a, b = self.postings(sets.join(open_, "rk"), "bound").alias("a"), self.postings(sets).alias("b")
-        pairs = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("b.rk") < F.col("a.bound")) & self.fits("a", "b") & self.placed("a", "b"))
-        pairs = scratch.save(pairs.select(F.col("a.rk").alias("later"), F.col("b.rk").alias("earlier")).distinct())
+        pairs = None
+        for k in range(PASSES):  # a share of the words at a time, so that fewer postings are on disk at once
+            share = F.pmod("code", F.lit(PASSES)) == k
+            a, b = self.postings(sets.join(open_, "rk"), "bound").where(share).alias("a"), self.postings(sets).where(share).alias("b")
+            some = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("b.rk") < F.col("a.bound")) & self.fits("a", "b") & self.placed("a", "b"))
+            some = scratch.save(some.select(F.col("a.rk").alias("later"), F.col("b.rk").alias("earlier")).distinct())
+            pairs = some if pairs is None else pairs.union(some)
         scratch.drop(open_)
-        more = self.verified(lines, sets, pairs)
+        more = self.verified(lines, sets, scratch.save(pairs.distinct()))
         return found.union(more).groupBy("rk").agg(F.min("near").alias("near"))
 
     def removed(self) -> DataFrame:
