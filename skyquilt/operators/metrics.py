@@ -51,4 +51,5 @@ def argmax_class(probabilities: str = "probs"):
 
 
 def top_share(counts: DataFrame) -> DataFrame:
+    """Adds ``share``: of each label's rows, the part that each prediction has."""
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("label")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyquilt.config import Camera, ScreeningConfig
 from skyquilt.functions import geometry as G
-from skyquilt.operators import compare, learn, points, screening
+from skyquilt.operators import compare, learn, metrics, points, screening
 from skyquilt.plans.survey import classify_and_extract, screen
 from skyquilt.sources import demo_scene, point_files, pos_csv
 from skyquilt.streaming import tiles
@@ -114,6 +114,8 @@ def test_split_folders_and_blocks(spark, tmp_path):
 
 def test_ratio(spark):
     rows = spark.createDataFrame([(1, 4.0), (2, 6.0)], "k int, v double")
+    counts = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (1, 1, 2)], "label int, pred int, n long")
+    assert sorted(r["share"] for r in metrics.top_share(counts).collect()) == [0.25, 0.75, 1.0]
     assert [r["ratio"] for r in compare.ratio_to_first(rows, "v", "k").orderBy("k").collect()] == [1.0, 1.5]
 
 
