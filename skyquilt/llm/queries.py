@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyquilt.llm import decontam, licences, lines, mixing, multi_index, ngram_join, pii, quality, secrets, tokens
+from skyquilt.llm import decontam, licences, lines, mixing, multi_index, ngram_join, pii, quality, secrets, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii_surrogates, op3_token_counts, op4_licence_scan, op5_repeated_lines, op6_secret_scan, op7_ngram_jaccard, op8_source_mix, op9_benchmark_leaks, op10_quality)}
-SQL = {"op5_repeated_lines": lines.SQL, "op8_source_mix": mixing.SQL}
+def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii_surrogates, op3_token_counts, op4_licence_scan, op5_repeated_lines, op6_secret_scan, op7_ngram_jaccard, op8_source_mix, op9_benchmark_leaks, op10_quality, op12_feistel_shards)}
+SQL = {"op5_repeated_lines": lines.SQL, "op8_source_mix": mixing.SQL, "op12_feistel_shards": sharding.SQL}
