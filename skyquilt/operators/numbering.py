@@ -12,16 +12,18 @@ from skyquilt.storage import Scratch
 LOCAL = (1 << 33) - 1  # the part of monotonically_increasing_id that counts within a partition
 
 
-def ranged(scratch: Scratch, rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+def ranged(scratch: Scratch, rows: DataFrame, order: Sequence[Column | str], per_range: int | None = None) -> DataFrame:
     """``rows`` as a table in the given order, with ``_p``, the number of the range, and ``_i``, the place in it.
 
     Ranges hold about as many rows each, also where many rows are equal in
     ``order``: the row's number in the input comes last, so equal rows fill
-    several ranges.  The input should be a scan or a table of ``scratch``, as it
-    is read twice, for the bounds of the ranges and for the rows.
+    several ranges.  With ``per_range`` there are as many ranges as it takes to
+    hold about so many rows each.  The input should be a scan or a table of
+    ``scratch``, as it is read twice, for the bounds of the ranges and for the rows.
     """
     last = "_last"
-    dealt = rows.withColumn(last, F.monotonically_increasing_id()).repartitionByRange(*order, last).sortWithinPartitions(*order, last).drop(last)
+    known = [max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // per_range))] if per_range else []
+    dealt = rows.withColumn(last, F.monotonically_increasing_id()).repartitionByRange(*known, *order, last).sortWithinPartitions(*order, last).drop(last)
     return scratch.save(dealt.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(LOCAL)}))
 
 
