@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skyquilt.llm import decontam, licences, lines, mixing, multi_index, ngram_join, pii, quality, secrets, sharding, tokens
+from skyquilt.llm import decontam, licences, lines, manifest, mixing, multi_index, ngram_join, pii, quality, secrets, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +52,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row proven; where 5 divides the id's crc32, what is tested is a text that was lower-cased."""
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.manifest(_table(spark, sf_dir, "documents"), changed={"text": lowered}, where=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
 def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii_surrogates, op3_token_counts, op4_licence_scan, op5_repeated_lines, op6_secret_scan, op7_ngram_jaccard, op8_source_mix, op9_benchmark_leaks, op10_quality, op12_feistel_shards)}
-SQL = {"op5_repeated_lines": lines.SQL, "op8_source_mix": mixing.SQL, "op12_feistel_shards": sharding.SQL}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii_surrogates, op3_token_counts, op4_licence_scan, op5_repeated_lines, op6_secret_scan, op7_ngram_jaccard, op8_source_mix, op9_benchmark_leaks, op10_quality, op11_merkle_manifest, op12_feistel_shards)}
+SQL = {"op5_repeated_lines": lines.SQL, "op8_source_mix": mixing.SQL, "op11_merkle_manifest": manifest.SQL, "op12_feistel_shards": sharding.SQL}

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from skyquilt.llm import sharding
+from skyquilt.llm import manifest, sharding
 
 SF = "/root/testdata/sf0.001"
 LONG = "Größer word " * 20_000
@@ -70,3 +70,68 @@ def test_written_shards(spark, tmp_path):
     want = Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.assign_shards(docs, shards=3).collect())
     assert Counter((r["row"]["doc_id"], zlib.crc32((r["row"]["text"] or "").encode()), r["shard"], r["slot"]) for r in back.collect()) == want
     assert back.select("row.*").columns == docs.columns
+
+
+# --- manifest -------------------------------------------------------------------
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_tree(leaves):
+    """Root, and of every leaf the siblings before and after, level by level."""
+    nodes, members, ways = list(leaves), [[i] for i in range(len(leaves))], [[] for _ in leaves]
+    while len(nodes) > 1:
+        runs = [list(range(i, min(i + 16, len(nodes)))) for i in range(0, len(nodes), 16)]
+        for run in runs:
+            for j in run:
+                for i in members[j]:
+                    ways[i].append(("".join(nodes[k] for k in run if k < j), "".join(nodes[k] for k in run if k > j)))
+        nodes, members = [sha("".join(nodes[j] for j in run)) for run in runs], [[i for j in run for i in members[j]] for run in runs]
+    return nodes[0], ways
+
+
+def plain_manifest(rows):
+    value = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda i, t, s: sha(value(i) + value(s) + value("en") + value(0) + value(t))
+    lower = lambda t: t and "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    groups = {}
+    for i, t, s in rows:
+        other = leaf(i, lower(t), s) if i is not None and zlib.crc32(str(i).encode()) % 5 == 0 else leaf(i, t, s)
+        groups.setdefault(s, []).append((i is not None, i or 0, leaf(i, t, s), other, i))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: plain_tree([x[2] for x in sorted(groups[s], key=lambda x: x[:3])]) for s in order}
+    root, high = plain_tree([trees[s][0] for s in order])
+    out = Counter()
+    for s, up in zip(order, high, strict=True):
+        for x, way in zip(sorted(groups[s], key=lambda x: x[:3]), trees[s][1], strict=True):
+            way, d = way + up, x[3]
+            for before, after in way:
+                d = sha(before + d + after)
+            out[x[4], x[2], trees[s][0], root, sha("".join(b + a for b, a in way)), d, d == root] += 1
+    return out
+
+
+def query(docs, **kw):
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.manifest(docs, changed={"text": lowered}, where=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, **kw)
+
+
+@pytest.mark.parametrize("per_range, n", [(1 << 17, 40), (50, 700), (7, 300)])
+def test_manifest(spark, monkeypatch, per_range, n):
+    """A group over many ranges, many small groups, odd rows: the plain tree's digests, proofs and roots."""
+    monkeypatch.setattr(manifest, "PER_RANGE", per_range)
+    rows = ODD + [(i, f"Text {i % 9} Ü", "hot" if i % 3 else f"s{i % 23}") for i in range(n)] + [(900, "Copied", "hot")] * 20
+    got = query(table(spark, rows).repartition(5))
+    assert got.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"] and Counter(map(tuple, got.collect())) == plain_manifest(rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "a", "b")], [(None, None, None)], [(i, "T", "one") for i in range(17)], [(i, "T", f"g{i}") for i in range(18)]])
+def test_small_manifests(spark, rows):
+    assert Counter(map(tuple, query(table(spark, rows)).collect())) == (plain_manifest(rows) if rows else Counter())
+
+
+def test_proofs_fold(spark):
+    docs = table(spark, [(i, f"text {i}", f"g{i % 3}") for i in range(120)])
+    rows = manifest.manifest(docs, proofs=True).select("root", "verified", manifest.fold(F.col("leaf"), F.col("proof")).alias("folded"), manifest.fold(F.sha2(F.lit(b"x"), 256), F.col("proof")).alias("wrong")).collect()
+    assert len(rows) == 120 and all(r["verified"] and r["folded"] == r["root"] != r["wrong"] for r in rows)
