@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyquilt.llm import decontam, licences, lines, manifest, mixing, multi_index, ngram_join, pii, quality, secrets, sharding, tokens
+from skyquilt.llm import decontam, licences, lines, manifest, mixing, multi_index, ngram_join, pii, quality, secrets, sharding, spelling, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +62,9 @@ def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii_surrogates, op3_token_counts, op4_licence_scan, op5_repeated_lines, op6_secret_scan, op7_ngram_jaccard, op8_source_mix, op9_benchmark_leaks, op10_quality, op11_merkle_manifest, op12_feistel_shards)}
-SQL = {"op5_repeated_lines": lines.SQL, "op8_source_mix": mixing.SQL, "op11_merkle_manifest": manifest.SQL, "op12_feistel_shards": sharding.SQL}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), noise=97)
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii_surrogates, op3_token_counts, op4_licence_scan, op5_repeated_lines, op6_secret_scan, op7_ngram_jaccard, op8_source_mix, op9_benchmark_leaks, op10_quality, op11_merkle_manifest, op12_feistel_shards, op13_spelling_variants)}
+SQL = {"op5_repeated_lines": lines.SQL, "op8_source_mix": mixing.SQL, "op11_merkle_manifest": manifest.SQL, "op12_feistel_shards": sharding.SQL, "op13_spelling_variants": spelling.SQL}

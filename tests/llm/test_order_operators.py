@@ -2,13 +2,16 @@
 
 import hashlib
 import math
+import random
+import re
 import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from skyquilt.llm import manifest, sharding
+from skyquilt.llm import manifest, sharding, spelling
+from skyquilt.storage import Scratch
 
 SF = "/root/testdata/sf0.001"
 LONG = "Größer word " * 20_000
@@ -135,3 +138,76 @@ def test_proofs_fold(spark):
     docs = table(spark, [(i, f"text {i}", f"g{i % 3}") for i in range(120)])
     rows = manifest.manifest(docs, proofs=True).select("root", "verified", manifest.fold(F.col("leaf"), F.col("proof")).alias("folded"), manifest.fold(F.sha2(F.lit(b"x"), 256), F.col("proof")).alias("wrong")).collect()
     assert len(rows) == 120 and all(r["verified"] and r["folded"] == r["root"] != r["wrong"] for r in rows)
+
+
+# --- spelling -------------------------------------------------------------------
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def plain_variants(rows, noise=97):
+    counts = Counter()
+    for i, t, _ in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            at = h % len(run)
+            counts[run[:at] + run[at + 1 :] if h % noise == 0 else run] += 1
+    n = {w: k for w, k in counts.items() if len(w) >= 5 and k >= 3}
+    near = {w: [v for v in n if one_edit(w, v)] for w in n}
+    best = {w: min(near[w], key=lambda v: (-n[v], v)) if near[w] else None for w in n}
+    form = {w: v if v and n[v] >= 2 * n[w] else None for w, v in best.items()}
+    root = {}
+    for w in n:
+        at = w
+        while form[at]:
+            at = form[at]
+        root[w] = at
+    return {(w, form[w], root[w], n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n}
+
+
+def variant_rows(seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abÀé" if k % 3 else "abcdefg") for _ in range(rng.randint(4, 9))) for k in range(60)] + ["ÉTUDE", "aaaaa", "aaaaaa", "aaaaaaa", "bbbbbbbbbbbbbbbbbbbb"]
+    out = []
+    for i in range(120):
+        text = []
+        for _ in range(60):
+            w = rng.choice(words[: rng.choice([5, 20, 65])])
+            if rng.random() < 0.3:
+                k = rng.randrange(len(w))
+                w = rng.choice([w[:k] + w[k + 1 :], w[:k] + "b" + w[k:], w[:k] + "a" + w[k + 1 :], w.upper()])
+            text.append(w)
+        out.append((i, rng.choice([" ", "-", "1"]).join(text), "s"))
+    return out
+
+
+@pytest.mark.parametrize("most", [20_000, 4])
+def test_variants(spark, monkeypatch, most):
+    """Whole texts, whole vocabulary, with parts of the trie cut again and again: the plain version's rows."""
+    monkeypatch.setattr(spelling, "MOST", most)
+    rows = ODD + variant_rows(1)
+    got = spelling.spelling_variants(table(spark, rows).repartition(4), noise=97)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    rows_got = [tuple(r) for r in got.collect()]
+    want = plain_variants(rows)
+    assert len(rows_got) == len(set(rows_got)) and set(rows_got) == want and any(r[2] not in (r[0], r[1]) for r in want)
+    assert spelling.spelling_variants(table(spark, [])).collect() == []
+
+
+def test_trie_pairs():
+    rng = random.Random(2)
+    for _ in range(50):
+        words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(0, 5))) for _ in range(40)})
+        found = list(spelling.Trie([(w, k) for k, w in enumerate(words)]).pairs())
+        assert len(found) == len(set(found)) and set(found) == {(a, b) for a, x in enumerate(words) for b, y in enumerate(words) if one_edit(x, y)}
+
+
+def test_roots(spark):
+    links = spark.createDataFrame([(f"w{i:02d}", f"w{i + 1:02d}") for i in range(20)] + [("x", "y")], "word string, form string")
+    assert {r["word"]: r["root"] for r in spelling.roots(Scratch(spark), links).collect()} == {**{f"w{i:02d}": "w20" for i in range(20)}, "x": "y"}
