@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from itertools import product
+from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyquilt.operators.numbering import numbered
 from skyquilt.storage import Scratch, saved
 
 
@@ -35,69 +37,121 @@ def radius_pairs(points: DataFrame, eps: float, axes: Sequence[str] = ("x", "y")
     return _meet(points, points, eps, axes).where(F.col("d2") <= eps * eps)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[str] = ("x", "y", "z"), *, keep: Sequence[str] = (), within: Sequence[str] = (), per_bucket: float = 4.0) -> DataFrame:
+PER_LEAF, PER_BLOCK, FAN = 16, 32, 16  # points of a leaf at least, queries of a block, children of a node
+SLACK = 1 + 1e-9  # bounds and distances are rounded differently
+
+
+class Curve:
+    """Order of places along a Z-curve through a box; places outside are put at its edge."""
+
+    def __init__(self, axes: Sequence[str], lows: Sequence[float], highs: Sequence[float]):
+        self.axes, self.lows, self.bits = axes, lows, min(30, 60 // len(axes))
+        self.width = max(*(h - low for low, h in zip(lows, highs, strict=True)), 0.0) / 2**self.bits or 1.0
+
+    def code(self, df: DataFrame) -> DataFrame:
+        """Adds ``_z``: the bits of the cell's numbers, one axis after the other."""
+        top, d = 2**self.bits - 1, len(self.axes)
+        cells = [F.least(F.greatest(F.floor((F.col(c) - low) / self.width), F.lit(0)), F.lit(top)).cast("long").alias(f"_c{i}") for i, (c, low) in enumerate(zip(self.axes, self.lows, strict=True))]
+        bits = " | ".join(f"shiftleft(shiftright(_c{i}, {b}) & 1, {b * d + i})" for b in range(self.bits) for i in range(d))
+        return df.select("*", *cells).select(*df.columns, F.expr(bits).alias("_z"))
+
+
+def _finite(axes: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False)) for c in axes])
+
+
+def _box(axes: Sequence[str], prefix: str) -> list[Column]:
+    return [f(c).alias(f"{prefix}{side}{c}") for c in axes for side, f in (("l", F.min), ("h", F.max))]
+
+
+def _least(axes: Sequence[str], low: str, high: str) -> Column:
+    """The least squared distance from a box (or place) to the box ``n``."""
+    gaps = [F.greatest(F.col(f"nl{c}") - F.col(f"{high}{c}"), F.col(f"{low}{c}") - F.col(f"nh{c}"), F.lit(0.0)) for c in axes]
+    return reduce(lambda a, b: a + b, [g * g for g in gaps])
+
+
+def _most(axes: Sequence[str]) -> Column:
+    """The largest squared distance from the box ``q`` to the box ``n``."""
+    spans = [F.greatest(F.col(f"qh{c}") - F.col(f"nl{c}"), F.col(f"nh{c}") - F.col(f"ql{c}")) for c in axes]
+    return reduce(lambda a, b: a + b, [s * s for s in spans])
+
+
+def _tree(scratch: Scratch, placed: DataFrame, k: int, n: int, per_leaf: int, axes: Sequence[str], within: Sequence[str]) -> list[DataFrame]:
+    """Levels of nodes (``within, id, n`` and their boxes), leaves first: runs of points on the curve, then runs of ``FAN`` nodes."""
+    leaves = placed.groupBy(*within, "id").agg(F.count("*").alias("n"), *_box(axes, "n"))
+    # of leaves that lie in one spot the first holds the points that come first there, all that a search can ask for
+    spot = reduce(lambda a, b: a & b, [F.col(f"nl{c}") == F.col(f"nh{c}") for c in axes]) & (F.col("n") == per_leaf)
+    names = [f"n{s}{c}" for c in axes for s in "lh"]
+    spots = leaves.where(spot).groupBy(*within, *names).agg(F.min("id").alias("id")).withColumn("n", F.lit(per_leaf).cast("long"))
+    levels, most = [scratch.save(leaves.where(~spot).unionByName(spots))], -(-n // per_leaf)
+    while most > 1:
+        up = F.floor(F.col("id") / FAN).alias("id")
+        levels.append(levels[-1].groupBy(*within, up).agg(F.sum("n").alias("n"), *[f(f"n{s}{c}").alias(f"n{s}{c}") for c in axes for s, f in (("l", F.min), ("h", F.max))]))
+        most = -(-most // FAN)
+    return levels
+
+
+def knn(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[str] = ("x", "y", "z"), *, keep: Sequence[str] = (), within: Sequence[str] = ()) -> DataFrame:
     """``src, dst, d2, rank`` (and ``keep``): the k nearest points of every query, ties by ``idx``, a point itself included; only points alike in ``within`` count.
 
-    Buckets follow the density: the widest hold ``per_bucket`` points on average,
-    and those that hold many times k are halved until none does, so a query in a
-    crowd meets a bounded crowd.  A query is done when its k-th partner is within
-    one width of its own bucket, since anything nearer lies in the adjoining
-    ones; the others ask again with twice the width, down to the few in empty
-    space.
+    Points are put in order along a Z-curve; a run of them is a leaf with its box,
+    a run of leaves a node, and so on.  Queries in a run are a block with its box.
+    All blocks go down the tree together, a join a level: a node is opened only if
+    its least distance to the block is within the least bound that any node with
+    k points sets by its largest distance.  At the leaves each query takes its
+    own bound from the k-th point of the best leaf, and meets the points of the
+    leaves within it.  So there are as many steps as levels, wherever a query
+    lies, and leaves hold as many points in a crowd as in empty space; of a spot
+    with more copies of a point than a leaf holds, one leaf is kept.
+
+    A place with a null, NaN or infinite coordinate has no neighbours and is none;
+    a query without points to find has no row.  Queries of the same ``idx`` are
+    queries each.
     """
-    box = points.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in axes]).first()
-    if not box["n"]:
-        raise ValueError("no points to search")
     scratch = Scratch(points.sparkSession)
-    sides = [max(box[c], 1e-9) for c in axes if box[c] and box[c] > 1e-9]
-    volume = reduce(lambda a, b: a * b, sides, 1.0)
-    width = (volume * per_bucket / box["n"]) ** (1.0 / max(1, len(sides)))
-    whole = max([*(box[c] or 0.0 for c in axes), 1e-9])
-    k = min(k, box["n"])
-    left = _halved(scratch, queries.select("idx", *axes, *within), points, width, axes, within, 4 * max(k, per_bucket))
-    done = None
-    while True:
-        levels = [r["level"] for r in left.select("level").distinct().collect()]
-        if not levels:
-            return done
-        met = _meet_levels(left, points, levels, width, axes, keep, within)
-        order = Window.partitionBy("src").orderBy("d2", "dst")
-        near = scratch.save(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-        full = near.groupBy("src").agg(F.count("*").alias("n"), F.max("d2").alias("far"), F.first("w").alias("w"))
-        # one bucket and its neighbours hold everything, for queries inside the box
-        full = full.where((F.col("w") > 2 * whole) | (F.col("n") == k) & (F.col("far") <= F.col("w") * F.col("w"))).select("src")
-        good = near.join(full, "src").drop("w")
-        done = good if done is None else done.unionByName(good)
-        left = scratch.save(left.join(full, left["idx"] == full["src"], "left_anti").withColumn("level", F.col("level") - 1))
-
-
-def _buckets(level: Column, width: float, axes: Sequence[str]) -> list[Column]:
-    return [F.floor(F.col(c) / (width * F.pow(F.lit(2.0), -level))).alias(f"k{c}") for c in axes]
-
-
-def _halved(scratch: Scratch, queries: DataFrame, points: DataFrame, width: float, axes: Sequence[str], within: Sequence[str], most: float) -> DataFrame:
-    """``queries`` with ``level``: how often the buckets of ``width`` are halved until the query's own holds ``most`` points at most."""
-    left, crowd, keys = queries.withColumn("level", F.lit(0)), points.select(*axes, *within), [*(f"k{c}" for c in axes), *within]
-    for level in range(48):  # points that are closer than this are in one place
-        placed = crowd.select("*", *_buckets(F.lit(level), width, axes))
-        heavy = scratch.save(placed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys))
-        if heavy.isEmpty():
-            break
-        crowd = scratch.save(placed.join(heavy, keys, "left_semi").select(*axes, *within))
-        here = left.select("*", *_buckets(F.lit(level), width, axes)).join(heavy.withColumn("heavy", F.lit(True)), keys, "left")
-        left = scratch.save(here.select("idx", *axes, *within, F.when(F.col("heavy") & (F.col("level") == level), level + 1).otherwise(F.col("level")).alias("level")))
-    return left
-
-
-def _meet_levels(queries: DataFrame, points: DataFrame, levels: list[int], width: float, axes: Sequence[str], keep: Sequence[str], within: Sequence[str]) -> DataFrame:
-    """Pairs ``src, dst, d2, w`` within one bucket of each other at the query's level; w is its width there."""
-    level, keys = F.col("level"), [*(f"k{c}" for c in axes), *within, "level"]
-    near = queries.select(F.col("idx").alias("src"), *axes, *within, "level", *_buckets(level, width, axes))
-    for c in axes:
-        near = near.withColumn(f"k{c}", F.explode(F.array(*[F.col(f"k{c}") + s for s in (-1, 0, 1)])))
-    listed = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).select(F.col("idx").alias("dst"), *axes, *keep, *within, "level", *_buckets(level, width, axes))
-    on = reduce(lambda a, b: a & b, [F.col(f"q.{c}") == F.col(f"p.{c}") for c in keys])
-    return near.alias("q").join(listed.alias("p"), on).select("src", "dst", _squared("q", "p", axes).alias("d2"), (width * F.pow(F.lit(2.0), -F.col("q.level"))).alias("w"), *[F.col(f"p.{c}") for c in keep])
+    box = points.where(_finite(axes)).agg(F.count("*").alias("n"), *_box(axes, "")).first()
+    n = box["n"]
+    if not n:
+        raise ValueError("no points to search")
+    k = min(k, n)
+    curve = Curve(axes, [box[f"l{c}"] for c in axes], [box[f"h{c}"] for c in axes])
+    per_leaf = max(PER_LEAF, 2 * k)
+    order = [*within, "_z", *axes, "idx"]
+    of_points = numbered(scratch, curve.code(points.where(_finite(axes)).select("idx", *axes, *within, *keep)), order, "_at")
+    placed = of_points.select("*", F.floor(F.col("_at") / per_leaf).alias("id"))
+    levels = _tree(scratch, placed, k, n, per_leaf, axes, within)
+
+    of_queries = of_points if queries is points else numbered(scratch, curve.code(queries.where(_finite(axes)).select("idx", *axes, *within)), order, "_at")
+    # a block does not reach beyond a cell that holds some hundred points on average, so strangers are blocks of their own
+    coarse = len(axes) * max(0, curve.bits - int(log2(max(1.0, n / (8 * PER_BLOCK))) / len(axes)))
+    asked = of_queries.select(F.col("_at").alias("_q"), F.col("idx").alias("src"), *axes, *within, F.floor(F.col("_at") / PER_BLOCK).alias("_b"), F.shiftright("_z", coarse).alias("_c"))
+    block = ["_b", "_c", *within]
+    front = asked.groupBy(*block).agg(*_box(axes, "q")).select("*", F.lit(0).cast("long").alias("id"), F.lit(float("inf")).alias("bound"))
+    kept_front = [*block, *[f"q{s}{c}" for c in axes for s in "lh"]]
+    for level in reversed(levels[:-1] if len(levels) > 1 else levels):
+        below = level.select(*within, F.floor(F.col("id") / FAN).alias("id"), F.col("id").alias("child"), "n", *[f"n{s}{c}" for c in axes for s in "lh"])
+        met = front.join(below, [*within, "id"]).withColumns({"least": _least(axes, "ql", "qh"), "most": _most(axes)})
+        bound = F.least("bound", F.min(F.when(F.col("n") >= k, F.col("most"))).over(Window.partitionBy(*block)))
+        met = met.withColumn("bound", bound).where(F.col("least") <= F.col("bound") * SLACK)
+        front = met.select(*kept_front, F.col("child").alias("id"), "bound", "most", "n", *[f"n{s}{c}" for c in axes for s in "lh"])
+        if level is not levels[0]:
+            front = front.drop("most", "n", *[f"n{s}{c}" for c in axes for s in "lh"])
+    front = scratch.save(front)
+
+    best = front.where(F.col("n") >= k).groupBy(*block).agg(F.min_by("id", "most").alias("id"))
+    listed = placed.select(F.col("idx").alias("dst"), *axes, *keep, *within, "id")
+
+    def meet(q: DataFrame) -> DataFrame:
+        on = reduce(lambda a, b: a & b, [F.col(f"q.{c}") == F.col(f"p.{c}") for c in [*within, "id"]])
+        return q.alias("q").join(listed.alias("p"), on).withColumn("d2", _squared("q", "p", axes))
+
+    # a leaf's points, so a short list
+    bounds = meet(asked.join(best, block)).groupBy("_q").agg(F.get(F.array_sort(F.collect_list("d2")), F.lit(k - 1)).alias("reach"))
+    bounded = asked.join(bounds, "_q", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))) * SLACK)
+    opened = bounded.join(front, block).where(_least(axes, "", "") <= F.col("reach"))
+    near = meet(opened.select("_q", "src", "reach", *axes, *within, "id")).where(F.col("d2") <= F.col("reach"))
+    rank = F.row_number().over(Window.partitionBy("_q").orderBy("d2", "dst"))
+    return near.select("_q", "src", "dst", "d2", *[F.col(f"p.{c}").alias(c) for c in keep]).withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "d2", "rank", *keep)
 
 
 def mean_distance(points: DataFrame, k: int = 16, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
@@ -119,27 +173,11 @@ def nearest(queries: DataFrame, points: DataFrame, keep: Sequence[str], axes: Se
 
 
 def nearest_cell(holes: DataFrame, good: DataFrame) -> DataFrame:
-    """``ix, iy, ground`` of cells without ground: that of the nearest cell with it, ties by (ix, iy)."""
-    width, left, done = 2, saved(holes), None
-    span = good.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
-    if span[0] is None:
+    """``ix, iy, ground`` of cells without ground: that of the nearest cell with it, ties by (ix, iy); null if there is none."""
+    if good.isEmpty():
         return holes.withColumn("ground", F.lit(None).cast("double"))
-    box = left.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
-    if box[0] is None:
-        return holes.join(good, ["ix", "iy"])
-    whole = max(max(span[1], box[1]) - min(span[0], box[0]), max(span[3], box[3]) - min(span[2], box[2])) + 1
-    shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in product((-1, 0, 1), repeat=2)])
-    while True:
-        h = left.withColumn("s", F.explode(shifts)).select("ix", "iy", (F.floor(F.col("ix") / width) + F.col("s.a")).alias("bx"), (F.floor(F.col("iy") / width) + F.col("s.b")).alias("by"))
-        g = good.select(F.col("ix").alias("gx"), F.col("iy").alias("gy"), "ground", F.floor(F.col("ix") / width).alias("bx"), F.floor(F.col("iy") / width).alias("by"))
-        d2 = (F.col("ix") - F.col("gx")) * (F.col("ix") - F.col("gx")) + (F.col("iy") - F.col("gy")) * (F.col("iy") - F.col("gy"))
-        best = h.join(g, ["bx", "by"]).groupBy("ix", "iy").agg(F.min(F.struct(d2.alias("d2"), "gx", "gy", "ground")).alias("m"))
-        found = saved(best.where((F.col("m.d2") <= width * width) | F.lit(width > 2 * whole)).select("ix", "iy", F.col("m.ground").alias("ground")))
-        done = found if done is None else done.union(found)
-        left = saved(left.join(found, ["ix", "iy"], "left_anti"))
-        if left.isEmpty():
-            return done
-        width *= 2
+    cell = lambda df, *more: df.select(F.struct("ix", "iy").alias("idx"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), *more)
+    return knn(cell(holes), cell(good, "ground"), 1, ("x", "y"), keep=["ground"]).select("src.ix", "src.iy", "ground")
 
 
 def multi_scale_max(edges: DataFrame, points: DataFrame, columns: Sequence[str], scales: Sequence[int] = (8, 16, 32)) -> DataFrame:
