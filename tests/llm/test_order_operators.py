@@ -191,7 +191,7 @@ def variant_rows(seed):
 def test_variants(spark, monkeypatch, most):
     """Whole texts, whole vocabulary, with parts of the trie cut again and again: the plain version's rows."""
     monkeypatch.setattr(spelling, "MOST", most)
-    rows = ODD + variant_rows(1)
+    rows = ODD + variant_rows(1) + [(500, "kbcdef " * 4 + "kbcdefg " * 12 + "kbcdefgh " * 40, "s")]
     got = spelling.spelling_variants(table(spark, rows).repartition(4), noise=97)
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     rows_got = [tuple(r) for r in got.collect()]
