@@ -56,7 +56,8 @@ class Curve:
         return df.select("*", *cells).select(*df.columns, F.expr(bits).alias("_z"))
 
 
-def _finite(axes: Sequence[str]) -> Column:
+def finite(axes: Sequence[str]) -> Column:
+    """Whether a place has a number on each axis."""
     return reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False)) for c in axes])
 
 
@@ -109,7 +110,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[str] = ("x
     queries each.
     """
     scratch = Scratch(points.sparkSession)
-    box = points.where(_finite(axes)).agg(F.count("*").alias("n"), *_box(axes, "")).first()
+    box = points.where(finite(axes)).agg(F.count("*").alias("n"), *_box(axes, "")).first()
     n = box["n"]
     if not n:
         raise ValueError("no points to search")
@@ -117,11 +118,11 @@ def knn(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[str] = ("x
     curve = Curve(axes, [box[f"l{c}"] for c in axes], [box[f"h{c}"] for c in axes])
     per_leaf = max(PER_LEAF, 2 * k)
     order = [*within, "_z", *axes, "idx"]
-    of_points = numbered(scratch, curve.code(points.where(_finite(axes)).select("idx", *axes, *within, *keep)), order, "_at")
+    of_points = numbered(scratch, curve.code(points.where(finite(axes)).select("idx", *axes, *within, *keep)), order, "_at")
     placed = of_points.select("*", F.floor(F.col("_at") / per_leaf).alias("id"))
     levels = _tree(scratch, placed, k, n, per_leaf, axes, within)
 
-    of_queries = of_points if queries is points else numbered(scratch, curve.code(queries.where(_finite(axes)).select("idx", *axes, *within)), order, "_at")
+    of_queries = of_points if queries is points else numbered(scratch, curve.code(queries.where(finite(axes)).select("idx", *axes, *within)), order, "_at")
     # a block does not reach beyond a cell that holds some hundred points on average, so strangers are blocks of their own
     coarse = len(axes) * max(0, curve.bits - int(log2(max(1.0, n / (8 * PER_BLOCK))) / len(axes)))
     asked = of_queries.select(F.col("_at").alias("_q"), F.col("idx").alias("src"), *axes, *within, F.floor(F.col("_at") / PER_BLOCK).alias("_b"), F.shiftright("_z", coarse).alias("_c"))

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,20 +52,57 @@ def voxel_moments(points: DataFrame, size: float, origin: str = "min") -> DataFr
     return with_voxel(points, size, origin).groupBy(*KEY).agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs])
 
 
-def _shape(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
-    m = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2).astype(float)
-    values, vectors = np.linalg.eigh(m)
-    values = np.clip(values, 0.0, None)
-    return pd.DataFrame({"planarity": (values[:, 1] - values[:, 0]) / np.maximum(values[:, 2], 1e-12), "roughness": np.sqrt(values[:, 0]), "verticality": 1.0 - np.abs(vectors[:, 2, 0])})
+TIE = 1e-9  # eigenvalues this close, as a share of the largest, are one
+
+
+def _dot(*pairs: tuple[str, str]) -> str:
+    return " + ".join(f"{a} * {b}" for a, b in pairs)
 
 
 def voxel_shape(moments: DataFrame) -> DataFrame:
     """Adds planarity, roughness and verticality from the eigenvalues and the normal of each voxel's covariance.
 
-    A voxel of one point has no extent: planarity and roughness 0, verticality 1.
+    The 3 x 3 matrix is solved in closed form: of its eigenvalues, roots of a cubic,
+    the one that stands apart from the other two is taken, with the cross product
+    of two rows as its vector; the other two are those of the 2 x 2 matrix across
+    it.  So no digits are lost where two are nearly equal, as in a voxel of two
+    points.  Where the two smallest are equal, the most vertical of their vectors
+    is the normal.  A voxel of one point, or as wide in all directions, has no
+    normal: verticality 1 (of one point planarity and roughness are 0).
     """
-    shape = F.pandas_udf(_shape, "planarity double, roughness double, verticality double")(*[F.col(c) for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")])
-    return moments.withColumn("_s", shape).select("*", "_s.*").drop("_s")
+    rows = (("_xx", "cxy", "cxz"), ("cxy", "_yy", "cyz"), ("cxz", "cyz", "_zz"))
+    cross = lambda i, j: [f"{rows[i][b]} * {rows[j][c]} - {rows[i][c]} * {rows[j][b]}" for b, c in ((1, 2), (2, 0), (0, 1))]
+    form = lambda u, v: f"cxx * {u}0 * {v}0 + cyy * {u}1 * {v}1 + czz * {u}2 * {v}2 + cxy * ({u}0 * {v}1 + {u}1 * {v}0) + cxz * ({u}0 * {v}2 + {u}2 * {v}0) + cyz * ({u}1 * {v}2 + {u}2 * {v}1)"
+    pairs = ((0, 1), (0, 2), (1, 2))
+    steps = [
+        {"_q": "(cxx + cyy + czz) / 3", "_off": _dot(("cxy", "cxy"), ("cxz", "cxz"), ("cyz", "cyz"))},
+        {"_p": f"sqrt(({_dot(*[(f'(c{a}{a} - _q)', f'(c{a}{a} - _q)') for a in 'xyz'])} + 2 * _off) / 6)"},
+        {"_round": f"_p <= {TIE} * _q or _q <= 0", "_div": "greatest(_p, 1e-300)"},
+        {f"_{a}": f"(c{a[0]}{a[1]}{' - _q' if a[0] == a[1] else ''}) / _div" for a in ("xx", "xy", "xz", "yy", "yz", "zz")},
+        {"_r": "least(1.0, greatest(-1.0, (_xx * (_yy * _zz - _yz * _yz) - _xy * (_xy * _zz - _yz * _xz) + _xz * (_xy * _yz - _yy * _xz)) / 2))"},
+        {"_top": "_r >= 0"},  # the largest stands apart, else the smallest
+        {"_e": "_q + 2 * _p * cos((acos(_r) + if(_top, 0, 2 * pi())) / 3)"},
+        {f"_{a}{a}": f"c{a}{a} - _e" for a in "xyz"},
+        {f"_c{i}{j}{k}": e for i, j in pairs for k, e in enumerate(cross(i, j))},
+        {f"_n{i}{j}": _dot(*[(f"_c{i}{j}{k}", f"_c{i}{j}{k}") for k in range(3)]) for i, j in pairs},
+        {"_n": "greatest(_n01, _n02, _n12)"},
+        {f"_w{k}": f"case when _n01 = _n then _c01{k} when _n02 = _n then _c02{k} else _c12{k} end / sqrt(greatest(_n, 1e-300))" for k in range(3)},
+        {"_flat": "abs(_w0) > abs(_w1)"},
+        {"_len": "greatest(sqrt(if(_flat, _w0 * _w0, _w1 * _w1) + _w2 * _w2), 1e-300)"},
+        {"_u0": "if(_flat, -_w2 / _len, 0.0)", "_u1": "if(_flat, 0.0, _w2 / _len)", "_u2": "if(_flat, _w0, -_w1) / _len"},
+        {f"_v{k}": f"_w{a} * _u{b} - _w{b} * _u{a}" for k, (a, b) in enumerate(((1, 2), (2, 0), (0, 1)))},
+        {"_m00": form("_u", "_u"), "_m01": form("_u", "_v"), "_m11": form("_v", "_v")},
+        {"_mid": "(_m00 + _m11) / 2", "_half": "sqrt((_m00 - _m11) * (_m00 - _m11) / 4 + _m01 * _m01)"},
+        {"_low": "_mid - _half", "_high": "_mid + _half"},
+        {"_e0": "if(_top, _low, _e)", "_e1": "if(_top, _high, _low)", "_e2": "if(_top, _e, _high)"},
+        {"_e0": f"if(_round, _q, if(_e0 <= {TIE} * {TIE} * _e2, 0.0, _e0))", "_e1": f"if(_round, _q, if(_e1 <= {TIE} * {TIE} * _e2, 0.0, _e1))", "_e2": "if(_round, _q, _e2)"},
+        # the vector of the smaller eigenvalue across _w
+        {"_a0": "if(abs(_low - _m00) > abs(_low - _m11), _m01, _low - _m11)", "_a1": "if(abs(_low - _m00) > abs(_low - _m11), _low - _m00, _m01)"},
+        {"_nz": f"case when _round then 0.0 when _e1 - _e0 <= {TIE} * _e2 then sqrt(greatest(0.0, 1 - _w2 * _w2)) when not _top then abs(_w2) else abs(_a0 * _u2 + _a1 * _v2) / greatest(sqrt(_a0 * _a0 + _a1 * _a1), 1e-300) end"},
+        {"planarity": "(_e1 - _e0) / greatest(_e2, 1e-12)", "roughness": "sqrt(greatest(_e0, 0.0))", "verticality": "1 - least(1.0, _nz)"},
+    ]
+    solved = reduce(lambda df, step: df.withColumns({k: F.expr(e) for k, e in step.items()}), steps, moments)
+    return solved.select(*moments.columns, "planarity", "roughness", "verticality")
 
 
 def ground_cells(points: DataFrame, cell: float, quantile: float, min_points: int) -> DataFrame:

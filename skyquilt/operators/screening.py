@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil, cos, radians
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquilt.config import Camera, ScreeningConfig
 from skyquilt.functions import geometry as G
-from skyquilt.storage import saved
+from skyquilt.operators.numbering import numbered
+from skyquilt.storage import Scratch
 
 
 @dataclass(frozen=True)
@@ -147,32 +150,94 @@ def select_images(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.withColumn("keep", F.col("score") >= threshold)
 
 
+PAIRS_PER_BLOCK = 2_000_000  # (image, open cell) pairs that one task holds
+
+
+def _taken(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of the images of a block those that the sequential choice certainly takes, whatever happens outside.
+
+    ``idx, ix, iy`` and, where other blocks cover the cell too, ``rival``: the best
+    of theirs, its gain and the negative of its number.  Images come off a heap in
+    order of gain.  One has to wait if a rival of one of its open cells, or an
+    image that waits already, comes before it; all others are taken and close
+    their cells.  Gains of others only fall, so an image with an outdated gain
+    goes back, and what came before it stays before it.
+    """
+    cells = pairs.groupby(["ix", "iy"], sort=False).ngroup().to_numpy()
+    rival = {}
+    for c, gain, minus in zip(cells, pairs["rival_gain"], pairs["rival_minus"], strict=True):
+        if gain == gain:  # not missing
+            rival[c] = (gain, minus)
+    of_image: dict[int, set[int]] = {}
+    for i, c in zip(pairs["idx"].tolist(), cells.tolist(), strict=True):
+        of_image.setdefault(i, set()).add(c)
+    heap = [(-len(some), i) for i, some in of_image.items()]
+    heapq.heapify(heap)
+    closed: set[int] = set()
+    waits: set[int] = set()
+    taken = []
+    while heap:
+        gain, i = heapq.heappop(heap)
+        some = of_image[i]
+        some -= closed
+        if not some:
+            continue
+        if len(some) < -gain:
+            heapq.heappush(heap, (-len(some), i))
+        elif any(c in waits or rival.get(c, (0, 0)) > (-gain, -i) for c in some):
+            waits |= some
+        else:
+            taken.append(i)
+            closed |= some
+    return pd.DataFrame({"idx": pd.Series(taken, dtype="int64")})
+
+
 def repair_gaps(kept: DataFrame, cover: DataFrame) -> DataFrame:
     """Adds rejected images until every cell that some image covers is covered by a kept one.
 
     The image with the most uncovered cells comes first, the smaller ``idx`` on
-    ties.  An image's gain changes only when an image that shares an uncovered
-    cell with it is taken, so in each round all images are taken that come first
-    at every uncovered cell they cover: the same images as one after the other,
-    in as many rounds as such choices follow from each other.  A round is two
-    aggregates and joins over (uncovered cell, rejected image); no gap is
-    gathered in one place, and nothing returns to the driver but a number.
+    ties, one after the other.  Images are put in order by place and cut into
+    blocks of about ``PAIRS_PER_BLOCK`` (image, uncovered cell) pairs.  A task runs
+    the choice over a block and takes all images that come before every other
+    block's images at their cells: these images' present gains bound what they
+    can have later.  So a chain of images of which each decides about the next is
+    followed within a task; only where it passes into the next block does it wait
+    for the next round, whose blocks are cut half-way between.
     """
+    scratch = Scratch(kept.sparkSession)
     rejected = kept.where("not keep").select("idx")
     covered = cover.join(kept.where("keep").select("idx"), "idx", "left_semi").select("ix", "iy").distinct()
-    pairs = saved(cover.join(rejected, "idx", "left_semi").join(covered, ["ix", "iy"], "left_anti"))
-    added = None
-    while not pairs.isEmpty():
-        gain = pairs.groupBy("idx").agg(F.count("*").alias("gain"))
-        first = F.max_by(F.col("idx"), F.struct("gain", -F.col("idx"))).alias("first")
-        cells = saved(pairs.join(gain, "idx").groupBy("ix", "iy").agg(first))
-        wins = cells.groupBy(F.col("first").alias("idx")).agg(F.count("*").alias("wins"))
-        chosen = saved(gain.join(wins, "idx").where("wins = gain").select("idx"))
-        done = pairs.join(chosen, "idx", "left_semi").select("ix", "iy").distinct()
-        pairs = saved(pairs.join(done, ["ix", "iy"], "left_anti"))
-        added = chosen if added is None else added.union(chosen)
-    if added is None:
+    pairs, seen = scratch.save_counted(cover.join(rejected, "idx", "left_semi").join(covered, ["ix", "iy"], "left_anti").select("idx", "ix", "iy"), n=F.count("*"))
+    if not seen["n"]:
         return kept.withColumn("added", F.lit(False))
+    first = scratch.save(pairs.groupBy("idx").agg(F.min("ix").alias("fx"), F.min("iy").alias("fy")))
+    placed, images = scratch.save_counted(numbered(scratch, first, ["fx", "fy", "idx"], "at").select("idx", "at"), n=F.count("*"))
+    per_block = max(2, PAIRS_PER_BLOCK * images["n"] // seen["n"])
+    added, turn, several = None, 0, images["n"] > per_block
+    while seen["n"]:
+        block = F.floor((F.col("at") + (per_block // 2 if turn % 2 else 0)) / per_block)
+        dealt = pairs.join(placed, "idx").select("idx", "ix", "iy", block.alias("block"))
+        none = F.lit(None).cast("double")
+        if several:
+            gain = pairs.groupBy("idx").agg(F.count("*").alias("gain"))
+            best = F.max(F.struct("gain", (-F.col("idx")).alias("minus"))).alias("best")
+            of_blocks = dealt.join(gain, "idx").groupBy("ix", "iy", "block").agg(best)
+            place = Window.partitionBy("ix", "iy").orderBy(F.desc("best"))
+            two = of_blocks.withColumn("place", F.row_number().over(place)).where("place <= 2")  # the best of another block is one of these
+            rivals = two.groupBy("ix", "iy").agg(*[F.max(F.when(F.col("place") == k, F.struct("block", "best"))).alias(f"b{k}") for k in (1, 2)])
+            other = F.when(F.col("b1.block") != F.col("block"), F.col("b1.best")).otherwise(F.col("b2.best"))
+            dealt = dealt.join(rivals, ["ix", "iy"]).withColumn("other", other).select("idx", "ix", "iy", "block", F.col("other.gain").cast("double").alias("rival_gain"), F.col("other.minus").cast("double").alias("rival_minus"))
+        else:
+            dealt = dealt.withColumns({"rival_gain": none, "rival_minus": none})
+        chosen = scratch.save(dealt.groupBy("block").applyInPandas(_taken, "idx long"))
+        added = chosen if added is None else added.union(chosen)
+        if not several:
+            break
+        done = pairs.join(chosen, "idx", "left_semi").select("ix", "iy").distinct()
+        now, seen = scratch.save_counted(pairs.join(done, ["ix", "iy"], "left_anti"), n=F.count("*"))
+        scratch.drop(pairs)
+        pairs, turn = now, turn + 1
+    scratch.drop(pairs, first, placed)
     return kept.join(added.withColumn("added", F.lit(True)), "idx", "left").withColumn("added", F.coalesce("added", F.lit(False))).withColumn("keep", F.col("keep") | F.col("added"))
 
 

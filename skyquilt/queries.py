@@ -117,9 +117,16 @@ def screening_summary(spark, sf):
     return screening.summary(screening.select_images(_scores(spark, sf)[0], CONFIG.threshold))
 
 
-@query()
+@query(SCORE + """, kept_cell AS (SELECT DISTINCT ix, iy FROM cover JOIN scores USING (idx) WHERE score >= 0.002),
+open_pair AS (SELECT c.idx, c.ix, c.iy FROM cover c JOIN scores s USING (idx) WHERE s.score < 0.002 AND NOT EXISTS (SELECT 1 FROM kept_cell k WHERE k.ix = c.ix AND k.iy = c.iy)),
+greedy(idx, ix, iy, best) AS (
+  SELECT idx, ix, iy, first_value(idx) OVER (ORDER BY gain DESC, idx) FROM (SELECT *, count(*) OVER (PARTITION BY idx) AS gain FROM open_pair)
+  UNION ALL
+  SELECT idx, ix, iy, first_value(idx) OVER (ORDER BY gain DESC, idx)
+  FROM (SELECT idx, ix, iy, count(*) OVER (PARTITION BY idx) AS gain FROM (SELECT idx, ix, iy, bool_or(idx = best) OVER (PARTITION BY ix, iy) AS closed FROM greedy) WHERE NOT closed))
+SELECT s.idx, s.score >= 0.002 OR s.idx IN (SELECT best FROM greedy) AS keep, s.idx IN (SELECT best FROM greedy) AS added FROM scores s""")
 def coverage_repair(spark, sf):
-    """Greedy, so checked by its properties: see the tests."""
+    """The sequential choice: in SQL one image a step."""
     scores, cover = _scores(spark, sf)
     return screening.repair_gaps(screening.select_images(scores, CONFIG.threshold), cover).select("idx", "keep", "added")
 
@@ -206,17 +213,52 @@ def voxel_cov(spark, sf):
     return rounded(points.voxel_moments(A.embedded_cloud(spark, sf), 20.0, "absolute"))
 
 
-@query()
+def _turned(p: str, q: str, r: str, table: str) -> str:
+    """A Jacobi rotation of the matrix m and of the vectors' heights h that clears one element."""
+    m = lambda a, b: "m" + "".join(sorted(a + b))
+    t = f"CASE WHEN {m(p, q)} = 0 THEN 0 ELSE CASE WHEN {m(q, q)} >= {m(p, p)} THEN 1 ELSE -1 END * 2 * {m(p, q)} / (abs({m(q, q)} - {m(p, p)}) + sqrt(({m(q, q)} - {m(p, p)}) * ({m(q, q)} - {m(p, p)}) + 4 * {m(p, q)} * {m(p, q)})) END"
+    return (f"(SELECT kx, ky, kz, n, {m(p, p)} - t * {m(p, q)} AS {m(p, p)}, {m(q, q)} + t * {m(p, q)} AS {m(q, q)}, 0::DOUBLE AS {m(p, q)}, {m(r, r)}, c * {m(p, r)} - s * {m(q, r)} AS {m(p, r)}, s * {m(p, r)} + c * {m(q, r)} AS {m(q, r)}, "
+            f"c * h{p} - s * h{q} AS h{p}, s * h{p} + c * h{q} AS h{q}, h{r} FROM (SELECT *, 1 / sqrt(t * t + 1) AS c, t / sqrt(t * t + 1) AS s FROM (SELECT *, {t} AS t FROM {table})))")
+
+
+def shape_sql(size: int) -> str:
+    """The eigenvalues and normals of voxels by Jacobi rotations."""
+    sweeps = "moments"
+    names = []
+    for k in range(8):
+        names.append(f"sweep{k} AS (SELECT * FROM {_turned('y', 'z', 'x', _turned('x', 'z', 'y', _turned('x', 'y', 'z', sweeps)))})")
+        sweeps = f"sweep{k}"
+    return f"""corner3 AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0 FROM cloud),
+vk AS (SELECT p.*, CAST(floor((x - x0) / {size}) AS BIGINT) AS kx, CAST(floor((y - y0) / {size}) AS BIGINT) AS ky, CAST(floor((z - z0) / {size}) AS BIGINT) AS kz FROM cloud p, corner3),
+moments AS (SELECT kx, ky, kz, count(*) AS n, covar_pop(x, x) AS mxx, covar_pop(x, y) AS mxy, covar_pop(x, z) AS mxz, covar_pop(y, y) AS myy, covar_pop(y, z) AS myz, covar_pop(z, z) AS mzz, 0::DOUBLE AS hx, 0::DOUBLE AS hy, 1::DOUBLE AS hz FROM vk GROUP BY kx, ky, kz),
+{(',' + chr(10)).join(names)},
+eigen AS (SELECT kx, ky, kz, n, list_sort([{{'e': mxx, 'h': hx}}, {{'e': myy, 'h': hy}}, {{'e': mzz, 'h': hz}}]) AS v FROM {sweeps}),
+cut AS (SELECT kx, ky, kz, n, v, v[3].e AS e2, CASE WHEN v[1].e <= 1e-18::DOUBLE * v[3].e THEN 0 ELSE v[1].e END AS e0, CASE WHEN v[2].e <= 1e-18::DOUBLE * v[3].e THEN 0 ELSE v[2].e END AS e1 FROM eigen),
+shape AS (
+  SELECT kx, ky, kz, n, (e1 - e0) / greatest(e2, 1e-12::DOUBLE) AS planarity, sqrt(e0) AS roughness,
+         CASE WHEN e2 <= 0 OR e2 - e0 <= 1e-9::DOUBLE * e2 THEN 1 WHEN e1 - e0 <= 1e-9::DOUBLE * e2 THEN 1 - sqrt(v[1].h * v[1].h + v[2].h * v[2].h) ELSE 1 - abs(v[1].h) END AS verticality
+  FROM cut)
+"""
+
+
+@query(shape_sql(20) + "SELECT kx, ky, kz, n, round(planarity, 6) + 0.0 AS planarity, round(roughness, 6) + 0.0 AS roughness, round(verticality, 6) + 0.0 AS verticality FROM shape")
 def voxel_eigen(spark, sf):
-    return points.voxel_shape(points.voxel_moments(A.embedded_cloud(spark, sf), 20.0)).select(*points.KEY, "n", "planarity", "roughness", "verticality")
+    return rounded(points.voxel_shape(points.voxel_moments(A.embedded_cloud(spark, sf), 20.0)).select(*points.KEY, "n", "planarity", "roughness", "verticality"))
 
 
 CLASSIFY = ClassifyConfig(ground_cell=4.0, ground_min_points=3, voxel=10.0)
 
 
-@query()
+@query(shape_sql(10) + """, gc AS (SELECT CAST(floor(x / 4) AS BIGINT) AS ix, CAST(floor(y / 4) AS BIGINT) AS iy, count(*) AS n, quantile_cont(z, 0.05) AS q FROM cloud GROUP BY 1, 2),
+gg AS (SELECT ix, iy, q FROM gc WHERE n >= 3),
+gh AS (SELECT a.ix, a.iy, gg.q, row_number() OVER (PARTITION BY a.ix, a.iy ORDER BY (a.ix - gg.ix) * (a.ix - gg.ix) + (a.iy - gg.iy) * (a.iy - gg.iy), gg.ix, gg.iy) AS rk FROM gc a, gg),
+f AS (SELECT p.idx, p.r, p.g, p.b, p.z - gh.q AS h, s.planarity AS plan, s.roughness AS rough, s.verticality AS vert FROM vk p JOIN shape s USING (kx, ky, kz) JOIN gh ON CAST(floor(p.x / 4) AS BIGINT) = gh.ix AND CAST(floor(p.y / 4) AS BIGINT) = gh.iy WHERE gh.rk = 1),
+c AS (SELECT *, 2 * g - r - b AS exg, g - greatest(r, b) AS dom, (r + g + b) / 3 AS bright, greatest(r, g, b) - least(r, g, b) AS sat FROM f)
+SELECT idx, round(h, 6) + 0.0 AS height, round(plan, 6) + 0.0 AS planarity, round(rough, 6) + 0.0 AS roughness, round(vert, 6) + 0.0 AS verticality, CASE WHEN (exg > 0.03 AND dom > 0.01) OR (h > 0.4 AND exg > 0.01 AND rough > 0.06) THEN 3
+  WHEN h > 1.5 AND ((plan > 0.35 AND rough < 0.15) OR (vert > 0.25 AND sat < 0.18)) THEN 1
+  WHEN h <= 0.25 AND bright < 0.45 AND rough < 0.05 AND sat < 0.10 THEN 2 WHEN h <= 0.25 AND r - g > 0.015 AND bright > 0.25 THEN 4 WHEN h <= 0.25 OR h > 0.20 THEN 5 ELSE 0 END AS class FROM c""")
 def classify_points(spark, sf):
-    return points.classify(A.embedded_cloud(spark, sf), CLASSIFY).select("idx", "height", "planarity", "roughness", "verticality", "class")
+    return rounded(points.classify(A.embedded_cloud(spark, sf), CLASSIFY).select("idx", "height", "planarity", "roughness", "verticality", "class"))
 
 
 @query("""f AS (SELECT idx, r, g, b, z / 10 AS h, abs(x) / 40 AS plan, abs(y) / 200 AS rough, abs(z) / 40 AS vert FROM cloud),

@@ -79,6 +79,24 @@ def test_shapes(spark):
         assert (r["planarity"], r["roughness"], r["verticality"]) == pytest.approx(want, abs=1e-9)
 
 
+def test_shapes_equal_a_solver(spark):
+    """Clouds of every rank and proportion: eigenvalues and normals of a library's solver; equal smallest ones by the most vertical vector."""
+    rng = np.random.default_rng(1)
+    clouds = [rng.normal(0, 1, (n, 3)) @ np.diag(rng.choice([0, 1e-7, 1e-3, 1, 1, 30], 3)) @ np.linalg.qr(rng.normal(0, 1, (3, 3)))[0] for n in rng.integers(1, 9, 300)]
+    moments = [(i, *(np.cov(c.T, bias=True)[a, b].item() for a, b in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)))) for i, c in enumerate(clouds)]
+    moments += [(1000, 1.0, 0.0, 0.0, 1.0, 0.0, 1.0), (1001, 0.0, 0.0, 0.0, 4.0, 0.0, 0.0), (1002, 0.0, 0.0, 0.0, 0.0, 0.0, 9.0), (1003, 2.0, 0.0, 0.0, 2.0, 0.0, 1.0), (1004, 2.0, 0.0, 0.0, 1.0, 0.0, 1.0)]
+    for r in points.voxel_shape(spark.createDataFrame(moments, "i long, cxx double, cxy double, cxz double, cyy double, cyz double, czz double")).collect():
+        m = np.array([[r["cxx"], r["cxy"], r["cxz"]], [r["cxy"], r["cyy"], r["cyz"]], [r["cxz"], r["cyz"], r["czz"]]])
+        e, v = np.linalg.eigh(m)
+        top = max(e[2], 1e-300)
+        same = (e - e[0]) <= 1e-9 * top
+        up = 0.0 if same.all() or e[2] <= 0 else math.sqrt((v[2, same] ** 2).sum())
+        assert r["planarity"] == pytest.approx((e[1] - e[0]) / max(e[2], 1e-12), abs=1e-9), r
+        assert r["roughness"] ** 2 == pytest.approx(max(e[0], 0), abs=1e-12 * top)
+        near_tie = not same.all() and 1e-12 < (e[1] - e[0]) / top < 1e-5  # the normal itself is ill-conditioned
+        assert near_tie or r["verticality"] == pytest.approx(1 - up, abs=1e-6), (r, e)
+
+
 def test_ground(spark):
     p = cloud(spark, [(0.5, 0.5, z) for z in range(5)] + [(1.5, 0.5, 9)] * 4)
     got = points.height_above_ground(p).collect()
