@@ -6,16 +6,20 @@ colour) and ``label``; several clouds are told apart by ``scene``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquilt.config import ClassifyConfig
-from skyquilt.functions import colour
+from skyquilt.functions import colour, draws
 from skyquilt.operators.neighbours import nearest_cell
+from skyquilt.operators.numbering import numbered
+from skyquilt.operators.quantiles import exact_quantiles
+from skyquilt.storage import Scratch
 
 KEY = ["kx", "ky", "kz"]
 AXES = ("x", "y", "z")
@@ -148,10 +152,9 @@ def classify(points: DataFrame, config: ClassifyConfig = ClassifyConfig()) -> Da
 
 
 def feature_quantiles(points: DataFrame, columns: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
-    """``feature, q, value`` with exact quantiles."""
-    wide = points.agg(*[F.percentile(c, F.array(*map(F.lit, quantiles))).alias(c) for c in columns])
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(q).alias("q"), F.col(c)[i].alias("value")) for c in columns for i, q in enumerate(quantiles)]))
-    return wide.select(rows.alias("s")).select("s.*")
+    """``feature, q, value`` with exact quantiles (see ``exact_quantiles``, which runs its passes at once)."""
+    found = exact_quantiles(points, columns, quantiles)
+    return points.sparkSession.createDataFrame([(c, float(q), v) for c in columns for q, v in zip(quantiles, found[c], strict=True)], "feature string, q double, value double")
 
 
 def class_counts(points: DataFrame, classes: int, column: str = "label") -> DataFrame:
@@ -172,9 +175,9 @@ def class_report(points: DataFrame, classes: int, features: Sequence[str], param
     quantiles = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
     counts = class_counts(points, classes, column)
     shown = counts.select(F.lit("class").alias("part"), F.col("label").alias("place"), F.format_string("%d: %d (%.2f%%)", "label", "n", "percent").alias("line"))
-    wide = points.agg(*[F.percentile(c, F.array(*map(F.lit, quantiles))).alias(c) for c in features])
-    numbers = lambda c: F.concat(F.lit(f"{c}: "), F.array_join(F.transform(F.col(c), lambda v: F.format_string("%.4f", v)), ", "))
-    rows = wide.select(F.explode(F.array(*[F.struct(F.lit("feature").alias("part"), F.lit(i).alias("place"), numbers(c).alias("line")) for i, c in enumerate(features)])).alias("r")).select("r.*")
+    found = exact_quantiles(points, features, quantiles)
+    lines = [("feature", i, f"{c}: " + ", ".join("null" if v is None else f"{v:.4f}" for v in found[c])) for i, c in enumerate(features)]
+    rows = points.sparkSession.createDataFrame(lines, "part string, place int, line string")
     given = points.sparkSession.createDataFrame([("parameter", i, f"{k}={v}") for i, (k, v) in enumerate(sorted(parameters.items()))], "part string, place int, line string")
     return shown.union(rows).union(given)
 
@@ -199,12 +202,16 @@ def feature_vector(points: DataFrame, with_colour: bool) -> DataFrame:
 
 
 def augment(points: DataFrame, seed: int, scene: str = "scene") -> DataFrame:
-    """A turn about z and a scale for each scene, jitter for each point and channel; values follow the seed, not any other generator."""
-    draw = lambda salt: (F.xxhash64(F.col(scene), F.lit(seed), F.lit(salt)) / F.lit(2.0**64)) + 0.5
-    turn, scale = draw(1) * 2 * np.pi, 0.9 + 0.2 * draw(2)
+    """A turn about z and a scale for each scene, jitter for each point and channel.
+
+    All draws are hashes of the seed and of the scene or the point (``idx``), so
+    they follow the seed and nothing else, neither partitions nor row order.
+    """
+    turn, scale = draws.unit(seed, 1, F.col(scene)) * 2 * np.pi, 0.9 + 0.2 * draws.unit(seed, 2, F.col(scene))
+    jitter = lambda k: 0.01 * draws.normal(seed, 100 + k, F.col(scene), F.col("idx"))
     x, y, z = map(F.col, AXES)
-    moved = points.withColumns({"x": scale * (x * F.cos(turn) - y * F.sin(turn)) + 0.01 * F.randn(seed), "y": scale * (x * F.sin(turn) + y * F.cos(turn)) + 0.01 * F.randn(seed + 1), "z": scale * z + 0.01 * F.randn(seed + 2)})
-    return moved.withColumns({c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) + 0.01 * F.randn(seed + 3 + i))) for i, c in enumerate("rgb")})
+    moved = points.withColumns({"x": scale * (x * F.cos(turn) - y * F.sin(turn)) + jitter(0), "y": scale * (x * F.sin(turn) + y * F.cos(turn)) + jitter(1), "z": scale * z + jitter(2)})
+    return moved.withColumns({c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) + jitter(3 + i))) for i, c in enumerate("rgb")})
 
 
 def order_key(seed: int) -> Column:
@@ -223,7 +230,7 @@ def sample_to(points: DataFrame, n: int, seed: int) -> DataFrame:
     have = points.count()
     if have >= n or not have:
         return points.orderBy(order_key(seed), "idx").limit(n)
-    place = points.withColumn("_at", F.row_number().over(Window.orderBy("idx")) - 1)
+    place = numbered(Scratch(points.sparkSession), points, ["idx"], "_at")
     drawn = points.sparkSession.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(have)).alias("_at"))
     return drawn.join(place, "_at").drop("_at")
 
@@ -257,12 +264,28 @@ def blocks(points: DataFrame, size: float, overlap: float = 0.0, min_points: int
 
 
 def split_blocks(blocked: DataFrame, val_ratio: float = 0.15, test_ratio: float = 0.15, seed: int = 0) -> DataFrame:
-    """``bx, by, file, split`` of each block: a seeded shuffle of the block list, then val, test and train.  Only block numbers come to the driver."""
-    order = [(r["bx"], r["by"]) for r in blocked.select("bx", "by").distinct().orderBy("bx", "by").collect()]
-    places = np.random.default_rng(seed).permutation(len(order))
-    n_val, n_test = int(len(order) * val_ratio), int(len(order) * test_ratio)
-    rows = [(*order[j], i, "val" if i < n_val else "test" if i < n_val + n_test else "train") for i, j in enumerate(places)]
-    return blocked.sparkSession.createDataFrame(rows, "bx long, by long, file int, split string")
+    """``bx, by, file, split`` of each block: a seeded shuffle of the block list, then val, test and train.
+
+    Blocks get their places in the list from counts of ranges.  The shuffle needs
+    no more than their number: a task draws it (8 bytes a block) and hands it on as
+    rows, so the list is in neither the driver nor a task.
+    """
+    scratch = Scratch(blocked.sparkSession)
+    listed, seen = scratch.save_counted(blocked.select("bx", "by").distinct(), n=F.count("*"))
+    n = seen["n"]
+    placed = numbered(scratch, listed, ["bx", "by"], "place")
+
+    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in frames:
+            places = np.random.default_rng(seed).permutation(n)
+            for at in range(0, n, 100_000):
+                some = places[at : at + 100_000]
+                yield pd.DataFrame({"place": some, "file": np.arange(at, at + len(some))})
+
+    order = blocked.sparkSession.range(0, 1, 1, 1).mapInPandas(drawn, "place long, file int")
+    n_val, n_test = int(n * val_ratio), int(n * test_ratio)
+    split = F.when(F.col("file") < n_val, "val").when(F.col("file") < n_val + n_test, "test").otherwise("train")
+    return placed.join(order, "place").select("bx", "by", "file", split.alias("split"))
 
 
 def concat_scenes(parts: Sequence[DataFrame]) -> DataFrame:
