@@ -44,10 +44,12 @@ def voxel_mean(points: DataFrame, size: float) -> DataFrame:
 def voxel_first(points: DataFrame, size: float) -> DataFrame:
     """The first point (by ``idx``) of each voxel.
 
-    Only numbers are aggregated, by hash; the chosen points are then joined.
+    Each column is that of the least ``idx``, kept by a hash aggregate as points
+    are read, so a task hands on a row for each of its voxels and nothing is
+    joined back.
     """
-    keyed = with_voxel(points, size, "min").select(*KEY, "idx")
-    return keyed.groupBy(*KEY).agg(F.min("idx").alias("idx")).join(points, "idx").select(*KEY, "idx", *[c for c in points.columns if c != "idx"])
+    rest = [c for c in points.columns if c not in (*KEY, "idx")]
+    return with_voxel(points, size, "min").groupBy(*KEY).agg(F.min("idx").alias("idx"), *[F.min_by(c, "idx").alias(c) for c in rest])
 
 
 def voxel_moments(points: DataFrame, size: float, origin: str = "min") -> DataFrame:

@@ -43,7 +43,7 @@ def line_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     minima of it are hash aggregates.
     """
     p = _line_points(table(spark, sf_dir, "lineitem"))
-    digits = F.concat(F.col("l_orderkey"), F.lpad("l_linenumber", 2, "0"), F.lpad("l_partkey", 10, "0"), F.lpad("l_suppkey", 10, "0"))
+    digits = F.expr("cast(l_orderkey * 100 + l_linenumber as decimal(18, 0)) * cast('100000000000000000000' as decimal(21, 0)) + cast(l_partkey * 10000000000 + l_suppkey as decimal(20, 0))")
     return p.select(digits.cast("decimal(38,0)").alias("idx"), "x", "y", "z", "label", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
