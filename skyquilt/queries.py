@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyquilt.config import Camera, ClassifyConfig, ScreeningConfig
 from skyquilt.functions import colour, geometry
-from skyquilt.operators import cluster, compare, learn, metrics, neighbours, points, screening
+from skyquilt.operators import cluster, compare, learn, metrics, neighbours, network, points, screening
 from skyquilt.plans import adapters as A
 from skyquilt.plans.survey import extract_buildings, screen
 from skyquilt.sources import demo_scene, image_meta, pos_csv
@@ -637,6 +637,25 @@ def predict_cloud(spark, sf):
     return learn.predict_cloud(_model(spark, sf), A.embedded_cloud(spark, sf), 512, 3)
 
 
+NET = network.Shape(widths=(16, 32, 64), scales=(4, 8, 16), k=8)
+
+
+@query()
+def network_pass(spark, sf):
+    """Logits of every point by one pass of the network over all scenes at once, with seeded weights."""
+    p = network.cloud_scenes(A.embedded_cloud(spark, sf), 250)
+    return network.forward(network.pyramid(p, NET), network.inputs(p), network.new_weights(NET, 1), NET)
+
+
+@query()
+def network_training(spark, sf):
+    """Some epochs over three of four scenes: of each the loss, and the scores on the others."""
+    p = network.cloud_scenes(A.embedded_cloud(spark, sf), 125)
+    scenes = network.packed(network.pyramid(p, NET), network.inputs(p), p.select("idx", "label"))
+    _, log = network.train(scenes.where("scene % 4 <> 3"), scenes.where("scene % 4 = 3"), NET, epochs=3, rate=0.01)
+    return spark.createDataFrame([(e["epoch"], e["loss"], e["oa"], e["miou"]) for e in log], "epoch int, loss double, oa double, miou double")
+
+
 @query()
 def dataset_items(spark, sf):
     return learn.dataset_item(A.embedded_cloud(spark, sf), 1024, 2.0, seed=3)
