@@ -57,6 +57,16 @@ def tile_headers(points: DataFrame) -> DataFrame:
     return points.groupBy("tile").agg(F.count("*").alias("points"), *[f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))])
 
 
+def tile_totals(tiles: DataFrame, sizes: tuple[str, ...] = ("points", "bytes")) -> DataFrame:
+    """One row: the number of tiles and, of each of ``sizes``, the total and the mean over tiles."""
+    return tiles.agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in sizes], *[F.avg(c).alias(f"mean_{c}") for c in sizes])
+
+
+def tile_averages(tiles: DataFrame, averaged: tuple[str, ...], summed: tuple[str, ...]) -> DataFrame:
+    """One row: the plain mean over tiles of each score, and the total of each count."""
+    return tiles.agg(*[F.avg(c).alias(c) for c in averaged], *[F.sum(c).alias(c) for c in summed])
+
+
 def target_counts(targets: DataFrame, *areas: float) -> DataFrame:
     return targets.agg(F.count("*").alias("targets"), *[F.count_if(F.col("area") >= a).alias(f"targets_{a:g}") for a in areas], F.sum("area").alias("total_area"))
 

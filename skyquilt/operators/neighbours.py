@@ -138,6 +138,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[str] = ("x
         if level is not levels[0]:
             front = front.drop("most", "n", *[f"n{s}{c}" for c in axes for s in "lh"])
     front = scratch.save(front)
+    scratch.drop(levels[0])
 
     best = front.where(F.col("n") >= k).groupBy(*block).agg(F.min_by("id", "most").alias("id"))
     listed = placed.select(F.col("idx").alias("dst"), *axes, *keep, *within, "id")

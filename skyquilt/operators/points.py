@@ -242,6 +242,19 @@ def gather(points: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(points, "idx")
 
 
+def with_predictions(points: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Points with the prediction of the same position: both have ``idx``, their order.
+
+    Tables that do not have the same positions are an error: one row of counts
+    says so before anything is joined.
+    """
+    both = points.select("idx", F.lit(1).alias("p"), F.lit(0).alias("q")).unionByName(predictions.select("idx", F.lit(0).alias("p"), F.lit(1).alias("q")))
+    found = both.groupBy("idx").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).agg(F.sum("p"), F.sum("q"), F.count_if(F.expr("p <> 1 or q <> 1"))).first()
+    if found[2]:
+        raise ValueError(f"{found[0]} points and {found[1]} predictions, {found[2]} positions that are not one of each")
+    return points.join(predictions, "idx")
+
+
 def blocks(points: DataFrame, size: float, overlap: float = 0.0, min_points: int = 100) -> DataFrame:
     """Points with the blocks they lie in (``bx, by``); blocks of few points are left out, and so are points on the upper edge.
 

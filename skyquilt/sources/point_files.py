@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,6 +189,100 @@ class LasWriter(DataSourceArrowWriter):
                 system.delete_file(f.path)
 
 
+class LasTileWriter(LasWriter):
+    """A file for each tile, with the header of the source's file of that name.
+
+    Options ``like`` (the folder of the sources, or one file for all) and
+    ``suffix`` of the new names.  Version, point format, record length, scale,
+    offset and variable-length records are the source's; the counts and the box
+    are those of the points.  Rows come by tile and in order; hidden files are
+    published when the job commits.
+    """
+
+    def __init__(self, options, overwrite: bool):
+        super().__init__(options, overwrite)
+        self.like, self.suffix = options["like"].rstrip("/"), options.get("suffix", "")
+
+    def _source(self, tile: str) -> bytes:
+        from pyarrow import fs
+
+        system, inner = _open(self.like)
+        path = inner if system.get_file_info(inner).type == fs.FileType.File else f"{inner}/{tile}"
+        with system.open_input_file(path) as f:
+            head = f.read(375)
+            return head + f.read(max(0, las_header(head)["offset"] - 375))
+
+    def _records(self, table, head: dict) -> np.ndarray:
+        form, length = head["format"], head["length"]
+        fields = [("p", "<i4", (3,), 0), ("c", "u1", (), 16 if form >= 6 else 15)] + ([("k", "<u2", (3,), COLOUR_AT[form])] if form in COLOUR_AT else [])
+        rec = np.zeros(len(table), dtype=np.dtype({"names": [f[0] for f in fields], "formats": [(f[1], f[2]) for f in fields], "offsets": [f[3] for f in fields], "itemsize": length}))
+        steps = np.round((table[["x", "y", "z"]].to_numpy(dtype=float) - np.array(head["shift"])) / np.array(head["scale"]))
+        if not (np.abs(steps) < 2**31).all():
+            raise ValueError("coordinates are missing or too far apart for this scale and offset")
+        rec["p"], rec["c"] = steps.astype(np.int32), table["label"].fillna(0).to_numpy(dtype=np.uint8)
+        if form in COLOUR_AT:
+            rec["k"] = table[["red", "green", "blue"]].fillna(0).to_numpy(dtype=np.uint16)
+        return rec
+
+    def _header(self, source: bytes, n: int, low: np.ndarray, high: np.ndarray) -> bytes:
+        head = las_header(source)
+        out = bytearray(source[: head["offset"]])
+        few = n if head["format"] < 6 and n < 2**32 else 0
+        struct.pack_into("<I5I", out, 107, few, few, 0, 0, 0, 0)
+        struct.pack_into("<6d", out, 179, *[v for a in range(3) for v in (high[a], low[a])])
+        size = struct.unpack_from("<H", out, 94)[0]
+        if size >= 235:  # no waveforms
+            struct.pack_into("<Q", out, 227, 0)
+        if size >= 375:  # no records behind the points; counts of 64 bits
+            struct.pack_into("<QI", out, 235, 0, 0)
+            struct.pack_into("<16Q", out, 247, n, n, *[0] * 14)
+        return bytes(out)
+
+    def write(self, batches):
+        from pyspark import TaskContext
+
+        system, inner = _open(self.path)
+        system.create_dir(inner, recursive=True)
+        task, files, at = TaskContext.get(), [], None
+        hidden = f"{inner}/.{self.job}-{task.partitionId():05d}-{task.taskAttemptId()}"
+
+        def close() -> None:
+            tile, source, body, n, low, high = at
+            body.close()
+            whole = f"{hidden}-{len(files)}.las"
+            with system.open_output_stream(whole) as f, system.open_input_stream(hidden) as points:
+                f.write(self._header(source, n, low, high))
+                while some := points.read(8 << 20):
+                    f.write(some)
+            system.delete_file(hidden)
+            files.append((whole, tile))
+
+        for batch in batches:
+            for tile, table in batch.to_pandas().groupby("tile", sort=False):
+                if at is not None and at[0] != tile:
+                    close()
+                    at = None
+                if at is None:
+                    at = [tile, self._source(tile), system.open_output_stream(hidden), 0, np.full(3, np.inf), np.full(3, -np.inf)]
+                xyz = table[["x", "y", "z"]].to_numpy(dtype=float)
+                at[2].write(self._records(table, las_header(at[1])).tobytes())
+                at[3:] = at[3] + len(table), np.minimum(at[4], xyz.min(axis=0)), np.maximum(at[5], xyz.max(axis=0))
+        if at is not None:
+            close()
+        return LasFile(files or None)
+
+    def commit(self, messages):
+        system, inner = _open(self.path)
+        system.create_dir(inner, recursive=True)
+        files = [f for m in messages if m and m.path for f in m.path]
+        if self.overwrite:
+            for path in _files(self.path, (".las",)):
+                system.delete_file(_open(path)[1])
+        for hidden, tile in files:
+            system.move(hidden, f"{inner}/{tile.removesuffix('.las')}{self.suffix}.las")
+        self._clear()
+
+
 class LasSource(DataSource):
     """``spark.read.format('las')``; needs ``spark.dataSource.register(LasSource)``."""
 
@@ -202,7 +297,7 @@ class LasSource(DataSource):
         return LasReader(self.options)
 
     def writer(self, schema, overwrite):
-        return LasWriter(self.options, overwrite)
+        return (LasTileWriter if self.options.get("like") else LasWriter)(self.options, overwrite)
 
 
 def read_las(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -221,6 +316,33 @@ def write_las(points: DataFrame, path: str, mode: str = "append", scale: float =
     writer.mode(mode).save(path)
 
 
+def write_las_tiles(points: DataFrame, path: str, like: str, suffix: str = "", mode: str = "append") -> None:
+    """A file for each ``tile`` with its points in order of ``idx``, and the header of the file of that name in ``like`` (see ``LasTileWriter``).
+
+    A tile is written by one task, batch by batch, as its points stand in one file.
+    """
+    points.sparkSession.dataSource.register(LasSource)
+    dealt = points.select("tile", "idx", "x", "y", "z", "red", "green", "blue", "label").repartition("tile").sortWithinPartitions("tile", "idx")
+    dealt.write.format("las").option("like", like).option("suffix", suffix).mode(mode).save(path)
+
+
+def tile_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """``tile, points, format, bytes`` and the box of each LAS file, from headers alone: a task reads the headers of some files."""
+    files = spark.createDataFrame([(p,) for p in _files(path, (".las",))], "path string")
+
+    def read(frames):
+        for frame in frames:
+            rows = []
+            for p in frame["path"]:
+                system, inner = _open(p)
+                with system.open_input_file(inner) as f:
+                    h = las_header(f.read(375))
+                rows.append((p.rsplit("/", 1)[-1], h["points"], *h["min"], *h["max"], h["format"], system.get_file_info(inner).size))
+            yield pd.DataFrame(rows, columns=["tile", "points", "minx", "miny", "minz", "maxx", "maxy", "maxz", "format", "bytes"])
+
+    return files.repartition(max(1, min(files.count(), spark.sparkContext.defaultParallelism))).mapInPandas(read, "tile string, points long, minx double, miny double, minz double, maxx double, maxy double, maxz double, format int, bytes long")
+
+
 def las_cloud(points: DataFrame, unit: bool = False) -> DataFrame:
     """Records of ``read_las`` with r, g, b for the operators.
 

@@ -1,10 +1,12 @@
 import os
+import random
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyquilt.operators import compare, points
 from skyquilt.sources import image_meta, point_files, pos_csv
 
 XMP = b'<x:xmpmeta><rdf:Description drone-dji:GimbalPitchDegree="-60.00" drone-dji:FlightYawDegree="+370"><drone-dji:RelativeAltitude> 80.5 </drone-dji:RelativeAltitude></rdf:Description></x:xmpmeta>'
@@ -96,3 +98,62 @@ def test_tables(spark, tmp_path):
     (tmp_path / "t.txt").write_text("1 2 3 5\n\n 4\t5  6 7 \n")
     got = point_files.read_text_points(spark, str(tmp_path / "t.txt")).collect()
     assert [(r["z"], r["r"], r["label"]) for r in got] == [(3.0, None, 5), (6.0, None, 7)]
+
+
+def las_file(path, form, length, minor, rows, vlr):
+    """A LAS file made by hand: header, one variable-length record, padding, records."""
+    size = {2: 227, 4: 375}[minor]
+    head = bytearray(size)
+    head[:4], head[24:26], head[26:58] = b"LASF", bytes((1, minor)), b"maker".ljust(32, b"\0")
+    body = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 2112, len(vlr), b"text") + vlr
+    offset = size + len(body) + 3
+    struct.pack_into("<HII", head, 94, size, offset, 1)
+    struct.pack_into("<BHI5I", head, 104, form, length, *([len(rows)] * 2 if form < 6 else [0, 0]), 0, 0, 0, 0)
+    struct.pack_into("<3d3d", head, 131, 0.01, 0.01, 0.002, 600_000.0, 3_800_000.0, -5.0)
+    real = [[p[a] * (0.01, 0.01, 0.002)[a] + (600_000.0, 3_800_000.0, -5.0)[a] for a in range(3)] for p in rows]
+    struct.pack_into("<6d", head, 179, *[f(r[a] for r in real) for a in range(3) for f in (max, min)])
+    if minor == 4:
+        struct.pack_into("<16Q", head, 247, len(rows), len(rows), *[0] * 14)
+    with open(path, "wb") as f:
+        f.write(bytes(head) + body + b"pad")
+        for x, y, z, label, r, g, b in rows:
+            rec = bytearray(length)
+            struct.pack_into("<3i", rec, 0, x, y, z)
+            rec[16 if form >= 6 else 15] = label
+            struct.pack_into("<3H", rec, {2: 20, 3: 28, 7: 30}[form], r, g, b)
+            f.write(rec)
+
+
+def test_las_tiles_keep_their_headers(spark, tmp_path):
+    """Three tiles of several formats and versions: written and read, header and records are byte for byte those of the source."""
+    source, rng = tmp_path / "source", random.Random(1)
+    source.mkdir()
+    for k, (form, length, minor) in enumerate([(2, 26, 2), (3, 34, 2), (7, 36, 4)]):
+        rows = [(rng.randint(-10**6, 10**6), rng.randint(0, 10**6), rng.randint(0, 999), rng.randint(0, 5), *(rng.randint(0, 65535) for _ in range(3))) for _ in range(40 + k)]
+        las_file(source / f"Tile_{k}.las", form, length, minor, rows, b"GEOGCS" * (k + 1))
+    df = point_files.read_las(spark, str(source))
+    point_files.write_las_tiles(df.repartition(3), str(tmp_path / "out"), str(source), "_preclassified")
+    for k in range(3):
+        assert (tmp_path / "out" / f"Tile_{k}_preclassified.las").read_bytes() == (source / f"Tile_{k}.las").read_bytes()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")) == [f"Tile_{k}_preclassified.las" for k in range(3)]
+    tiles = point_files.tile_sizes(spark, str(source))
+    got = {r["tile"]: r for r in tiles.collect()}
+    assert [(got[f"Tile_{k}.las"]["points"], got[f"Tile_{k}.las"]["bytes"], got[f"Tile_{k}.las"]["format"]) for k in range(3)] == [(40 + k, (source / f"Tile_{k}.las").stat().st_size, f) for k, f in enumerate((2, 3, 7))]
+    total = compare.tile_totals(tiles).first()
+    assert (total["files"], total["points"], total["mean_points"], total["bytes"]) == (3, 123, 41.0, sum(p.stat().st_size for p in source.iterdir()))
+    with pytest.raises(Exception, match="unknown|No such|not"):
+        point_files.write_las_tiles(df.withColumn("tile", F.lit("unknown.las")), str(tmp_path / "bad"), str(source))
+
+
+def test_positions_are_checked(spark):
+    p = spark.createDataFrame([(i, float(i)) for i in range(5)], "idx long, x double")
+    q = spark.createDataFrame([(i, i % 2) for i in range(5)], "idx long, pred int")
+    assert sorted((r["idx"], r["pred"]) for r in points.with_predictions(p, q).collect()) == [(i, i % 2) for i in range(5)]
+    for wrong in (q.where("idx < 4"), q.union(q.limit(1)), q.withColumn("idx", F.col("idx") + 1)):
+        with pytest.raises(ValueError):
+            points.with_predictions(p, wrong)
+
+
+def test_tile_averages(spark):
+    df = spark.createDataFrame([("a", 0.5, 10), ("b", 0.7, 30)], "tile string, oa double, raw long")
+    assert compare.tile_averages(df, ("oa",), ("raw",)).first().asDict() == pytest.approx({"oa": 0.6, "raw": 40})
