@@ -66,34 +66,34 @@ def _links(scratch: Scratch, own: DataFrame, nodes: DataFrame, eps: float, side:
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _STEPS if (a, b) != (0, 0)])).alias("s")
     q = nodes.select(F.col("node").alias("a"), "cx", "cy", steps).select("a", (F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy"))
     pairs = q.join(nodes.withColumnRenamed("node", "b"), ["cx", "cy"]).where("b < a").select("a", "b", *[F.lit(0).cast("long").alias(f"{n}{c}") for n in "ab" for c in "xy"])
-    near, limit, level, linked = scratch.save(pairs), eps * eps, 0, None
+    near, limit, level, linked = pairs, eps * eps, 0, None
     within = (F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")) + (F.col("a.y") - F.col("b.y")) * (F.col("a.y") - F.col("b.y")) <= limit
     while True:
         def sub(n: int, f: str) -> list[Column]:
             return [(F.floor(F.col(c) / (side / SPLIT**n)) if n else F.lit(0).cast("long")).alias(f"{f}{c}") for c in "xy"]
 
-        active = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        left = own.join(active, "node", "left_semi").select("node", "x", "y", *sub(level, "s"), *sub(level + 1, "t"))
+        active = own if not level else own.join(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "node", "left_semi")
+        left = active.select("node", "x", "y", *sub(level, "s"), *sub(level + 1, "t"))
         boxes = left.groupBy("node", "sx", "sy").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))])
         of = lambda t: boxes.select(*[F.col(c).alias({"node": t, "sx": f"{t}x", "sy": f"{t}y"}.get(c, f"{t}_{c}")) for c in boxes.columns])
         met = near.join(of("a"), ["a", "ax", "ay"]).join(of("b"), ["b", "bx", "by"])
         gap = [F.greatest(F.col(f"a_{c}0") - F.col(f"b_{c}1"), F.col(f"b_{c}0") - F.col(f"a_{c}1"), F.lit(0.0)) for c in "xy"]
         span = [F.greatest(F.col(f"a_{c}1") - F.col(f"b_{c}0"), F.col(f"b_{c}1") - F.col(f"a_{c}0")) for c in "xy"]
         met = met.select("a", "b", "ax", "ay", "bx", "by", (F.col("a_n") * F.col("b_n") <= FEW).alias("few"), (span[0] * span[0] + span[1] * span[1] <= limit).alias("all"), (gap[0] * gap[0] + gap[1] * gap[1] <= limit).alias("some"))
-        met = scratch.save(met.where("some"))
+        met, seen = scratch.save_counted(met.where("some"), n=F.count_if(F.expr("not few and not all")))
         points = lambda t: left.select(F.col("node").alias(t), F.col("sx").alias(f"{t}x"), F.col("sy").alias(f"{t}y"), "x", "y")
         few = met.where("few and not all")
         shown = few.join(points("a").alias("a"), ["a", "ax", "ay"]).join(points("b").alias("b"), ["b", "bx", "by"]).where(within).select("a", "b")
-        found = scratch.save(met.where("all").select("a", "b").union(shown).distinct())
+        found = met.where("all").select("a", "b").union(shown).distinct()
+        found = scratch.save(found) if seen["n"] else found
         linked = found if linked is None else linked.union(found)
+        if not seen["n"]:
+            return linked
         # by their own sub-cells; a level has no more pairs than a cell's sub-cells have neighbours
         children = lambda t: left.select(F.col("node").alias(t), F.col("sx").alias(f"{t}x"), F.col("sy").alias(f"{t}y"), F.col("tx").alias(f"{t}u"), F.col("ty").alias(f"{t}v")).distinct()
         rest = met.where("not few and not all").join(found, ["a", "b"], "left_anti")
-        near, seen = scratch.save_counted(
-            rest.join(children("a"), ["a", "ax", "ay"]).join(children("b"), ["b", "bx", "by"]).select("a", "b", *[F.col(f"{t}{o}").alias(f"{t}{c}") for t in "ab" for c, o in (("x", "u"), ("y", "v"))]), n=F.count("*"))
-        scratch.drop(met)
-        if not seen["n"]:
-            return linked
+        near = scratch.save(
+            rest.join(children("a"), ["a", "ax", "ay"]).join(children("b"), ["b", "bx", "by"]).select("a", "b", *[F.col(f"{t}{o}").alias(f"{t}{c}") for t in "ab" for c, o in (("x", "u"), ("y", "v"))]))
         level += 1
 
 

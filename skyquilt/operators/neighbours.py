@@ -37,6 +37,55 @@ def radius_pairs(points: DataFrame, eps: float, axes: Sequence[str] = ("x", "y")
     return _meet(points, points, eps, axes).where(F.col("d2") <= eps * eps)
 
 
+SPLIT, FEW = 4, 4096  # sub-cells on an axis of the cell above; pairs of points that are looked at one by one
+
+
+def radius_counts(points: DataFrame, eps: float, axes: Sequence[str] = ("x", "y")) -> DataFrame:
+    """``idx, degree``: how many points lie within ``eps`` of each, itself included, without listing the pairs.
+
+    Cells that adjoin are compared by the boxes of their points: if all are near
+    each other, the count of one is added to every point of the other, if none
+    can be, nothing is.  Pairs of cells in between are split into sub-cells, until
+    they are ``FEW`` pairs of points, which are looked at.  So a crowd costs the
+    sub-cells at the rim of the radius and not its square.  A place that is not
+    finite has no row; rows of the same ``idx`` are points each.
+    """
+    scratch, limit = Scratch(points.sparkSession), eps * eps
+    own = scratch.save(points.where(finite(axes)).select(F.monotonically_increasing_id().alias("id"), "idx", *[F.col(c).cast("double").alias(c) for c in axes]))
+    cell = lambda level: [F.floor(F.col(c) / (eps / SPLIT**level)).alias(f"k{c}") for c in axes]
+    keys = [f"k{c}" for c in axes]
+    side = lambda s: [f"{s}{k}" for k in keys]
+    shifts = F.explode(F.array(*[F.struct(*[F.lit(s).alias(f"s{c}") for s, c in zip(shift, axes, strict=True)]) for shift in product((-1, 0, 1), repeat=len(axes))])).alias("s")
+    there = own.select(*cell(0)).distinct()
+    a = there.select(*[F.col(k).alias(f"a{k}") for k in keys], shifts).select(*side("a"), *[(F.col(f"ak{c}") + F.col(f"s.s{c}")).alias(f"bk{c}") for c in axes])
+    near = a.join(there.select(*[F.col(k).alias(f"b{k}") for k in keys]), side("b"))
+    level, sums = 0, None
+    while True:
+        placed = own.select("id", *axes, *cell(level), *[F.floor(F.col(c) / (eps / SPLIT ** (level + 1))).alias(f"t{c}") for c in axes])
+        boxes = placed.groupBy(*keys).agg(F.count("*").alias("n"), *[f(c).alias(f"{s}{c}") for c in axes for s, f in (("l", F.min), ("h", F.max))])
+        of = lambda t: boxes.select(*[F.col(c).alias(f"{t}{c}") for c in boxes.columns])
+        met = near.join(of("a"), side("a")).join(of("b"), side("b"))
+        gap = [F.greatest(F.col(f"al{c}") - F.col(f"bh{c}"), F.col(f"bl{c}") - F.col(f"ah{c}"), F.lit(0.0)) for c in axes]
+        span = [F.greatest(F.col(f"ah{c}") - F.col(f"bl{c}"), F.col(f"bh{c}") - F.col(f"al{c}")) for c in axes]
+        square = lambda parts: reduce(lambda p, q: p + q, [x * x for x in parts])
+        met = met.where(square(gap) <= limit).select(*side("a"), *side("b"), "bn", (square(span) <= limit).alias("all"), (F.col("an") * F.col("bn") <= FEW).alias("few"))
+        met, seen = scratch.save_counted(met, n=F.count_if(F.expr("not few and not all")))
+        whole = met.where("all").groupBy(*side("a")).agg(F.sum("bn").alias("n"))
+        added = placed.join(whole, [F.col(k) == F.col(f"a{k}") for k in keys]).select("id", "n")
+        few = met.where("few and not all").select(*side("a"), *side("b"))
+        p = lambda t: placed.select(F.col("id").alias(f"{t}id"), *[F.col(c).alias(f"{t}{c}") for c in axes], *[F.col(k).alias(f"{t}{k}") for k in keys])
+        pairs = few.join(p("a"), side("a")).join(p("b"), side("b")).where(square([F.col(f"a{c}") - F.col(f"b{c}") for c in axes]) <= limit)
+        found = added.unionByName(pairs.groupBy(F.col("aid").alias("id")).agg(F.count("*").alias("n")))
+        sums = found if sums is None else sums.unionByName(found)
+        if not seen["n"]:
+            return sums.groupBy("id").agg(F.sum("n").alias("degree")).join(own.select("id", "idx"), "id").select("idx", "degree")
+        rest = met.where("not few and not all").select(*side("a"), *side("b"))
+        below = placed.select(*keys, *[f"t{c}" for c in axes]).distinct()
+        child = lambda t: below.select(*[F.col(k).alias(f"{t}{k}") for k in keys], *[F.col(f"t{c}").alias(f"{t}t{c}") for c in axes])
+        made = rest.join(child("a"), side("a")).join(child("b"), side("b")).select(*[F.col(f"{t}t{c}").alias(f"{t}k{c}") for t in "ab" for c in axes]).distinct()
+        near, level = scratch.save(made), level + 1
+
+
 PER_LEAF, PER_BLOCK, FAN = 16, 32, 16  # points of a leaf at least, queries of a block, children of a node
 SLACK = 1 + 1e-9  # bounds and distances are rounded differently
 

@@ -440,7 +440,7 @@ def production_rates(spark, sf):
 
 @query("SELECT a.idx, count(*) AS degree FROM cloud a JOIN cloud b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4 GROUP BY a.idx")
 def radius_degree(spark, sf):
-    return neighbours.radius_pairs(A.embedded_cloud(spark, sf), EPS).groupBy(F.col("src").alias("idx")).agg(F.count("*").alias("degree"))
+    return neighbours.radius_counts(A.embedded_cloud(spark, sf), EPS)
 
 
 KNN = """d AS (SELECT a.idx AS src, b.idx AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM cloud a, cloud b),

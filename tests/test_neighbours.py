@@ -89,3 +89,15 @@ def test_nearest_cell(spark):
     assert neighbours.nearest_cell(holes.where("false"), good).collect() == []
     assert [r["ground"] for r in neighbours.nearest_cell(holes, good.where("false")).collect()] == [None] * 4
     assert neighbours.nearest_cell(holes, good).select(F.count("*")).first()[0] == 4
+
+
+@pytest.mark.parametrize("few, axes", [(4096, 2), (8, 2), (8, 3)])
+def test_radius_counts(spark, monkeypatch, few, axes):
+    """A crowd, copies, a lattice at the very radius, strangers and odd places: the counts of all pairs."""
+    monkeypatch.setattr(neighbours, "FEW", few)
+    rng = np.random.default_rng(9)
+    xyz = np.vstack([rng.normal(0, 0.2, (200, 3)), np.repeat([[3.0, 3.0, 0.0]], 60, 0), [[i, j, 0] for i in range(5) for j in range(5)], rng.uniform(-20, 20, (60, 3))])
+    near = (((xyz[:, None, :axes] - xyz[None, :, :axes]) ** 2).sum(-1) <= 1.0).sum(1)
+    odd = [(None, 0.0, 0.0), (float("nan"), 0.0, 0.0)]
+    got = {r["idx"]: r["degree"] for r in neighbours.radius_counts(frame(spark, [tuple(r) for r in xyz] + odd), 1.0, ("x", "y", "z")[:axes]).collect()}
+    assert got == dict(enumerate(near.tolist()))
