@@ -13,7 +13,7 @@ from skyquilt.llm.shingles import Shingler, mixed
 from skyquilt.operators.graph import components
 from skyquilt.storage import Scratch
 
-SLOTS = 1 << 23  # of the filter that keeps unneeded texts from being shuffled: 1 MB, whatever the input
+SLOT_BITS = (20, 28)  # slots of a filter that keeps unneeded texts from being shuffled, as a power of two: about 16 for each id, 32 MB at most
 BUCKETS, PARTS = 1 << 22, 64  # counters of shingles by hash, in parts that are summed apart: 16 MB, whatever the input
 BLOCK_SETS, BLOCK_TOKENS = 256, 1_000_000  # of a group that one task clusters
 SIMILAR, FEW = 50, 16  # sets this similar (in percent) stand together in a group, if their own clusters are smaller than FEW
@@ -33,20 +33,23 @@ def linked(inter, a, b, percent: int):
 
 
 def slot_of(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    return F.pmod(F.xxhash64(key), F.lit(1 << SLOT_BITS[1]))
 
 
 class Filter:
-    """Which ids a table may have: a bitmap of fixed size, so it can be sent to all tasks; false positives only."""
+    """Which ids a table may have: a bitmap that grows with their number, within ``SLOT_BITS``, so it can be sent to all tasks; false positives only."""
 
     def __init__(self, ids: DataFrame, id_col: str):
-        words = ids.select(slot_of(F.col(id_col)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
-        bitmap = np.zeros(SLOTS // 64, dtype=np.int64)
+        self.size = 1 << min(max((16 * ids.count()).bit_length(), SLOT_BITS[0]), SLOT_BITS[1])
+        slot = slot_of(F.col(id_col)).bitwiseAND(self.size - 1).alias("s")
+        words = ids.select(slot).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
+        bitmap = np.zeros(self.size // 64, dtype=np.int64)
         got = words.toPandas()
         bitmap[got["w"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
         self.shared = ids.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
 
     def keeps(self, slots: np.ndarray) -> np.ndarray:
+        slots = slots & (self.size - 1)
         return (self.shared.value[slots >> 3] >> (slots & 7)) & 1 == 1
 
 
