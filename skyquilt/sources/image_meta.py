@@ -128,7 +128,7 @@ def named_values(text: Column, pattern: str, values: int) -> Column:
     """Array of ``tag`` (group 1) and ``value`` (whichever of the next ``values`` groups matched)."""
     tags, *found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in range(1, values + 2)]
     joined = reduce(lambda a, b: F.zip_with(a, b, lambda p, q: F.concat(p, q)), found)
-    return F.zip_with(tags, joined, lambda t, v: F.struct(t.alias("tag"), v.alias("value")))
+    return F.arrays_zip(tags, joined).cast("array<struct<tag: string, value: string>>")
 
 
 def all_tags(rows: DataFrame, key: str, text: str, element: str = _ELEMENT, attribute: tuple[str, int] = (_ATTRIBUTE, 2)) -> DataFrame:
