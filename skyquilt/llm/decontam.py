@@ -69,7 +69,7 @@ def best_match(masks: dict[int, int], length: int, text: np.ndarray) -> tuple[in
 class Matcher:
     """A block of benchmark items: their pieces, hashed, and their patterns."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_words: int, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_words: int, min_chars: int, chance: bool = False):
         self.vocabulary: dict[str, int] = {}
         self.items = []
         pieces: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
@@ -77,7 +77,8 @@ class Matcher:
             words = words_of(text)
             number, characters = volume_of(words)
             short = number < min_words
-            if not words or short and characters < min_chars:
+            by_chance = short and characters < min_chars
+            if not words or by_chance and not chance:
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint64)
             budget = 0 if short else int(error_rate * len(ids))
@@ -87,7 +88,7 @@ class Matcher:
                 masks[w] |= 1 << i
                 back[w] |= 1 << (len(ids) - 1 - i)
             number = len(self.items)
-            self.items.append((item_id, len(ids), budget, dict(masks), dict(back)))
+            self.items.append((item_id, len(ids), budget, dict(masks), dict(back), by_chance))
             cuts = np.linspace(0, len(ids), budget + 2).astype(int)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 width = min(ANCHOR, int(b - a))
@@ -108,8 +109,8 @@ class Matcher:
             h ^= h >> np.uint64(29)
         return h * MULTIPLIER
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item, its words, distance, first word, end) of the best stretch of each item within its error budget."""
+    def matches(self, text: str | None) -> list[tuple[int, int, int, int, int, bool]]:
+        """(item, its words, distance, first word, end, whether it may be chance) of the best stretch of each item within its error budget."""
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in words_of(text)], dtype=np.uint64)
         starts: dict[int, set[int]] = defaultdict(set)
@@ -121,7 +122,7 @@ class Matcher:
                         starts[number].add(p - offset)
         found = []
         for number, begins in starts.items():
-            item_id, length, budget, masks, back = self.items[number]
+            item_id, length, budget, masks, back, by_chance = self.items[number]
             best = (budget + 1, 0, 0)
             low = high = None
             for s in [*sorted(begins), None]:
@@ -135,8 +136,8 @@ class Matcher:
                 if a is not None:
                     low, high = (a, b) if low is None else (low, max(high, b))
             if best[0] <= budget:
-                found.append((item_id, length, *best))
-        return sorted(found)
+                found.append((item_id, length, *best, by_chance))
+        return sorted(found, key=lambda m: (m[0] is None, m))
 
     @staticmethod
     def _width(back: dict[int, int], length: int, text: np.ndarray, distance: int) -> int:
@@ -153,7 +154,7 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, max_block_mb:
         yield [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.2, min_words: int = 5, min_chars: int = 16, max_block_mb: float = 8.0) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.2, min_words: int = 5, min_chars: int = 16, chance: bool = False, max_block_mb: float = 8.0) -> DataFrame:
     """Passages of every whole text that match a benchmark item with few edits.
 
     Words are compared without case and punctuation; in scripts without spaces
@@ -166,12 +167,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     Returns a row for each document and item that match: the id, ``item_id``,
     ``item_words``, ``distance``, ``first_word`` and ``end_word`` of the item's
     best stretch (the first, if several are as near; words from 0, end
-    exclusive).  Documents without a match have no row.
+    exclusive) and ``by_chance``.  Documents without a match have no row.
 
     An item of under ``min_words`` words (two Chinese or Japanese characters, or
     four of Thai and its neighbours, count as one) must match exactly; if it also
     has under ``min_chars`` letters and digits (a Chinese or Japanese one counts
-    twice), any text may have it by chance, and it matches nothing.
+    twice), any text may have it by chance: its exact matches are reported as
+    ``by_chance`` if ``chance`` is set, and left to the caller; else it matches
+    nothing.
 
     Null or empty texts and items match nothing.  Null ids and
     repeated rows: rows of their own.  Repeated items match each.  Other columns
@@ -179,19 +182,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     ``max_block_mb``, each sent to all tasks; nothing else moves.
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"id {id_type}, item_id {item_type}, item_words int, distance int, first_word int, end_word int"
+    schema = f"id string, item_id {item_type}, item_words int, distance int, first_word int, end_word int, by_chance boolean"
     out = None
     for items in blocks_of(benchmark, item_col, item_text_col, max_block_mb):
-        matcher = Matcher(items, error_rate, min_words, min_chars)
+        matcher = Matcher(items, error_rate, min_words, min_chars, chance)
 
         def scan(frames: Iterator[pd.DataFrame], matcher: Matcher = matcher) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 rows = [(i, *m) for i, t in zip(frame["id"], frame["text"], strict=True) for m in matcher.matches(t)]
-                yield pd.DataFrame(rows, columns=["id", "item_id", "item_words", "distance", "first_word", "end_word"])
+                yield pd.DataFrame(rows, columns=["id", "item_id", "item_words", "distance", "first_word", "end_word", "by_chance"], dtype=object)
 
-        found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(scan, schema)
+        found = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(scan, schema)
         out = found if out is None else out.unionAll(found)
-    return out.withColumnRenamed("id", id_col)
+    return out.select(F.col("id").cast(id_type).alias(id_col), "item_id", "item_words", "distance", "first_word", "end_word", "by_chance")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.2, min_words: int = 5, min_chars: int = 16, max_block_mb: float = 8.0) -> DataFrame:
