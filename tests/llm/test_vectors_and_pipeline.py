@@ -163,3 +163,27 @@ def test_pipeline_stages_equal_brute_force(spark):
     rows = [(i, " ".join(["before"] * 5 + [changed(w, int(0.2 * len(w)) + i % 2)] + ["after"] * 5)) for i, w in enumerate(items)] + [(50, "nothing of it " * 20)]
     want = {i for i, t in rows if all(plain_distance(w, decontam.words_of(t)) > int(0.2 * len(w)) for w in every)}
     assert {r["doc_id"] for r in corpus_pipeline.drop_benchmark_leaks(spark, documents(spark, rows), SF).collect()} == want and 1 < len(want) < len(rows)
+
+
+def test_regions_in_blocks(spark, monkeypatch):
+    """Many regions and blocks, a third of all vectors about one spot, and chains: the same links as all pairs."""
+    monkeypatch.setattr(multi_index, "REGION_ROWS", 40)
+    monkeypatch.setattr(multi_index, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(multi_index, "INDEX_BLOCK", 8)
+    rng = np.random.default_rng(5)
+    turn = np.linspace(0, 2, 60)
+    chain = np.stack([np.cos(turn), np.sin(turn), *np.zeros((6, 60))], axis=1)
+    x = np.vstack([rng.normal(size=(240, 8)), rng.normal(size=8) + 0.25 * rng.normal(size=(150, 8)), chain]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in multi_index.near_vectors(df, recall=1.0).collect()}
+    u = multi_index.unit(x)
+    hit = u @ u.T >= 0.95
+    part = np.arange(len(x))
+    for _ in x:
+        part = np.where(hit, part[None, :], 10**6).min(axis=1)
+    assert got == {i: (hit[i].sum() - 1, part[i]) for i in range(len(x))}
+    index = multi_index.MultiIndex(u.astype(float), len(x), cosine=0.95, recall=1.0)
+    visited = multi_index.stops(index, u).to_pylist()
+    assert len(set(index.regions(index.own(u)))) > 4
+    for stops, cells in zip(visited, index.nearest_cells(u), strict=True):
+        assert sorted(c for s in stops for c in s["cells"]) == sorted(cells) and len({s["region"] for s in stops}) == len(stops)
