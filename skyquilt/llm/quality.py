@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,14 +155,24 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 4000) -> LineField:
-    """Learn from at most ``max_train`` labelled documents that are not held out, chosen by a hash of their id."""
+def stretch(doc_id: int, f: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` lines in a row."""
+    at = zlib.crc32(str(doc_id).encode()) % (max(0, len(f) - most) + 1)
+    return f[at : at + most], sizes[at : at + most]
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 4000, max_lines: int = 200) -> LineField:
+    """Learn from at most ``max_train`` labelled documents that are not held out, chosen by a hash of their id.
+
+    Of a document with more than ``max_lines`` lines, that many lines in a row are
+    learnt from, at a place that follows its id; so what the driver gets is bounded.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_train)
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [line_features(t) for t in frame["text"]]
+            got = [stretch(i, *line_features(t), max_lines) for i, t in zip(frame["id"], frame["text"], strict=True)]
             yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "f": [f.reshape(-1) for f, _ in got], "size": [s for _, s in got]})
 
     # one row an id: copies of a row would count twice
@@ -171,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train(chains, [np.asarray(s) for s in rows["size"]], rows["label"].to_numpy(dtype=int))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, max_train: int = 4000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, max_train: int = 4000, max_lines: int = 200) -> DataFrame:
     """Quality of every whole text as ``labels.quality`` marks it.
 
     A conditional random field labels each line good or bad from the features of
@@ -179,7 +190,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     document's score is the mean of its lines' forward-backward marginals,
     weighted by length, put through a fitted logistic curve.  Ids, languages and
     sources are no inputs; labels of rows whose crc32(id) mod 5 is 0 are never
-    read.  The fit uses ``max_train`` documents at most; all are scored.
+    read.  The fit uses ``max_train`` documents and ``max_lines`` lines of each at
+    most; all documents are scored, and whole.
 
     Returns the columns of ``docs`` and ``held_out``, ``score`` (0 to 1) and
     ``predicted`` (1 from ``threshold`` on).  Null or empty text: scored as one
@@ -187,7 +199,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     rows.  Labels of no documents, or of one class: every score is 0.5.  Columns
     with the three names are replaced.  Scoring shuffles nothing.
     """
-    field = fit(docs, labels, id_col=id_col, text_col=text_col, max_train=max_train)
+    field = fit(docs, labels, id_col=id_col, text_col=text_col, max_train=max_train, max_lines=max_lines)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -185,6 +185,20 @@ def test_quality_odd(spark):
     assert quality.score_quality(table(spark, []), none).count() == 0
 
 
+def test_quality_long_texts_and_clashing_columns(spark):
+    """Texts of many lines bound the fit and are scored whole; columns of the result's names are replaced."""
+    good, bad = "The committee met and agreed on the plan for next year.", "$$$ BUY!!! NOW | 99 | $$$"
+    rows = [(i, "\n".join([good if i % 2 else bad] * (3000 if i < 4 else 2)), "x", -5.0, "y") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out string, score double, predicted string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.score_quality(docs, labels, max_lines=20).collect()}
+    assert len(got) == 40 and all(r["predicted"] == i % 2 and 0 <= r["score"] <= 1 and isinstance(r["held_out"], bool) for i, r in got.items())
+    f, sizes = quality.line_features(rows[0][1])
+    some, some_sizes = quality.stretch(7, f, sizes, 20)
+    assert len(f) == 3000 and len(some) == len(some_sizes) == 20
+    assert len(quality.stretch(7, f[:5], sizes[:5], 20)[0]) == 5 and len(quality.stretch(7, f[:20], sizes[:20], 20)[0]) == 20
+
+
 def test_forward_backward():
     import itertools
 
