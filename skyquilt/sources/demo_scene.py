@@ -28,7 +28,7 @@ def demo_scene(spark: SparkSession, points: int = 6000, seed: int = 2026) -> Dat
     def unit(*what: Column) -> Column:
         return F.xxhash64(F.lit(seed), F.lit(next(salt)), *what) / F.lit(2.0**64) + 0.5
 
-    def between(low: float, high: float, *what: Column) -> Column:
+    def between(low: Column | float, high: float, *what: Column) -> Column:
         return low + (high - low) * unit(*what)
 
     def normal(mean: Column | float, deviation: Column | float, *what: Column) -> Column:
@@ -56,7 +56,7 @@ def demo_scene(spark: SparkSession, points: int = 6000, seed: int = 2026) -> Dat
     wall, ends = side < 4, side >= 2
     sign = F.when(side % 2 == 0, -0.5).otherwise(0.5)
     jitter = normal(0.0, 0.02, o, i)
-    base = between(160, 220, o, i) * F.when(side == 0, 1.0).when(side == 1, 0.85).when(side == 2, 0.8).otherwise(0.95)
+    base = between(F.when(ends, 170.0).otherwise(160.0), 220, o, i) * F.when(side == 0, 1.0).when(side == 1, 0.85).when(side == 2, 0.8).otherwise(0.95)
     roof = shade("roof")
     house = house.withColumns({
         "x": F.col("cx") + F.col("sx") * F.when(wall & ends, sign).otherwise(across) + F.when(wall & ends, jitter).otherwise(0.0),

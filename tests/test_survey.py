@@ -126,6 +126,8 @@ def test_demo_scene(spark):
     box = scene.agg(F.avg("x"), F.max("x") - F.min("x"), F.min("r"), F.max("r")).first()
     assert abs(box[0]) < 1e-6 and 118 < box[1] < 125 and box[2] >= 30 and box[3] <= 240
     assert scene.select("idx").distinct().count() == scene.count()
+    walls = scene.where("label = 1 and abs(g / r - 0.92) < 1e-9").agg(F.min("r"), F.max("r")).first()  # darkest: a wall at the ends, 0.8 of 170 or more
+    assert 0.8 * 170 <= walls[0] < 0.8 * 180 and walls[1] <= 220
     built = classify_and_extract(scene.withColumns({c: F.col(c) / 255 for c in "rgb"}), eps=2.0, min_samples=10)
     assert built.count() >= 1
 
