@@ -268,8 +268,9 @@ def blocks(points: DataFrame, size: float, overlap: float = 0.0, min_points: int
     def indexes(a: str) -> Column:
         low, high = F.col(f"_{a}0"), F.col(f"_{a}1")
         count = F.ceil((high - low) / stride)
-        last = F.least(F.floor((F.col(a) - low) / stride), count - 1)
-        first = F.greatest(F.floor((F.col(a) - low - size) / stride) + 1, F.lit(0))
+        # a quotient may round to the other side of a whole number, so one more on either side is tried against the edges
+        last = F.least(F.floor((F.col(a) - low) / stride) + 1, count - 1)
+        first = F.greatest(F.floor((F.col(a) - low - size) / stride), F.lit(0))
         some = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))
         return F.filter(some, lambda i: (F.col(a) >= low + i * stride) & (F.col(a) < low + i * stride + size))
 

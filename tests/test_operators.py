@@ -210,3 +210,14 @@ def test_iou(spark):
     got = {x["id"]: (x["ref_id"], x["iou"]) for x in compare.best_boxes(m, r, 10.0).collect()}
     assert got[1] == (8, pytest.approx(0.95)) and got[2] == (None, None)
     assert math.isclose(518.362 / 561.387 * 100 - 100, -7.664063, abs_tol=1e-5)
+
+
+def test_blocks_at_rounded_edges(spark):
+    """Prices whose quotients round below the whole number: the edges alone decide."""
+    ys = [c / 100 / 2000 for c in (90001, 4090001, 8090001, 10090001, 15000000)]
+    low, high = min(ys), max(ys)
+    want = sorted((i, y) for y in ys for i in range(math.ceil((high - low) / 10)) if low + i * 10 <= y < low + i * 10 + 20)
+    assert (2, ys[2]) in want and math.floor((ys[2] - low - 20) / 10) == 2
+    cloud = spark.createDataFrame([(i, float(x), y) for i, (x, y) in enumerate((x, y) for x in (0, 1) for y in ys)], "idx long, x double, y double")
+    got = sorted((r["by"], r["y"]) for r in points.blocks(cloud, 20.0, 0.5, 1).where("x = 0").collect())
+    assert got == want
