@@ -36,8 +36,13 @@ def overall(counts: DataFrame, classes: int) -> DataFrame:
 
 
 def cross_entropy(rows: DataFrame, probabilities: str = "probs") -> DataFrame:
-    """Mean of -ln of the probability given to each row's label."""
-    return rows.agg(F.avg(-F.log(F.element_at(probabilities, F.col("label").cast("int") + 1))).alias("loss"))
+    """Mean of -ln of the probability given to each row's label: infinite if one is 0, NaN if one is negative or NaN; nulls do not count.
+
+    Spark's logarithm is null for what is not positive, which would leave such rows out of the mean.
+    """
+    p = F.element_at(probabilities, F.col("label").cast("int") + 1)
+    loss = F.when(p < 0, float("nan")).when(p == 0, float("inf")).otherwise(-F.log(p))
+    return rows.agg(F.avg(loss).alias("loss"))
 
 
 def run_statistics(runs: DataFrame, by: str, values: list[str]) -> DataFrame:

@@ -604,7 +604,8 @@ def normalize_scene(spark, sf):
 def cross_entropy(spark, sf):
     p = A.embedded_cloud(spark, sf).where("label < 3")
     whole = F.col("r") + F.col("g") + F.col("b")
-    return rounded(metrics.cross_entropy(p.select("label", F.array(*[F.col(c) / whole for c in "rgb"]).alias("probs"))))
+    share = lambda c: F.when(whole == 0, F.col(c) * float("inf")).otherwise(F.col(c) / whole)
+    return rounded(metrics.cross_entropy(p.select("label", F.array(*[share(c) for c in "rgb"]).alias("probs"))))
 
 
 @query("SELECT idx, CASE WHEN r >= g AND r >= b THEN 0 WHEN g >= b THEN 1 ELSE 2 END AS pred FROM cloud")

@@ -221,3 +221,9 @@ def test_blocks_at_rounded_edges(spark):
     cloud = spark.createDataFrame([(i, float(x), y) for i, (x, y) in enumerate((x, y) for x in (0, 1) for y in ys)], "idx long, x double, y double")
     got = sorted((r["by"], r["y"]) for r in points.blocks(cloud, 20.0, 0.5, 1).where("x = 0").collect())
     assert got == want
+
+
+@pytest.mark.parametrize("shares, want", [([0.5, 0.25], math.log(8) / 2), ([0.5, 0.0], math.inf), ([0.5, -0.1], math.nan), ([0.0, math.nan], math.nan), ([0.5, None], math.log(2))])
+def test_cross_entropy_of_shares_that_are_not_positive(spark, shares, want):
+    rows = spark.createDataFrame([(0, [p, 1.0]) for p in shares], "label int, probs array<double>")
+    assert metrics.cross_entropy(rows).first()["loss"] == pytest.approx(want, nan_ok=True)
