@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyquilt.functions.geometry import box_iou
 from skyquilt.operators.points import KEY, with_voxel
+from skyquilt.storage import Scratch
 
 
 def common_voxels(before: DataFrame, after: DataFrame, size: float) -> DataFrame:
@@ -28,20 +29,29 @@ def matched_ratio(predicted: DataFrame, reference: DataFrame) -> DataFrame:
 def best_boxes(model: DataFrame, reference: DataFrame, cell: float) -> DataFrame:
     """For every model box the reference box of largest overlap ratio, and how far their areas differ.
 
-    Boxes have ``id, xmin, ymin, xmax, ymax``.  Both sides are listed in the grid
-    cells they touch and meet there, so only boxes that are close are compared; a
-    model box that meets none has null partners.  Ties: the smallest id.
+    Boxes have ``id, xmin, ymin, xmax, ymax``.  Equal boxes meet as one, of the
+    reference the smallest id of them, so copies cost a row and not their square.
+    Both sides are listed in the grid cells they touch and meet there, so only
+    boxes that are close are compared; a model box that meets none has null
+    partners.  Ties: the smallest id.
     """
+    scratch, places = Scratch(model.sparkSession), ["xmin", "ymin", "xmax", "ymax"]
+    # a row without a place has no box to share; + 0.0 makes one zero of two
+    placed = lambda boxes: boxes.select("id", *[(F.col(c) + 0.0).alias(c) for c in places])
+    models = scratch.save(placed(model).select(*places).distinct().withColumn("id", F.monotonically_increasing_id()))
+    references = scratch.save(placed(reference).groupBy(*places).agg(F.min("id").alias("id")))
+
     def listed(boxes: DataFrame, p: str) -> DataFrame:
         spans = [F.sequence(F.floor(F.col(f"{a}min") / cell), F.floor(F.col(f"{a}max") / cell)) for a in "xy"]
-        named = boxes.select(*[F.col(c).alias(f"{p}{c}") for c in ("id", "xmin", "ymin", "xmax", "ymax")], F.explode(spans[0]).alias("gx"), spans[1].alias("ys"))
+        named = boxes.select(*[F.col(c).alias(f"{p}{c}") for c in ("id", *places)], F.explode(spans[0]).alias("gx"), spans[1].alias("ys"))
         return named.withColumn("gy", F.explode("ys")).drop("ys")
 
-    met = listed(model, "m_").join(listed(reference, "r_"), ["gx", "gy"]).withColumn("iou", box_iou("m_", "r_"))
+    met = listed(models, "m_").join(listed(references, "r_"), ["gx", "gy"]).withColumn("iou", box_iou("m_", "r_"))
     area = lambda p: (F.col(f"{p}xmax") - F.col(f"{p}xmin")) * (F.col(f"{p}ymax") - F.col(f"{p}ymin"))
     best = met.where("iou > 0").groupBy(F.col("m_id").alias("id")).agg(F.max_by(F.struct(F.col("r_id"), area("r_").alias("area")), F.struct("iou", (-F.col("r_id")).alias("n"))).alias("r"), F.max("iou").alias("iou"))
-    sized = model.select("id", ((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("model_area"))
-    joined = sized.join(best, "id", "left")
+    best = scratch.save(models.join(best, "id").select(*places, "r", "iou"))
+    sized = placed(model).withColumn("model_area", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
+    joined = sized.join(best, places, "left")
     return joined.select("id", "model_area", F.col("r.r_id").alias("ref_id"), F.col("r.area").alias("ref_area"), "iou", F.when(F.col("r.area") > 0, (F.col("model_area") - F.col("r.area")) / F.col("r.area") * 100).alias("deviation_pct"))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyquilt.operators import cluster, screening
+from skyquilt.operators import cluster, compare, screening
 from skyquilt.storage import Scratch
 
 
@@ -91,3 +91,11 @@ def test_two_crowded_cells(spark):
     began = time.time()
     rows = cluster.dbscan(Scratch(spark).save(p), 1.0, 20).groupBy("cluster").count().collect()
     assert [(r["cluster"], r["count"]) for r in rows] == [(0, 300_000)] and time.time() - began < 120
+
+
+def test_boxes_of_many_copies(spark):
+    """30,000 copies on either side are one pair of boxes, not 900 million; all get their row and the smallest id."""
+    boxes = lambda first, side: spark.range(first, first + 30_000).select("id", *[F.lit(v).alias(c) for c, v in (("xmin", 0.0), ("ymin", 0.0), ("xmax", side), ("ymax", side))])
+    began = time.time()
+    got = compare.best_boxes(boxes(0, 2.0), boxes(100, 4.0), 10.0).groupBy("ref_id", "iou").agg(F.count("*"), F.count_distinct("id")).collect()
+    assert [tuple(r) for r in got] == [(100, 0.25, 30_000, 30_000)] and time.time() - began < 30
