@@ -88,6 +88,7 @@ def radius_counts(points: DataFrame, eps: float, axes: Sequence[str] = ("x", "y"
 
 PER_LEAF, PER_BLOCK, FAN = 16, 32, 16  # points of a leaf at least, queries of a block, children of a node
 SLACK = 1 + 1e-9  # bounds and distances are rounded differently
+PER_TASK = 1_000_000  # rows that a task makes of those it reads, by estimate
 
 
 class Curve:
@@ -105,6 +106,11 @@ class Curve:
         return df.select("*", *cells).select(*df.columns, F.expr(bits).alias("_z"))
 
 
+def _tasks(rows: int) -> int:
+    """Into how many parts rows are dealt before a join makes ``rows`` of them; Spark itself deals by the few bytes that it reads."""
+    return max(1, -(-rows // PER_TASK))
+
+
 def finite(axes: Sequence[str]) -> Column:
     """Whether a place has a number on each axis."""
     return reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False)) for c in axes])
@@ -176,7 +182,8 @@ def knn(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[str] = ("x
     coarse = len(axes) * max(0, curve.bits - int(log2(max(1.0, n / (8 * PER_BLOCK))) / len(axes)))
     asked = of_queries.select(F.col("_at").alias("_q"), F.col("idx").alias("src"), *axes, *within, F.floor(F.col("_at") / PER_BLOCK).alias("_b"), F.shiftright("_z", coarse).alias("_c"))
     block = ["_b", "_c", *within]
-    front = asked.groupBy(*block).agg(*_box(axes, "q")).select("*", F.lit(0).cast("long").alias("id"), F.lit(float("inf")).alias("bound"))
+    asking = n if queries is points else of_queries.count()
+    front = asked.repartition(_tasks(asking * FAN), *block).groupBy(*block).agg(*_box(axes, "q")).select("*", F.lit(0).cast("long").alias("id"), F.lit(float("inf")).alias("bound"))
     kept_front = [*block, *[f"q{s}{c}" for c in axes for s in "lh"]]
     for level in reversed(levels[:-1] if len(levels) > 1 else levels):
         below = level.select(*within, F.floor(F.col("id") / FAN).alias("id"), F.col("id").alias("child"), "n", *[f"n{s}{c}" for c in axes for s in "lh"])
@@ -192,15 +199,18 @@ def knn(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[str] = ("x
     best = front.where(F.col("n") >= k).groupBy(*block).agg(F.min_by("id", "most").alias("id"))
     listed = placed.select(F.col("idx").alias("dst"), *axes, *keep, *within, "id")
 
-    def meet(q: DataFrame) -> DataFrame:
-        on = reduce(lambda a, b: a & b, [F.col(f"q.{c}") == F.col(f"p.{c}") for c in [*within, "id"]])
-        return q.alias("q").join(listed.alias("p"), on).withColumn("d2", _squared("q", "p", axes))
+    def meet(q: DataFrame, rows: int) -> DataFrame:
+        by, tasks = [*within, "id"], _tasks(rows * per_leaf)
+        on = reduce(lambda a, b: a & b, [F.col(f"q.{c}") == F.col(f"p.{c}") for c in by])
+        return q.repartition(tasks, *by).alias("q").join(listed.repartition(tasks, *by).alias("p"), on).withColumn("d2", _squared("q", "p", axes))
 
     # a leaf's points, so a short list
-    bounds = meet(asked.join(best, block)).groupBy("_q").agg(F.get(F.array_sort(F.collect_list("d2")), F.lit(k - 1)).alias("reach"))
+    bounds = meet(asked.join(best, block), asking).groupBy("_q").agg(F.get(F.array_sort(F.collect_list("d2")), F.lit(k - 1)).alias("reach"))
     bounded = asked.join(bounds, "_q", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))) * SLACK)
     opened = bounded.join(front, block).where(_least(axes, "", "") <= F.col("reach"))
-    near = meet(opened.select("_q", "src", "reach", *axes, *within, "id")).where(F.col("d2") <= F.col("reach"))
+    opened, seen = scratch.save_counted(opened.select("_q", "src", "reach", *axes, *within, "id"), n=F.count("*"))
+    scratch.drop(front)
+    near = meet(opened, seen["n"]).where(F.col("d2") <= F.col("reach"))
     rank = F.row_number().over(Window.partitionBy("_q").orderBy("d2", "dst"))
     return near.select("_q", "src", "dst", "d2", *[F.col(f"p.{c}").alias(c) for c in keep]).withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "d2", "rank", *keep)
 

@@ -101,3 +101,18 @@ def test_radius_counts(spark, monkeypatch, few, axes):
     odd = [(None, 0.0, 0.0), (float("nan"), 0.0, 0.0)]
     got = {r["idx"]: r["degree"] for r in neighbours.radius_counts(frame(spark, [tuple(r) for r in xyz] + odd), 1.0, ("x", "y", "z")[:axes]).collect()}
     assert got == dict(enumerate(near.tolist()))
+
+
+def test_tasks_grow_in_number_with_the_pairs(spark, monkeypatch):
+    """A join of few bytes that makes many pairs is dealt over as many tasks as the pairs need, however few partitions a shuffle has."""
+    monkeypatch.setattr(neighbours, "PER_TASK", 2000, raising=False)
+    cloud = spark.range(3000).select(F.col("id").alias("idx"), *[F.rand(i).alias(c) for i, c in enumerate("xyz")]).cache()
+    sc = spark.sparkContext
+    sc.setJobGroup("pairs", "")
+    try:
+        assert neighbours.knn(cloud, cloud, 4).collect()[0]["rank"] >= 1
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    status = sc.statusTracker()
+    infos = [status.getStageInfo(s) for j in status.getJobIdsForGroup("pairs") for s in status.getJobInfo(j).stageIds]
+    assert max(i.numTasks for i in infos if i) >= 3000 * 16 // 2000
