@@ -362,54 +362,71 @@ def train(scenes: DataFrame, checked: DataFrame, shape: Shape, *, epochs: int =
     """The weights of the best mean IoU over ``checked``, and for each epoch its losses and scores.
 
     ``scenes`` and ``checked`` are tables of ``packed``.  In each step tasks walk
-    back over the scenes of one batch and sum their gradients, the sums are added
-    in a tree, and one step of Adam is made of the whole; the rate falls by
-    ``gamma`` every ``step`` epochs.  Only sums, as long as the weights, move.
-    Scenes go to batches by a seeded hash, anew in each epoch.
+    back over the scenes of one batch and sum their gradients, one task adds the
+    sums and makes one step of Adam of the whole; the rate falls by ``gamma``
+    every ``step`` epochs.  Weights pass from step to step in the shared folder;
+    the driver gets them once an epoch, for the scores.  Scenes go to batches by a
+    seeded hash, anew in each epoch; they are written by batch, so a step reads
+    its own and no others.
     """
-    sc, levels, names = scenes.sparkSession.sparkContext, len(shape.widths), sorted(new_weights(shape))
-    w, turns = new_weights(shape, seed), max(1, round(scenes.count() / batch))
+    spark = scenes.sparkSession
+    sc, levels, names, scratch = spark.sparkContext, len(shape.widths), sorted(new_weights(shape)), Scratch(spark)
+    turns = max(1, round(scenes.count() / batch))
     learnt = [n for n in names if not n.endswith((".mean", ".var"))]
-    first, second, steps, best, log = {n: 0.0 for n in learnt}, {n: 0.0 for n in learnt}, 0, None, []
-    rows = scenes.rdd
-
-    def gradients(turn: int, epoch: int, sent) -> Callable:
-        def run(some: Iterator) -> Iterator:
-            total: dict = {}
-            for row in some:
-                if np.random.default_rng([seed, epoch, zlib.crc32(str(row["scene"]).encode())]).integers(turns) == turn:
-                    scene, tape = _scene(row, levels), _Tape(sent.value)
-                    out = _scene_pass(tape, scene, shape)
-                    loss, n = _loss(tape, out, scene.label)
-                    for back in reversed(tape.steps):
-                        back()
-                    moments = {f"{k}.{part}": v for k, pair in tape.moments.items() for part, v in zip(("mean", "var"), pair, strict=True)}
-                    total = _added(total, {**tape.grads, **moments, "loss": loss, "n": n, "scenes": 1})
-            yield total
-
-        return run
-
-    for epoch in range(epochs):
-        lost = seen = 0
-        for turn in range(turns):
-            sent = sc.broadcast(w)
-            got = rows.mapPartitions(gradients(turn, epoch, sent)).treeReduce(_added)
-            sent.unpersist()
+    w, best, log = new_weights(shape, seed), None, []
+
+    def gradients(some: Iterator) -> Iterator:
+        total: dict = {}
+        for state, row in some:
+            scene, tape = _scene(row, levels), _Tape(state["w"])
+            out = _scene_pass(tape, scene, shape)
+            loss, n = _loss(tape, out, scene.label)
+            for back in reversed(tape.steps):
+                back()
+            moments = {f"{k}.{part}": v for k, pair in tape.moments.items() for part, v in zip(("mean", "var"), pair, strict=True)}
+            total = _added(total, {**tape.grads, **moments, "loss": loss, "n": n, "scenes": 1})
+        yield 0, total
+
+    def stepped(epoch: int) -> Callable[[tuple[dict, dict]], dict]:
+        def run(pair: tuple[dict, dict]) -> dict:
+            got, old = pair
             if not got or not got["n"]:
-                continue
-            lost, seen, steps, now = lost + got["loss"], seen + got["n"], steps + 1, dict(w)
+                return old
+            lost, seen = (old["lost"], old["seen"]) if old["epoch"] == epoch else (0.0, 0)
+            w, steps, first, second = dict(old["w"]), old["steps"] + 1, dict(old["first"]), dict(old["second"])
             for n in learnt:
                 g = got[n] / got["n"] + decay * w[n]
                 first[n], second[n] = 0.9 * first[n] + 0.1 * g, 0.999 * second[n] + 0.001 * g * g
-                now[n] = w[n] - rate * gamma ** (epoch // step) * (first[n] / (1 - 0.9**steps)) / (np.sqrt(second[n] / (1 - 0.999**steps)) + 1e-8)
+                w[n] = w[n] - rate * gamma ** (epoch // step) * (first[n] / (1 - 0.9**steps)) / (np.sqrt(second[n] / (1 - 0.999**steps)) + 1e-8)
             for n in names:
                 if n not in learnt:
-                    now[n] = (1 - MOMENTUM) * w[n] + MOMENTUM * got[n] / got["scenes"]
-            w = now
+                    w[n] = (1 - MOMENTUM) * w[n] + MOMENTUM * got[n] / got["scenes"]
+            return {"w": w, "steps": steps, "first": first, "second": second, "epoch": epoch, "lost": lost + got["loss"], "seen": seen + got["n"]}
+
+        return run
+
+    at = scratch.place()
+    sc.parallelize([{"w": w, "steps": 0, "first": dict.fromkeys(learnt, 0.0), "second": dict.fromkeys(learnt, 0.0), "epoch": -1, "lost": 0.0, "seen": 0}], 1).saveAsPickleFile(at)
+    for epoch in range(epochs):
+        turn = F.udf(lambda scene, epoch=epoch: int(np.random.default_rng([seed, epoch, zlib.crc32(str(scene).encode())]).integers(turns)), "int")
+        dealt = scenes.withColumn("_turn", turn("scene")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_turn", F.pmod(F.hash("scene"), F.lit(batch)))
+        folder = scratch.place()
+        dealt.write.partitionBy("_turn").parquet(folder)
+        batches = spark.read.schema(dealt.schema).parquet(folder)
+        for t in sorted(r["_turn"] for r in batches.select("_turn").distinct().collect()):
+            state, old = sc.pickleFile(at, 1), at
+            summed = state.cartesian(batches.where(F.col("_turn") == t).rdd).mapPartitions(gradients).reduceByKey(_added, 1)
+            at = scratch.place()
+            summed.values().cartesian(state).map(stepped(epoch)).saveAsPickleFile(at)
+            scratch.remove(old)
+        scratch.remove(folder)
+        of_epoch, w, lost, seen = sc.pickleFile(at, 1).map(lambda s: (s["epoch"], s["w"], s["lost"], s["seen"])).first()
+        lost, seen = (lost, seen) if of_epoch == epoch else (0.0, 0)
         scores = metrics.overall(metrics.confusion(predictions(checked, w, shape), shape.classes), shape.classes).first()
         log.append({"epoch": epoch, "loss": lost / max(seen, 1), "oa": scores["oa"], "miou": scores["miou"] or 0.0})
         if best is None or log[-1]["miou"] > best[0]:
             best = (log[-1]["miou"], w)
+    scratch.remove(at)
     return (best[1] if best else w), log
 
 

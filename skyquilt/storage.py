@@ -70,10 +70,18 @@ class Scratch:
         self.paths: list[str] = []
         _roots.append(self.root)
 
+    def place(self) -> str:
+        """A path of its own for something that is not written by ``save``."""
+        self.paths.append(f"{self.root}/{len(self.paths)}")
+        return self.paths[-1]
+
+    def remove(self, *paths: str) -> None:
+        """Remove what lies at paths of ``place``."""
+        _delete(self.spark, list(paths))
+
     def save(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         """Write ``df`` and return it as read back."""
-        path = f"{self.root}/{len(self.paths)}"
-        self.paths.append(path)
+        path = self.place()
         with _cleaning(self.spark):
             df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -112,3 +112,16 @@ def test_training(spark, tmp_path):
     assert back.keys() == w.keys() and all(np.array_equal(back[n], w[n]) for n in w)
     right = N.predictions(held, back, SHAPE).agg(F.avg(F.expr("int(label = pred)"))).first()[0]
     assert right > 0.75
+
+
+def test_gradients_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Steps leave nothing with the driver, which takes the weights once an epoch."""
+    from pyspark import RDD
+
+    df = frame(spark, clouds(160, 8, seed=5))
+    scenes = N.packed(N.pyramid(df, SHAPE), N.inputs(df), df.select("idx", "label"))
+    taken, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: taken.append(1) or collect(self))
+    monkeypatch.setattr(RDD, "reduce", lambda *_: pytest.fail("gradients came to the driver"))
+    _, log = N.train(scenes, scenes, SHAPE, epochs=1, batch=1)
+    assert len(log) == 1 and not taken
