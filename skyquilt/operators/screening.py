@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from math import ceil, cos, radians
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,31 +165,36 @@ def _taken(pairs: pd.DataFrame) -> pd.DataFrame:
     goes back, and what came before it stays before it.
     """
     cells = pairs.groupby(["ix", "iy"], sort=False).ngroup().to_numpy()
-    rival = {}
-    for c, gain, minus in zip(cells, pairs["rival_gain"], pairs["rival_minus"], strict=True):
-        if gain == gain:  # not missing
-            rival[c] = (gain, minus)
-    of_image: dict[int, set[int]] = {}
-    for i, c in zip(pairs["idx"].tolist(), cells.tolist(), strict=True):
-        of_image.setdefault(i, set()).add(c)
-    heap = [(-len(some), i) for i, some in of_image.items()]
+    n = int(cells.max()) + 1
+    rival_gain, rival_minus = np.full(n, -np.inf), np.zeros(n)
+    known = pairs["rival_gain"].notna().to_numpy()
+    rival_gain[cells[known]], rival_minus[cells[known]] = pairs["rival_gain"].to_numpy()[known], pairs["rival_minus"].to_numpy()[known]
+    # an image's cells lie together: arrays, as a set for each image takes several times their memory
+    idx = pairs["idx"].to_numpy()
+    order = np.lexsort((cells, idx))
+    idx, cells = idx[order], cells[order]
+    once = np.append(True, (idx[1:] != idx[:-1]) | (cells[1:] != cells[:-1]))
+    idx, cells = idx[once], cells[once]
+    starts = np.flatnonzero(np.append(True, idx[1:] != idx[:-1]))
+    ends = np.append(starts[1:], len(idx))
+    heap = [(start - end, i, start, end) for i, start, end in zip(idx[starts].tolist(), starts.tolist(), ends.tolist(), strict=True)]
     heapq.heapify(heap)
-    closed: set[int] = set()
-    waits: set[int] = set()
+    closed, waits = np.zeros(n, bool), np.zeros(n, bool)
     taken = []
     while heap:
-        gain, i = heapq.heappop(heap)
-        some = of_image[i]
-        some -= closed
-        if not some:
+        gain, i, start, end = heapq.heappop(heap)
+        some = cells[start:end]
+        some = some[~closed[some]]
+        if not len(some):
             continue
+        theirs = rival_gain[some]
         if len(some) < -gain:
-            heapq.heappush(heap, (-len(some), i))
-        elif any(c in waits or rival.get(c, (0, 0)) > (-gain, -i) for c in some):
-            waits |= some
+            heapq.heappush(heap, (-len(some), i, start, end))
+        elif (waits[some] | (theirs > -gain) | ((theirs == -gain) & (rival_minus[some] > -i))).any():
+            waits[some] = True
         else:
             taken.append(i)
-            closed |= some
+            closed[some] = True
     return pd.DataFrame({"idx": pd.Series(taken, dtype="int64")})
 
 

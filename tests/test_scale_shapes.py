@@ -2,8 +2,10 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,17 @@ def test_boxes_of_many_copies(spark):
     began = time.time()
     got = compare.best_boxes(boxes(0, 2.0), boxes(100, 4.0), 10.0).groupBy("ref_id", "iou").agg(F.count("*"), F.count_distinct("id")).collect()
     assert [tuple(r) for r in got] == [(100, 0.25, 30_000, 30_000)] and time.time() - began < 30
+
+
+def test_a_block_is_chosen_from_in_little_memory():
+    """200,000 pairs with rivals at every cell: arrays and no sets or tuples for each."""
+    n = 200_000
+    at = np.arange(n)
+    pairs = pd.DataFrame({"idx": at // 25, "ix": at // 25 % 90 + at % 5, "iy": at // 2250 + at // 5 % 5, "rival_gain": 1.0, "rival_minus": -1.0})
+    tracemalloc.start()
+    try:
+        assert len(screening._taken(pairs))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80 * n
