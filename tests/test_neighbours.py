@@ -116,3 +116,24 @@ def test_tasks_grow_in_number_with_the_pairs(spark, monkeypatch):
     status = sc.statusTracker()
     infos = [status.getStageInfo(s) for j in status.getJobIdsForGroup("pairs") for s in status.getJobInfo(j).stageIds]
     assert max(i.numTasks for i in infos if i) >= 3000 * 16 // 2000
+
+
+DEALT = {
+    "multi_scale_max": (lambda p: neighbours.multi_scale_max(neighbours.knn(p, p, 16), p, ["r"], (4, 16)), 1),
+}
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_no_task_holds_the_pairs_of_the_whole_table(spark, monkeypatch, name):
+    """What is built on neighbours is dealt by the pairs that it makes, and keeps all of its rows."""
+    monkeypatch.setattr(neighbours, "PER_TASK", 2000, raising=False)
+    cloud = spark.range(1000).select(F.col("id").alias("idx"), *[F.rand(i).alias(c) for i, c in enumerate("xyzrgb")], F.lit(0).alias("label")).cache()
+    sc = spark.sparkContext
+    sc.setJobGroup(name, "")
+    try:
+        assert DEALT[name][0](cloud).agg(F.count("*")).first()[0] == DEALT[name][1] * 1000
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    status = sc.statusTracker()
+    infos = [status.getStageInfo(s) for j in status.getJobIdsForGroup(name) for s in status.getJobInfo(j).stageIds]
+    assert max(i.numTasks for i in infos if i) >= 1000 * 16 // 2000
