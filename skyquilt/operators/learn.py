@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skyquilt.operators import metrics
 from skyquilt.operators.neighbours import knn, multi_scale_max, outlier_flags
 from skyquilt.operators.points import augment, feature_vector, normalise, sample_to, voxel_mean
-from skyquilt.storage import saved
+from skyquilt.storage import Scratch, saved
 
 BASE = ["x", "y", "z", "r", "g", "b"]
 
@@ -27,8 +27,13 @@ def features(points: DataFrame, scales: tuple[int, ...] = (4, 8)) -> DataFrame:
 
 
 def fit(points: DataFrame, scales: tuple[int, ...] = (4, 8), trees: int = 20, seed: int = 7):
+    """A forest fitted on all points: it reads them several times, so their features are a table."""
     columns = BASE + [f"{c}_max{k}" for k in scales for c in "rgb"]
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), RandomForestClassifier(numTrees=trees, maxDepth=6, labelCol="label", featuresCol="features", seed=seed)]).fit(features(points, scales))
+    scratch = Scratch(points.sparkSession)
+    table = scratch.save(features(points, scales))
+    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), RandomForestClassifier(numTrees=trees, maxDepth=6, labelCol="label", featuresCol="features", seed=seed)]).fit(table)
+    scratch.drop(table)
+    return model
 
 
 def predict(model, points: DataFrame, scales: tuple[int, ...] = (4, 8)) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyquilt.operators import neighbours
+from skyquilt.operators import learn, neighbours
 
 
 def frame(spark, xyz, first=0, part=None):
@@ -120,6 +120,7 @@ def test_tasks_grow_in_number_with_the_pairs(spark, monkeypatch):
 
 DEALT = {
     "multi_scale_max": (lambda p: neighbours.multi_scale_max(neighbours.knn(p, p, 16), p, ["r"], (4, 16)), 1),
+    "features of a model": (lambda p: learn.features(p), 1),
 }
 
 

@@ -146,6 +146,24 @@ def test_models(spark, tmp_path):
     assert item.count() == 100 and len(item.first()["features"]) == 6
 
 
+def test_fit_makes_features_once(spark, monkeypatch):
+    """A forest reads its points several times; the search for neighbours behind their features is done once."""
+    scene = demo_scene.demo_scene(spark, 1500).withColumns({c: F.col(c) / 255 for c in "rgb"}).where("pmod(idx, 4) = 0").cache()
+    made, features = spark.sparkContext.accumulator(0), learn.features
+
+    def counted(points, scales):
+        @F.udf("double")
+        def seen(v):
+            made.add(1)
+            return v
+
+        return features(points, scales).withColumn("x", seen("x"))
+
+    monkeypatch.setattr(learn, "features", counted)
+    learn.fit(scene, trees=2)
+    assert made.value == scene.count()
+
+
 def test_streams(spark, tmp_path):
     rows = cloud(spark, [(0.2, 0, 1, 2), (0.4, 0, 3, 2), (9, 0, 0, 1)])
     rows.write.parquet(str(tmp_path / "in"))
