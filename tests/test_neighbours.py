@@ -121,6 +121,7 @@ def test_tasks_grow_in_number_with_the_pairs(spark, monkeypatch):
 DEALT = {
     "multi_scale_max": (lambda p: neighbours.multi_scale_max(neighbours.knn(p, p, 16), p, ["r"], (4, 16)), 1),
     "local_geometry": (lambda p: neighbours.local_geometry(neighbours.knn(p, p, 4), p), 4),
+    "nearest_other_label": (lambda p: neighbours.knn(p, p, 2, keep=["label"]).where("src <> dst"), 1),
     "features of a model": (lambda p: learn.features(p), 1),
 }
 
