@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +11,13 @@ from pyspark.sql import functions as F
 
 from skyquilt.storage import Scratch
 
-SPACES, EDGES = r"[\x20\x09\x0B-\x0D]+", " \t\x0b\f\r"  # between words of a line
+SPACES = r"[\x20\x09\x0B-\x0D]+"  # between words of a line
+LONG = 64  # sets of more words have parities of 128 bits
+KEYS = 4  # of a set's rarest words, so many in pairs find its near copies
 STEPS = 4  # levels of rarity for each doubling of a word's count
+SHARED = 2 << 55  # codes below are of words that stand in one line only: nothing else falls into their bucket
 PASSES = 2  # shares of the words in which the last join is done
-RANK_BITS, SLOT_BITS = (15, 24), (16, 28)  # sizes of the rarity table and of the filters grow with their input between these powers of two
+RANK_BITS, SLOT_BITS = (15, 21), (16, 28)  # sizes of the rarity table and of the filters grow with their input between these powers of two
 
 
 def _power(n: float, bits: tuple[int, int]) -> int:
@@ -27,17 +32,17 @@ def _packed(words: DataFrame, size: int) -> Column:
     return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "some"))), lambda x: x["some"])).alias("all")).scalar()
 
 
-def _filter(sigs: DataFrame, count: int) -> Column:
-    """Whether ``sig`` may be among ``sigs``: a bitmap of about 16 bits for each, within SLOT_BITS; with false positives only."""
+def _filter(sigs: DataFrame, count: int, col: str = "sig") -> Column:
+    """Whether ``col`` may be among ``sigs``: a bitmap of about 16 bits for each, within SLOT_BITS; with false positives only."""
     size = 1 << _power(16 * count, SLOT_BITS)
     words = sigs.select(F.col("sig").bitwiseAND(size - 1).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
-    word = F.get(_packed(words, size >> 6), F.shiftright(F.col("sig").bitwiseAND(size - 1), 6).cast("int"))
-    return F.expr("shiftleft(1L, cast(sig & 63 as int))").bitwiseAND(word) != 0
+    word = F.get(_packed(words, size >> 6), F.shiftright(F.col(col).bitwiseAND(size - 1), 6).cast("int"))
+    return F.expr(f"shiftleft(1L, cast({col} & 63 as int))").bitwiseAND(word) != 0
 
 
 def _words(line: Column) -> Column:
     """The distinct words of a line, hashed."""
-    return F.array_distinct(F.transform(F.split(line, SPACES), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
 
 
 def _coded(lines: DataFrame, size: int) -> DataFrame:
@@ -46,18 +51,16 @@ def _coded(lines: DataFrame, size: int) -> DataFrame:
     ``size`` is the number of buckets.  The order decides how much is compared
     and never what is found.
     """
-    counts = lines.select(F.explode(F.split("words", SPACES)).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(size - 1).alias("b")).count()
+    counts = lines.select(F.explode(F.split("words", " ")).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(size - 1).alias("b")).count()
     level = F.least(F.floor(F.log2("count") * STEPS) + 1, F.lit(255)).cast("long")
-    words = counts.select(F.shiftright("b", 3).alias("w"), F.call_function("shiftleft", level, (F.col("b").bitwiseAND(7) * 8).cast("int")).alias("x")).groupBy("w").agg(F.bit_or("x").alias("bits"))
+    words = counts.select(F.col("b").alias("w"), F.shiftleft(level, 55).alias("bits"))
 
     def code(t: Column, levels: Column) -> Column:
-        word = F.coalesce(F.get(levels, F.shiftright(t.bitwiseAND(size - 1), 3).cast("int")), F.lit(0).cast("long"))
-        own = F.call_function("shiftrightunsigned", word, (t.bitwiseAND(7) * 8).cast("int")).bitwiseAND(255)
-        return F.shiftleft(own, 55).bitwiseOR(F.shiftrightunsigned(t, 9))
+        return F.get(levels, t.bitwiseAND(size - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(t, 9))
 
     # a lambda holds no subquery, so it is a column that the optimizer puts in where it is used: once, as an argument, by reference
-    tabled = lines.withColumn("levels", _packed(words, size >> 3))
-    codes = F.transform(F.array("levels"), lambda levels: F.transform(F.transform(F.split("words", SPACES), lambda w: F.xxhash64(w)), lambda t: code(t, levels)))[0]
+    tabled = lines.withColumn("levels", _packed(words, size))
+    codes = F.transform(F.array("levels"), lambda levels: F.transform(F.transform(F.split("words", " "), lambda w: F.xxhash64(w)), lambda t: code(t, levels)))[0]
     return tabled.withColumn("codes", F.sort_array(F.array_distinct(codes))).drop("levels")
 
 
@@ -77,49 +80,63 @@ class LineDedup:
         return F.floor((n * share + of - 1) / of).cast("int")
 
     def split(self) -> tuple[DataFrame, int]:
-        """Every line with a word: id, hash of the text, number, and the line lowered; and the characters of all."""
-        text = F.col(self.text_col)
-        lines = self.docs.select(F.col(self.id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.lower(text), "\n", -1)).alias("line", "words"))
-        lines = lines.select("id", "th", "line", F.trim("words", F.lit(EDGES)).alias("words")).where("words <> ''")
+        """Every line with a word: id, hash of the text, number, and the line lowered, with one space between words; and the characters of all."""
+        text, low = F.col(self.text_col), F.col("low")
+        docs = self.docs.select(F.col(self.id_col).alias("id"), F.xxhash64(text).alias("th"), F.lower(text).alias("low"))
+        odd = functools.reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in ("  ", "\t", "\x0b", "\f", "\r")])
+        lines = docs.select("id", "th", F.posexplode(F.split(F.when(odd, F.regexp_replace(low, SPACES, " ")).otherwise(low), "\n", -1)).alias("line", "words"))
+        lines = lines.select("id", "th", "line", F.trim("words").alias("words")).where("words <> ''")
         lines, seen = self.scratch.save_counted(lines, "zstd", size=F.sum(F.length("words")))
         return lines, seen["size"] or 0
 
     def marked(self, lines: DataFrame, size: int) -> DataFrame:
-        """Every line with the number of its distinct words, a fingerprint of the set, the codes of its rarest words (as many as it takes to meet one of any set it matches), and a parity: each word flips one of 64 bits."""
-        parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
-        coded = _coded(lines, 1 << _power(size / 128, RANK_BITS)).select("id", "th", "line", "codes")
+        """Every line with the number of its distinct words, a fingerprint of the set, the codes of its rarest words (as many as it takes to meet one of any set it matches), and a parity: each word flips one of 64 bits, or of 128 where the set is ``LONG``."""
+        place = lambda t: t.bitwiseAND(63).cast("int")
+        folded = F.aggregate("codes", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(t))))
+        upper = F.aggregate("codes", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(t, 6).bitwiseAND(1), place(t))))
+        coded = _coded(lines, 1 << _power(size / 4096, RANK_BITS)).select("id", "th", "line", "codes")
         prefix = F.slice("codes", F.lit(1), F.size("codes") - self.least(F.size("codes"), self.fifths, 5) + 1)
-        return self.scratch.save(coded.select("id", "th", "line", F.size("codes").alias("n"), F.xxhash64("codes").alias("sig"), parity.alias("parity"), prefix.alias("prefix")))
+        coded = coded.select("*", F.size("codes").alias("n"), F.when(F.size("codes") > LONG, upper).otherwise(0).alias("upper"))
+        return self.scratch.save(coded.select("id", "th", "line", "n", F.xxhash64("codes").alias("sig"), folded.bitwiseXOR(F.col("upper")).alias("parity"), "upper", prefix.alias("prefix")))
 
     def sets(self, marked: DataFrame) -> DataFrame:
         """The distinct sets, numbered (``rk``) in the order in which they first stand in the corpus."""
-        sets = marked.groupBy("sig").agg(F.min(_keys()).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "parity", "prefix")])
+        sets = marked.groupBy("sig").agg(F.min(_keys()).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "parity", "upper", "prefix")])
         return self.scratch.save(sets.orderBy("first").withColumn("rk", F.monotonically_increasing_id()), "zstd")
 
     def fits(self, a: str, b: str) -> Column:
         """Whether sets of these sizes and parities can match: they differ in ``apart`` words at most, and each bit that differs is a word that does."""
         n, m, f = F.col(f"{a}.n"), F.col(f"{b}.n"), self.fifths
-        parity = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
-        return (n * 5 >= m * f) & (m * 5 >= n * f) & (parity <= self.apart(a, b))
+        lower, upper = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("parity", "upper"))
+        bits = F.when((n > LONG) & (m > LONG), F.bit_count(lower) + F.bit_count(upper)).otherwise(F.bit_count(lower.bitwiseXOR(upper)))
+        return (n * 5 >= m * f) & (m * 5 >= n * f) & (bits <= self.apart(a, b))
 
     def apart(self, a: str, b: str) -> Column:
         return F.floor((F.col(f"{a}.n") + F.col(f"{b}.n")) * (5 - self.fifths) / (5 + self.fifths))
 
     def placed(self, a: str, b: str) -> Column:
-        """Whether a word shared at these places can be the first one shared: what stands before it, and what one has more behind it, is not shared.
-
-        The smaller set has the first shared word among fewer of its rarest words
-        than the larger one.
-        """
-        f = self.fifths
+        """Whether a word shared at these places can be the first one shared: what stands before it, and what one has more behind it, is not shared."""
         at, other = F.col(f"{a}.at"), F.col(f"{b}.at")
-        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-        early = lambda i, k: i <= k - self.least(k, 2 * f, 5 + f)
-        return (at + other + F.abs((n - at) - (m - other)) <= self.apart(a, b)) & ((n <= m) & early(at, n) | (m <= n) & early(other, m))
+        return at + other + F.abs((F.col(f"{a}.n") - at) - (F.col(f"{b}.n") - other)) <= self.apart(a, b)
+
+    def early(self) -> Column:
+        """Whether a word can be the first one shared with a set of the same size or a larger one: the smaller set has that among fewer of its rarest words than the larger one."""
+        return F.col("at") <= F.col("n") - self.least(F.col("n"), 2 * self.fifths, 5 + self.fifths)
 
     @staticmethod
     def postings(sets: DataFrame, *more: str) -> DataFrame:
-        return sets.select("rk", "n", "parity", *more, F.posexplode("prefix").alias("at", "code"))
+        """The sets by their rarest words, but for words that stand in one line only."""
+        return sets.select("rk", "n", "parity", "upper", *more, F.posexplode("prefix").alias("at", "code")).where(F.col("code") >= SHARED)
+
+    @staticmethod
+    def keyed(sets: DataFrame) -> DataFrame:
+        """The sets by pairs of their rarest words: of those that other lines may have, the ``KEYS`` first by hash, so that near copies mostly have a pair in common and other sets hardly ever; where there are fewer than three, by single words too."""
+        own = F.transform(F.filter("prefix", lambda c: c >= SHARED), lambda c: c.bitwiseAND((1 << 55) - 1))
+        sets = sets.select("rk", "n", "parity", "upper", F.slice(F.sort_array(own), 1, KEYS).alias("own"))
+        word, several = lambda i: F.get("own", F.lit(i)), F.size("own")
+        keys = [F.when(several > j, F.xxhash64(word(i), word(j))) for i, j in itertools.combinations(range(KEYS), 2)]
+        keys += [F.when((several > i) & (several < 3), F.xxhash64(word(i))) for i in range(2)]
+        return sets.select("rk", "n", "parity", "upper", F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
     def verified(self, lines: DataFrame, sets: DataFrame, tries: DataFrame) -> DataFrame:
         """``rk, near``: of the pairs ``later, earlier`` whose sets are similar enough, counted in full, the earliest of each ``later``."""
@@ -139,28 +156,27 @@ class LineDedup:
         """``rk, near``: the sets that match an earlier one, and the earliest of these.
 
         First each set is compared with one other: of the sets that stand first in
-        the lists of its words, the earliest that fits.  In a group of near copies
-        that is mostly the earliest of the group, and no list of the set begins
-        before it: the set is done.  Only the others are joined with all sets of
-        their lists that stand before the match.
+        the lists of its keys, the earliest that fits.  In a group of near copies
+        that is mostly the earliest of the group.  Then all sets are joined by their
+        words with those before them, and before the match where there is one.
         """
         scratch = self.scratch
-        lists = self.postings(sets).groupBy("code").agg(F.min("rk").alias("head"), F.max("rk").alias("last")).where("head < last").select("code", F.col("head").alias("rk"))
-        lists = scratch.save(lists.join(sets.select("rk", "n", "parity"), "rk"))
-        own, head = self.postings(sets).alias("a"), lists.alias("b")
-        heads = own.join(head, (F.col("a.code") == F.col("b.code")) & (F.col("b.rk") < F.col("a.rk")))
-        heads = scratch.save(heads.groupBy(F.col("a.rk").alias("later")).agg(F.min("b.rk").alias("least"), F.min(F.when(self.fits("a", "b"), F.col("b.rk"))).alias("earlier")))
-        tries = heads.where("earlier is not null").select("later", "earlier")
+        lists, seen = scratch.save_counted(self.keyed(sets).groupBy("key").agg(F.min("rk").alias("rk"), F.max("rk").alias("last")).where("rk < last").select("key", "rk"), n=F.count("*"))
+        own = self.keyed(sets).where(_filter(lists.select(F.col("key").alias("sig")), seen["n"], "key")).alias("a")
+        head = lists.join(sets.select("rk", "n", "parity", "upper"), "rk").alias("b")
+        heads = own.join(head, (F.col("a.key") == F.col("b.key")) & (F.col("b.rk") < F.col("a.rk")) & self.fits("a", "b"))
+        tries = scratch.save(heads.groupBy(F.col("a.rk").alias("later")).agg(F.min("b.rk").alias("earlier")))
         found = self.verified(lines, sets, tries)
-        open_ = heads.join(found, F.col("later") == F.col("rk"), "left").select(F.col("later").alias("rk"), F.coalesce("near", "later").alias("bound"), "least").where("least < bound")
-        open_ = scratch.save(open_.select("rk", "bound"))
-        scratch.drop(lists, heads)
+        open_ = scratch.save(sets.select("rk", "n", "parity", "upper", "prefix").join(found, "rk", "left").withColumn("bound", F.coalesce("near", "rk")).drop("near"))
+        scratch.drop(lists, tries)
         pairs = None
         for k in range(PASSES):  # a share of the words at a time, so that fewer postings are on disk at once
             share = F.pmod("code", F.lit(PASSES)) == k
-            a, b = self.postings(sets.join(open_, "rk"), "bound").where(share).alias("a"), self.postings(sets).where(share).alias("b")
-            some = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("b.rk") < F.col("a.bound")) & self.fits("a", "b") & self.placed("a", "b"))
-            some = scratch.save(some.select(F.col("a.rk").alias("later"), F.col("b.rk").alias("earlier")).distinct())
+            b = self.postings(open_, "bound").where(share)
+            a, b = b.where(self.early()).alias("a"), b.alias("b")
+            before = (F.col("a.rk") < F.col("b.bound")) | (F.col("b.rk") < F.col("a.bound"))
+            some = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.n") <= F.col("b.n")) & before & self.fits("a", "b") & self.placed("a", "b"))
+            some = scratch.save(some.select(F.greatest("a.rk", "b.rk").alias("later"), F.least("a.rk", "b.rk").alias("earlier")).distinct())
             pairs = some if pairs is None else pairs.union(some)
         scratch.drop(open_)
         more = self.verified(lines, sets, scratch.save(pairs.distinct()))

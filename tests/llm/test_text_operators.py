@@ -407,6 +407,28 @@ def test_lines_odd(spark):
     assert len(lines.drop_repeated_lines(table(spark, docs)).collect()) == len(docs)
 
 
+def tried(spark, monkeypatch, docs):
+    """The result's keys, and how many pairs of sets were counted in full for them."""
+    n, whole = [], lines.LineDedup.verified
+    monkeypatch.setattr(lines.LineDedup, "verified", lambda self, a, sets, tries: n.append(tries.count()) or whole(self, a, sets, tries))
+    return {tuple(r) for r in lines.repeated_lines(table(spark, docs)).select("doc_id", "line_no", "first_id", "first_line").collect()}, sum(n)
+
+
+def test_lines_pairs_tried(spark, monkeypatch):
+    """Long lines that share single words are told apart without counting; a group of near copies is counted about once a line; white space of all kinds parts words."""
+    rng = random.Random(17)
+    words = [f"{rng.choice('abcdefgh')}{k}" for k in range(1500)]
+    apart = [(i, " ".join(rng.sample(words, rng.randint(130, 170))), "a") for i in range(60)]
+    got, n = tried(spark, monkeypatch, apart)
+    assert got == brute_lines(apart) and n < 20
+    base = [f"w{k}" for k in range(40)]
+    group = [(i, " ".join([w for w in base if rng.random() > 0.03] + [f"own{i}"] * rng.randint(0, 1)), "a") for i in range(150)]
+    got, n = tried(spark, monkeypatch, group)
+    assert got == brute_lines(group) and n < 3 * len(group)
+    odd = [(i, "\n".join(rng.choice([" ", "\t", "\r", "\x0b", "\f", " \t "]).join(["", *rng.sample("abcdef", rng.randint(0, 6)), ""]) for _ in range(4)), "a") for i in range(30)]
+    assert tried(spark, monkeypatch, odd)[0] == brute_lines(odd)
+
+
 # --- n-gram join ----------------------------------------------------------------
 
 def test_shingles():
