@@ -14,6 +14,7 @@ from skyquilt.storage import Scratch
 SPACES = r"[\x20\x09\x0B-\x0D]+"  # between words of a line
 LONG = 64  # sets of more words have parities of 128 bits
 KEYS = 4  # of a set's rarest words, so many in pairs find its near copies
+CROWD = 8  # pairs of words in fewer sets are left to the join by single words, which then tries a few pairs of sets more
 STEPS = 4  # levels of rarity for each doubling of a word's count
 SHARED = 2 << 55  # codes below are of words that stand in one line only: nothing else falls into their bucket
 PASSES = 2  # shares of the words in which the last join is done
@@ -32,12 +33,13 @@ def _packed(words: DataFrame, size: int) -> Column:
     return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "some"))), lambda x: x["some"])).alias("all")).scalar()
 
 
-def _filter(sigs: DataFrame, count: int, col: str = "sig") -> Column:
+def _filter(sigs: DataFrame, count: int, col: str | Column = "sig") -> Column:
     """Whether ``col`` may be among ``sigs``: a bitmap of about 16 bits for each, within SLOT_BITS; with false positives only."""
     size = 1 << _power(16 * count, SLOT_BITS)
     words = sigs.select(F.col("sig").bitwiseAND(size - 1).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
-    word = F.get(_packed(words, size >> 6), F.shiftright(F.col(col).bitwiseAND(size - 1), 6).cast("int"))
-    return F.expr(f"shiftleft(1L, cast({col} & 63 as int))").bitwiseAND(word) != 0
+    sig = F.col(col) if isinstance(col, str) else col
+    word = F.get(_packed(words, size >> 6), F.shiftright(sig.bitwiseAND(size - 1), 6).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), sig.bitwiseAND(63).cast("int")).bitwiseAND(word) != 0
 
 
 def _words(line: Column) -> Column:
@@ -55,12 +57,12 @@ def _coded(lines: DataFrame, size: int) -> DataFrame:
     level = F.least(F.floor(F.log2("count") * STEPS) + 1, F.lit(255)).cast("long")
     words = counts.select(F.col("b").alias("w"), F.shiftleft(level, 55).alias("bits"))
 
-    def code(t: Column, levels: Column) -> Column:
-        return F.get(levels, t.bitwiseAND(size - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(t, 9))
+    def code(t: Column) -> Column:
+        return F.get("levels", t.bitwiseAND(size - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(t, 9))
 
-    # a lambda holds no subquery, so it is a column that the optimizer puts in where it is used: once, as an argument, by reference
+    # a lambda may not be written with a subquery, so this is a column, which the optimizer puts in where it is used, once; a lambda within a lambda takes half as long again
     tabled = lines.withColumn("levels", _packed(words, size))
-    codes = F.transform(F.array("levels"), lambda levels: F.transform(F.transform(F.split("words", " "), lambda w: F.xxhash64(w)), lambda t: code(t, levels)))[0]
+    codes = F.transform(F.transform(F.split("words", " "), lambda w: F.xxhash64(w)), code)
     return tabled.withColumn("codes", F.sort_array(F.array_distinct(codes))).drop("levels")
 
 
@@ -86,7 +88,7 @@ class LineDedup:
         odd = functools.reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in ("  ", "\t", "\x0b", "\f", "\r")])
         lines = docs.select("id", "th", F.posexplode(F.split(F.when(odd, F.regexp_replace(low, SPACES, " ")).otherwise(low), "\n", -1)).alias("line", "words"))
         lines = lines.select("id", "th", "line", F.trim("words").alias("words")).where("words <> ''")
-        lines, seen = self.scratch.save_counted(lines, "zstd", size=F.sum(F.length("words")))
+        lines, seen = self.scratch.save_counted(lines, size=F.sum(F.length("words")))
         return lines, seen["size"] or 0
 
     def marked(self, lines: DataFrame, size: int) -> DataFrame:
@@ -102,7 +104,7 @@ class LineDedup:
     def sets(self, marked: DataFrame) -> DataFrame:
         """The distinct sets, numbered (``rk``) in the order in which they first stand in the corpus."""
         sets = marked.groupBy("sig").agg(F.min(_keys()).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "parity", "upper", "prefix")])
-        return self.scratch.save(sets.orderBy("first").withColumn("rk", F.monotonically_increasing_id()), "zstd")
+        return self.scratch.save(sets.orderBy("first").withColumn("rk", F.monotonically_increasing_id()))
 
     def fits(self, a: str, b: str) -> Column:
         """Whether sets of these sizes and parities can match: they differ in ``apart`` words at most, and each bit that differs is a word that does."""
@@ -138,6 +140,11 @@ class LineDedup:
         keys += [F.when((several > i) & (several < 3), F.xxhash64(word(i))) for i in range(2)]
         return sets.select("rk", "n", "parity", "upper", F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
+    @staticmethod
+    def among(found: DataFrame, count: int) -> Column:
+        """Whether ``rk`` may be among those of ``found``."""
+        return _filter(found.select(F.xxhash64("rk").alias("sig")), count, F.xxhash64("rk"))
+
     def verified(self, lines: DataFrame, sets: DataFrame, tries: DataFrame) -> DataFrame:
         """``rk, near``: of the pairs ``later, earlier`` whose sets are similar enough, counted in full, the earliest of each ``later``."""
         ends = tries.select(F.col("later").alias("rk")).union(tries.select(F.col("earlier").alias("rk"))).distinct()
@@ -155,19 +162,22 @@ class LineDedup:
     def matches(self, lines: DataFrame, sets: DataFrame) -> DataFrame:
         """``rk, near``: the sets that match an earlier one, and the earliest of these.
 
-        First each set is compared with one other: of the sets that stand first in
-        the lists of its keys, the earliest that fits.  In a group of near copies
-        that is mostly the earliest of the group.  Then all sets are joined by their
-        words with those before them, and before the match where there is one.
+        First each set of a crowd is compared with one other: of the sets that stand
+        first in the long lists of its keys, the earliest that fits.  In a large group
+        of near copies that is mostly the earliest of the group.  Then all sets are
+        joined by their words with those before them, and before the match where
+        there is one.
         """
         scratch = self.scratch
-        lists, seen = scratch.save_counted(self.keyed(sets).groupBy("key").agg(F.min("rk").alias("rk"), F.max("rk").alias("last")).where("rk < last").select("key", "rk"), n=F.count("*"))
+        lists, seen = scratch.save_counted(self.keyed(sets).groupBy("key").agg(F.min("rk").alias("rk"), F.count("*").alias("n")).where(F.col("n") >= CROWD).select("key", "rk"), n=F.count("*"))
         own = self.keyed(sets).where(_filter(lists.select(F.col("key").alias("sig")), seen["n"], "key")).alias("a")
         head = lists.join(sets.select("rk", "n", "parity", "upper"), "rk").alias("b")
         heads = own.join(head, (F.col("a.key") == F.col("b.key")) & (F.col("b.rk") < F.col("a.rk")) & self.fits("a", "b"))
-        tries = scratch.save(heads.groupBy(F.col("a.rk").alias("later")).agg(F.min("b.rk").alias("earlier")))
+        tries, seen = scratch.save_counted(heads.groupBy(F.col("a.rk").alias("later")).agg(F.min("b.rk").alias("earlier")), n=F.count("*"))
         found = self.verified(lines, sets, tries)
-        open_ = scratch.save(sets.select("rk", "n", "parity", "upper", "prefix").join(found, "rk", "left").withColumn("bound", F.coalesce("near", "rk")).drop("near"))
+        slim, matched = sets.select("rk", "n", "parity", "upper", "prefix"), self.among(found, seen["n"])
+        bounded = scratch.save(slim.where(matched).join(found, "rk", "left").withColumn("bound", F.coalesce("near", "rk")).drop("near"))
+        open_ = slim.where(~matched).withColumn("bound", F.col("rk")).unionByName(bounded)
         scratch.drop(lists, tries)
         pairs = None
         for k in range(PASSES):  # a share of the words at a time, so that fewer postings are on disk at once
@@ -178,7 +188,7 @@ class LineDedup:
             some = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.n") <= F.col("b.n")) & before & self.fits("a", "b") & self.placed("a", "b"))
             some = scratch.save(some.select(F.greatest("a.rk", "b.rk").alias("later"), F.least("a.rk", "b.rk").alias("earlier")).distinct())
             pairs = some if pairs is None else pairs.union(some)
-        scratch.drop(open_)
+        scratch.drop(bounded)
         more = self.verified(lines, sets, scratch.save(pairs.distinct()))
         return found.union(more).groupBy("rk").agg(F.min("near").alias("near"))
 
@@ -189,9 +199,12 @@ class LineDedup:
         sets = self.sets(marked)
         slim = self.scratch.save(marked.select("id", "th", "line", "n", "sig"))
         self.scratch.drop(marked)
-        near = self.matches(lines, sets).join(sets.select(F.col("rk").alias("near"), F.col("first").alias("before")), "near")
-        best = sets.join(near, "rk", "left").where("copies > 1 or before is not null").select("sig", F.coalesce("before", "first").alias("first"))
-        found = self.scratch.save(slim.join(best, "sig").where(F.col("first") < _keys()).select("id", "th", "line", "n", "first"))
+        near, seen = self.scratch.save_counted(self.matches(lines, sets), n=F.count("*"))
+        some = sets.select("rk", "sig", "first", "copies").where((F.col("copies") > 1) | self.among(near, seen["n"])).join(near, "rk", "left")
+        before = sets.where(self.among(near.select(F.col("near").alias("rk")), seen["n"])).select(F.col("rk").alias("near"), F.col("first").alias("before"))
+        some = some.join(before, "near", "left").where("copies > 1 or before is not null").select("sig", F.coalesce("before", "first").alias("first"))
+        best, seen = self.scratch.save_counted(some, n=F.count("*"))
+        found = self.scratch.save(slim.where(_filter(best, seen["n"])).join(best, "sig").where(F.col("first") < _keys()).select("id", "th", "line", "n", "first"))
         self.scratch.keep_only(found)
         return found
 

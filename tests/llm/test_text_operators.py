@@ -429,6 +429,29 @@ def test_lines_pairs_tried(spark, monkeypatch):
     assert tried(spark, monkeypatch, odd)[0] == brute_lines(odd)
 
 
+def test_lines_little_is_tried_first(spark, monkeypatch):
+    """Sets in no crowd are compared by the join alone, only sets of crowds are written again with their bound, and a word's rarity is looked up in no lambda within another."""
+    rng, n, bounds, whole, save = random.Random(23), [], [], lines.LineDedup.verified, lines.Scratch.save
+    monkeypatch.setattr(lines.LineDedup, "verified", lambda self, a, sets, tries: n.append(tries.count()) or whole(self, a, sets, tries))
+
+    def saved(self, df, *a):
+        out = save(self, df, *a)
+        if "bound" in df.columns:
+            bounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines.Scratch, "save", saved)
+    pairs = [[f"{k}w{rng.randint(0, 10**6)}" for _ in range(20)] for k in range(30)]
+    docs = [(i, " ".join([*words, f"own{i}"]), "a") for i, words in enumerate([*pairs, *pairs])]
+    crowd = [(100 + i, " ".join([*[f"c{k}" for k in range(30)], f"own{100 + i}"]), "a") for i in range(40)]
+    got = lambda docs: {tuple(r) for r in lines.repeated_lines(table(spark, docs)).select("doc_id", "line_no", "first_id", "first_line").collect()}
+    assert got(docs) == brute_lines(docs) and n[0] == 0 and sum(bounds) < 10
+    n.clear(), bounds.clear()
+    assert got(docs + crowd) == brute_lines(docs + crowd) and 30 < n[0] < 40 and sum(n) < 120 and sum(bounds) < 60
+    coded = lines._coded(spark.createDataFrame([(1, "a b")], "id int, words string"), 1 << 15)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(len(re.findall(r"lambdafunction\(", x)) for x in coded.splitlines()) == 2
+
+
 # --- n-gram join ----------------------------------------------------------------
 
 def test_shingles():
